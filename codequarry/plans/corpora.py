@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
-from codequarry.sources.tables import load
+from codequarry.sources.tables import load, spread
 
 # A line number never reaches this: documents hold at most 20,000 words.
 LINE_STRIDE = 1_000_000
@@ -14,7 +14,7 @@ LINE_STRIDE = 1_000_000
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """documents as indexed files: project, path, content, hash, size."""
-    docs = load(spark, sf, "documents")
+    docs = spread(load(spark, sf, "documents"), "doc_id")
     return docs.select(
         F.col("source").alias("project_id"),
         F.col("doc_id").alias("file_id"),

@@ -13,3 +13,12 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
         if isinstance(field.dataType, T.TimestampNTZType):
             frame = frame.withColumn(field.name, F.col(field.name).cast("timestamp"))
     return frame
+
+
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Use every core on an input with fewer splits than the cluster has cores.
+
+    A large table already has more splits than that and passes through without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
