@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from codequarry.plans import corpus_queries, graph_queries, lookup_queries, search_queries  # noqa: F401
+from codequarry.plans import corpus_queries, evidence_queries, graph_queries, lookup_queries, search_queries, session_queries  # noqa: F401
 from codequarry.plans.registry import entries
 
 __all__ = ["entries"]
