@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codequarry.functions import text as tx
+from codequarry.operators import chunks as ck
 from codequarry.operators import facts as fa
-from codequarry.operators import intervals, resolve
+from codequarry.operators import intervals, project_map, resolve, segments
 from codequarry.plans import modules_corpus as mc
 from codequarry.plans.registry import query
 from codequarry.session import cut
@@ -145,3 +147,103 @@ def module_dependencies(spark, sf):
     modules = mc.modules(spark, sf).select("module", F.col("path").alias("dst"))
     imports = fa.imports(mc.facts(spark, sf)).select(F.col("path").alias("src"), F.col("target_module").alias("module"))
     return edges.dependency_edges(imports, modules)
+
+
+# --- structure --------------------------------------------------------------------------------
+
+
+@query("python_segments", f"""WITH {mc.SQL_MODULES},
+raw AS (
+  SELECT 'shop/parts/p_' || b || '.py' AS path, 'docstring' AS kind, '模块说明' AS title, 1 AS s, 1 AS e FROM (SELECT DISTINCT b FROM gparts)
+  UNION ALL SELECT 'shop/parts/p_' || b || '.py', 'class', '类 Base' || b, 2, 4 FROM (SELECT DISTINCT b FROM gparts)
+  UNION ALL SELECT 'shop/parts/p_' || b || '.py', 'class', '类 Part' || p, o4 + 1, o4 + 12 FROM gparts
+  UNION ALL SELECT 'shop/parts/p_' || b || '.py', 'function', '函数 make_' || p || '()', o4 + 13, o4 + 18 FROM gparts
+  UNION ALL SELECT 'shop/api_' || b || '.py', 'imports', '导入依赖', 1, count(*) FROM gparts GROUP BY b
+  UNION ALL SELECT DISTINCT 'shop/orders/o_' || ob || '.py', CASE WHEN ob % 7 = 3 THEN 'code' ELSE 'docstring' END, CASE WHEN ob % 7 = 3 THEN '文件头部' ELSE '模块说明' END, 1, 1 FROM gspans
+  UNION ALL SELECT 'shop/orders/o_' || ob || '.py', 'function', '函数 order_' || o || '()', s, s + body + 1 FROM gspans
+  UNION ALL SELECT 'shop/orders/o_' || ob || '.py', 'function', '函数 broken()', max(s + body + 2), max(s + body + 2) FROM gspans WHERE ob % 7 = 3 GROUP BY ob)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS segment_no, kind, title, s AS start_line, e AS end_line FROM raw""")
+def python_segments(spark, sf):
+    files = mc.modules(spark, sf)
+    return segments.file_segments(files, F.col("path").endswith(".py")).select(
+        "path", "segment_no", "kind", "title", "start_line", "end_line"
+    )
+
+
+@query("python_outline", f"""WITH {mc.SQL_MODULES}
+SELECT path, CASE WHEN kind = 'class' THEN name ELSE name || '()' END AS title, CASE WHEN kind = 'function' AND parent <> '' THEN 'method' ELSE kind END AS kind, start_line, end_line,
+   len(string_split(qualified_name, '.')) - 1 AS depth FROM gsym WHERE name <> 'size' AND path NOT LIKE 'shop/orders/%'
+UNION ALL SELECT 'shop/parts/p_' || b || '.py', 'size()', 'method', o4 + 6, o4 + 8, 1 FROM gparts
+UNION ALL SELECT 'shop/parts/p_' || b || '.py', 'size()', 'method', o4 + 9, o4 + 12, 1 FROM gparts
+UNION ALL SELECT 'shop/orders/o_' || ob || '.py', 'order_' || o || '()', 'function', s, s + body + 1, 0 FROM gspans
+UNION ALL SELECT 'shop/orders/o_' || ob || '.py', 'broken()', 'function', max(s + body + 2), max(s + body + 2), 0 FROM gspans WHERE ob % 7 = 3 GROUP BY ob""")
+def python_outline(spark, sf):
+    rows = segments.extract_structure(mc.modules(spark, sf)).filter("fact = 'outline'")
+    return rows.select("path", "title", "kind", "start_line", "end_line", "depth")
+
+
+@query("skeleton_text", f"""WITH {mc.SQL_MODULES},
+gcode AS (SELECT f.ob, f.o, string_agg(c, chr(10) ORDER BY n) AS body FROM gspans f LEFT JOIN (SELECT o, n, CASE n % 5
+   WHEN 1 THEN '    from shop.parts.p_' || b || ' import make_' || p || ' as go_' || n WHEN 2 THEN '    import shop.parts.p_' || b || ' as m_' || n
+   WHEN 3 THEN '    item.make_' || p || '()' WHEN 4 THEN '    item.price()' ELSE '    from shop.api_' || b || ' import make_' || p || ' as re_' || n END AS c FROM gsites) s USING (o) GROUP BY ALL)
+SELECT 'shop/orders/o_' || f.ob || '.py' AS path, 'order_' || f.o || '()' AS symbol, 'def order_' || f.o || '(item):' || chr(10) ||
+   coalesce(split_part(g.body, chr(10), 1), '    return missing_' || f.o || '()') || chr(10) || '    # …（共 ' || (f.body + 2) || ' 行，实现省略）' AS skeleton
+FROM gspans f JOIN gcode g USING (o)""")
+def skeleton_text(spark, sf):
+    files = mc.modules(spark, sf).filter("path LIKE 'shop/orders/%'")
+    pieces = segments.with_code(segments.file_segments(files, F.lit(True)), files).filter("title LIKE '函数 order_%'")
+    return pieces.select(
+        "path", F.substring_index("title", " ", -1).alias("symbol"),
+        ck.skeleton_part(F.col("kind"), tx.lines_of(F.col("code"))).alias("skeleton"),
+    )
+
+
+# --- whole-project view -----------------------------------------------------------------------
+
+SQL_ENTRIES = f"""{mc.SQL_MODULES},
+blocks AS (SELECT count(DISTINCT b) AS k FROM gparts),
+uses AS (SELECT 'shop/parts/p_' || b || '.py' AS path, v.* FROM gparts, blocks, LATERAL (VALUES
+    ('Part' || p, 'audit'), ('Part' || p || '.total', 'audit'), ('make_' || p, 'Part' || p), ('make_' || p, 'Part' || p || '.price'),
+    (CASE WHEN k = 1 THEN 'Part' || p || '.price' END, 'audit')) v(caller, target) WHERE v.caller IS NOT NULL)"""
+
+
+@query("entry_references", f"""WITH {SQL_ENTRIES}
+SELECT path, caller, CASE WHEN target = 'audit' THEN 'Base' || regexp_extract(path, 'p_(\\d+)', 1) || '.audit' ELSE target END AS target FROM uses""")
+def entry_references(spark, sf):
+    rows = cut(project_map.extract_entries(mc.modules(spark, sf)), ["fact"])
+    found = project_map.entries(rows)
+    name = F.concat_ws(".", F.when(F.col("parent") != "", F.col("parent")), "name")
+    callers = found.select(F.col("entry_id").alias("caller_id"), "path", name.alias("caller"))
+    targets = found.select(F.col("entry_id").alias("target_id"), name.alias("target"))
+    return project_map.resolve_references(rows).join(callers, "caller_id").join(targets, "target_id").select("path", "caller", "target")
+
+
+@query("distinct_references", f"""WITH {SQL_ENTRIES},
+refs AS (SELECT 'shop/parts/p_' || b || '.py' AS path, v.* FROM gparts, LATERAL (VALUES
+   ('Part' || p, 'self', 'audit'), ('Part' || p, '', 'audit'), ('Part' || p, '', 'super'), ('price', 'self', 'audit'), ('total', '', 'audit'), ('total', '', 'super'),
+   ('make_' || p, '', 'Part' || p), ('make_' || p, 'item', 'price'), ('make_' || p, '', 'inner')) v(owner, receiver, name))
+SELECT path, owner, receiver, name, count(*) AS owners FROM refs GROUP BY ALL""")
+def distinct_references(spark, sf):
+    rows = cut(project_map.extract_entries(mc.modules(spark, sf).filter("path LIKE 'shop/parts/%'")), ["fact"])
+    owners = project_map.entries(rows).select("path", "owner", F.col("name").alias("owner_name"))
+    refs = rows.filter("fact = 'reference'").select("path", "owner", "receiver", "name")
+    return refs.join(owners, ["path", "owner"]).groupBy("path", F.col("owner_name").alias("owner"), "receiver", "name").agg(
+        F.count("*").alias("owners")
+    )
+
+
+@query("project_overview", f"""WITH {SQL_ENTRIES},
+paths AS (SELECT DISTINCT 'shop/parts/p_' || b || '.py' AS path FROM gparts UNION SELECT 'shop/api_' || b || '.py' FROM gparts UNION SELECT 'shop/orders/o_' || ob || '.py' FROM gfine),
+ents AS (SELECT 'shop/parts/p_' || b || '.py' AS path, 2 + 6 * count(*) AS n FROM gparts GROUP BY b UNION ALL SELECT 'shop/orders/o_' || ob || '.py', count(*) FROM gfine GROUP BY ob),
+rated AS (SELECT path, coalesce(n, 0) AS n, CASE WHEN path LIKE 'shop/parts/%' THEN 1 ELSE 0 END AS inbound, CASE WHEN path LIKE 'shop/api%' THEN 1 ELSE 0 END AS deps FROM paths LEFT JOIN ents USING (path)),
+central AS (SELECT *, row_number() OVER (ORDER BY inbound DESC, n DESC, deps DESC, path) AS rk FROM rated QUALIFY rk <= 8),
+api AS (SELECT name, path, rk, ord FROM central JOIN (SELECT path, qualified_name AS name, start_line AS ord FROM gsym WHERE parent = '') USING (path)),
+api12 AS (SELECT *, row_number() OVER (ORDER BY rk, ord) AS k FROM api QUALIFY k <= 12)
+SELECT 1 AS line_no, '- 项目包含 ' || count(*) || ' 个可解析 Python 文件、' || sum(n)::BIGINT || ' 个类/函数/方法符号。' AS line FROM rated
+UNION ALL SELECT 2, '- 入口点：未识别到常见入口文件'
+UNION ALL SELECT 3, '- 中心模块：' || string_agg(path || '（' || inbound || ' 个上游模块）', '、' ORDER BY rk) FROM central
+UNION ALL SELECT 4, '- 公共 API：' || string_agg(name || '（' || path || '）', '、' ORDER BY k) FROM api12
+UNION ALL SELECT 5, '- 测试组织：未发现 Python 测试文件'""")
+def project_overview(spark, sf):
+    rows = cut(project_map.extract_entries(mc.modules(spark, sf)), ["fact"])
+    return project_map.overview(rows).select("line_no", "line")
