@@ -30,9 +30,13 @@ SQL_K = "(props->>'$.k')::INT"
 
 
 def envelopes(spark, sf):
+    return shape_envelopes(load(spark, sf, "events"))
+
+
+def shape_envelopes(events):
     """events as envelopes: one request per user and event type, jobs and seq from the payload."""
     k = k_of(F.col("props"))
-    return load(spark, sf, "events").select(
+    return events.select(
         "event_id", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("request_id"),
         F.col("ts").alias("arrived"), F.concat(F.lit("j"), k % 5).alias("job_id"),
         (F.floor(F.unix_seconds("ts") / 3600) % 400 + k % 7 - 3).cast("int").alias("seq"),
@@ -41,18 +45,15 @@ def envelopes(spark, sf):
 
 
 SQL_ENVELOPES = f"""env AS (SELECT event_id, user_id || ':' || event_type AS request_id, ts AS arrived, 'j' || {SQL_K} % 5 AS job_id,
-   (epoch(ts)::BIGINT // 3600 % 400 + {SQL_K} % 7 - 3)::INT AS seq,
+   (floor(epoch(ts) / 3600)::BIGINT % 400 + {SQL_K} % 7 - 3)::INT AS seq,
    CASE WHEN {SQL_K} = 99 THEN 'complete' ELSE {_TYPES[:9]!r}[{SQL_K} % 9 + 1] END AS type, props AS text
-  FROM (SELECT * REPLACE (ts - INTERVAL (extract(microseconds FROM ts) % 1000000) MICROSECOND AS ts) FROM events) e),
+  FROM events),
 own AS (SELECT e.* FROM env e JOIN (SELECT request_id, arg_min(job_id, (arrived, seq)) AS j FROM env GROUP BY 1) o
    ON o.request_id = e.request_id AND o.j = e.job_id WHERE seq >= 0),
 growing AS (SELECT * FROM (SELECT *, max(seq) OVER (PARTITION BY request_id ORDER BY arrived, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM own)
    WHERE seq > coalesce(prev, -1)),
 accepted AS (SELECT g.* FROM growing g LEFT JOIN (SELECT request_id, min((arrived, seq)) AS fin FROM growing WHERE type = 'complete' GROUP BY 1) t
    USING (request_id) WHERE fin IS NULL OR (arrived, seq) <= fin)"""
-SQL_ENVELOPES = SQL_ENVELOPES.replace(
-    "(SELECT * REPLACE (ts - INTERVAL (extract(microseconds FROM ts) % 1000000) MICROSECOND AS ts) FROM events) e", "events"
-).replace("epoch(ts)::BIGINT // 3600", "floor(epoch(ts) / 3600)::BIGINT")
 
 
 @query("envelope_gate", f"WITH {SQL_ENVELOPES} SELECT event_id, request_id, job_id, seq, type FROM accepted")
