@@ -16,7 +16,7 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 IDENTIFIER = r"[A-Za-z_][\p{L}\p{N}_]*"
 DOTTED_NAME = r"[A-Za-z_][\p{L}\p{N}_]*(?:\.[A-Za-z_][\p{L}\p{N}_]*)?"
 FTS_TERM = r"[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)*"
-INDEX_TOKEN = r"[\p{L}\p{N}]+"
+TOKEN_GAP = r"[^\p{L}\p{N}]+"
 WORD_RUN = r"[\p{L}\p{N}_]+"
 CJK_RUN = "[\u3400-\u9fff]{2,}"
 # Words of a question that never name a symbol.
@@ -66,7 +66,7 @@ def ascii_lower(text: Column) -> Column:
 def index_tokens(text: Column) -> Column:
     """Index tokens: letters and digits, case and single accents folded, `_` is a separator."""
     folded = F.translate(F.lower(text), ACCENTED, UNACCENTED)
-    return F.regexp_extract_all(folded, F.lit(INDEX_TOKEN), 0)
+    return F.array_remove(F.split(folded, TOKEN_GAP), "")
 
 
 def identifiers(text: Column) -> Column:

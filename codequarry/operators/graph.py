@@ -16,10 +16,11 @@ from codequarry.session import cut
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, include_seeds: bool = False) -> DataFrame:
     """seeds(request_id, node) to every node within `depth` hops with its nearest depth."""
+    edges = cut(edges.select("src", "dst").distinct())
     visited = cut(seeds.select("request_id", "node").distinct().withColumn("depth", F.lit(0)))
     frontier, layers = visited, [visited]
     for hop in range(1, depth + 1):
-        reached = frontier.select("request_id", F.col("node").alias("src")).join(edges.select("src", "dst"), "src")
+        reached = frontier.select("request_id", F.col("node").alias("src")).join(edges, "src")
         fresh = reached.select("request_id", F.col("dst").alias("node")).distinct()
         for layer in layers:
             fresh = fresh.join(layer.select("request_id", "node"), ["request_id", "node"], "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as tx
 from codequarry.operators.lookup import containing
 from codequarry.operators.topk import top_k
+from codequarry.session import cut
 
 # The ranking constants of the full-text engine being matched.
 K1 = 1.2
@@ -38,20 +39,26 @@ def request_phrases(requests: DataFrame, text: str = "question") -> DataFrame:
 
 
 def phrase_counts(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, chunk_id, dl, tf) for the distinct phrases asked.
+    """(phrase, chunk_id, dl, tf) for the distinct phrases asked, and one row with the phrase "" per chunk.
 
-    Tokens are matched against the asked terms before anything is shuffled. One-word phrases count
-    directly; longer ones match every word at its offset and need all of them at one start.
+    Tokens meet the asked terms before anything is shuffled. The empty phrase carries the corpus
+    statistics, so one pass over the text yields all a score needs. One-word phrases count directly;
+    longer ones match every word at its offset and need all of them at one start.
     """
     wanted = phrases.select("phrase", "parts").distinct()
     tokens = chunks.select("chunk_id", tx.index_tokens(F.col("content")).alias("tokens"))
-    flat = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-    single = wanted.filter(F.size("parts") == 1).select("phrase", F.col("phrase").alias("term"))
-    ones = flat.join(single, "term").groupBy("phrase", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    longer = wanted.filter(F.size("parts") > 1).select(
-        "phrase", F.size("parts").alias("words"), F.posexplode("parts").alias("offset", "term")
+    flat = tokens.select(
+        "chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")
     )
-    starts = flat.join(longer, "term").groupBy(
+    everywhere = phrases.sparkSession.range(1).select(F.lit("").alias("term"))
+    single = wanted.filter(F.size("parts") == 1).select(F.col("phrase").alias("term")).unionByName(everywhere)
+    ones = flat.join(single, "term").groupBy(F.col("term").alias("phrase"), "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    longer = wanted.filter(F.size("parts") > 1)
+    if longer.isEmpty():
+        return ones
+    words = longer.select("phrase", F.size("parts").alias("words"), F.posexplode("parts").alias("offset", "term"))
+    placed = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+    starts = placed.join(words, "term").groupBy(
         "phrase", "words", "chunk_id", "dl", (F.col("pos") - F.col("offset")).alias("start")
     ).agg(F.count("*").alias("hits"))
     many = starts.filter("hits = words").groupBy("phrase", "chunk_id", "dl").agg(F.count("*").alias("tf"))
@@ -60,23 +67,25 @@ def phrase_counts(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def bm25_search(requests: DataFrame, chunks: DataFrame, limit: int, text: str = "question") -> DataFrame:
     """Best `limit` chunks per request: request_id, chunk_id, bm25_score (lower is better), rank."""
-    phrases = request_phrases(requests, text)
-    counts = phrase_counts(chunks, phrases)
-    stats = chunks.select(F.size(tx.index_tokens(F.col("content"))).alias("dl")).agg(
-        F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")
-    )
+    # Written once, the phrases have an exact size, which decides whether they are broadcast.
+    phrases = cut(request_phrases(requests, text))
+    counts = cut(phrase_counts(chunks, phrases))
+    stats = counts.filter("phrase = ''").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     total, mean_length = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    spread = counts.groupBy("phrase").agg(F.count("*").alias("df"))
+    matched = counts.filter("phrase <> ''")
+    spread = matched.groupBy("phrase").agg(F.count("*").alias("df"))
     raw_idf = F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw_idf <= 0, F.lit(IDF_FLOOR)).otherwise(raw_idf)
-    asked = phrases.select("request_id", "phrase", "weight").join(
-        spread.select("phrase", idf.alias("idf")), "phrase"
+    # Weight and idf meet on the small side, before the join multiplies the rows.
+    asked = cut(
+        phrases.select("request_id", "phrase", "weight").join(spread, "phrase").select(
+            "request_id", "phrase", (F.col("weight") * idf).alias("worth")
+        )
     )
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    # The per-chunk part is computed before the requests multiply the rows.
-    weighed = counts.select("phrase", "chunk_id", saturation.alias("part"))
+    weighed = matched.select("phrase", "chunk_id", saturation.alias("part"))
     scores = weighed.join(asked, "phrase").groupBy("request_id", "chunk_id").agg(
-        F.round(F.sum(F.col("weight") * F.col("idf") * F.col("part")), 9).alias("_score")
+        F.round(F.sum(F.col("worth") * F.col("part")), 9).alias("_score")
     )
     best = top_k(scores, ["request_id"], [F.col("_score").desc(), F.col("chunk_id")], limit)
     return best.select("request_id", "chunk_id", (-F.col("_score")).alias("bm25_score"), "rank")
@@ -89,14 +98,16 @@ def literal_search(requests: DataFrame, chunks: DataFrame, limit: int, text: str
     characters. It is therefore matched against the distinct runs of the corpus, and only the
     first `limit` chunks of a run can matter to the answer.
     """
-    literals = requests.select("request_id", F.explode(tx.literal_terms(F.col(text))).alias("literal")).select(
-        "request_id", tx.ascii_lower(F.col("literal")).alias("literal")
-    ).distinct()
+    literals = cut(
+        requests.select("request_id", F.explode(tx.literal_terms(F.col(text))).alias("literal")).select(
+            "request_id", tx.ascii_lower(F.col("literal")).alias("literal")
+        ).distinct()
+    )
     runs = F.array_distinct(F.regexp_extract_all(tx.ascii_lower(F.col("content")), F.lit(tx.WORD_RUN), 0))
     flat = chunks.select("chunk_id", "path", "start_line", F.explode(runs).alias("run"))
     place = [F.col("path"), F.col("start_line")]
-    heads = top_k(flat, ["run"], place, limit, "_n").drop("_n")
-    pairs = containing(literals.select("literal").distinct(), heads.select("run").distinct(), "literal", "run")
+    heads = cut(top_k(flat, ["run"], place, limit, "_n").drop("_n"))
+    pairs = cut(containing(literals.select("literal").distinct(), heads.select("run").distinct(), "literal", "run"))
     hits = pairs.join(heads, "run").select("literal", "chunk_id", "path", "start_line").distinct()
     per_literal = top_k(hits, ["literal"], place, limit, "_n").drop("_n")
     found = literals.join(per_literal, "literal").select("request_id", "chunk_id", "path", "start_line").distinct()

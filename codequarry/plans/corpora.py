@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
+from codequarry.session import cut
 from codequarry.sources.tables import load, spread
 
 # A line number never reaches this: documents hold at most 20,000 words.
@@ -80,14 +81,14 @@ def outline_symbols(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def outline_calls(spark: SparkSession, sf: str) -> DataFrame:
+def outline_calls(spark: SparkSession, sf: str, symbols: DataFrame | None = None) -> DataFrame:
     """Calls of the document corpus: each line calls its second word.
 
     The target is set when exactly one symbol carries that name, else the call is ambiguous or
     unresolved. The count per name is aggregated first, so a frequent name never fans out.
     """
     rows = line_rows(spark, sf)
-    symbols = outline_symbols(spark, sf)
+    symbols = outline_symbols(spark, sf) if symbols is None else symbols
     words = F.regexp_extract_all("line", F.lit("[A-Za-z_][A-Za-z0-9_]*"), 0)
     calls = rows.withColumn("callee_name", F.try_element_at(words, F.lit(2))).filter("callee_name IS NOT NULL")
     calls = calls.select(
@@ -114,6 +115,12 @@ def outline_calls(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_outline(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and calls written once, for jobs that read them several times."""
+    symbols = cut(outline_symbols(spark, sf))
+    return symbols, cut(outline_calls(spark, sf, symbols))
+
+
 SQL_OUTLINE = f"""{SQL_LINE_ROWS},
 symbols AS (
   SELECT file_id * {LINE_STRIDE} + line_no AS symbol_id, project_id, file_id, path, language,

@@ -103,7 +103,7 @@ found AS (SELECT c.*, row_number() OVER (PARTITION BY target_symbol_id ORDER BY
 SELECT target_symbol_id, rank, f.path, f.start_line, s.name AS caller_name FROM found f
 LEFT JOIN symbols s ON s.symbol_id = caller_symbol_id WHERE rank <= 5""")
 def references_by_target(spark, sf):
-    symbols, calls = co.outline_symbols(spark, sf), co.outline_calls(spark, sf)
+    symbols, calls = co.stored_outline(spark, sf)
     targets = symbols.select(F.col("symbol_id").alias("target_symbol_id"))
     return edges.references_to(targets, calls, symbols, 5).select(
         "target_symbol_id", "rank", "path", "start_line", "caller_name"
@@ -117,7 +117,8 @@ near AS (SELECT a.request_id, a.candidate, h.*, row_number() OVER (PARTITION BY
 SELECT request_id, candidate, rank, call_id, path, coalesce(target_name, callee_name) AS symbol,
   round(0.95::DOUBLE - least(rank - 1, 20) * 0.01::DOUBLE, 6) AS score FROM near WHERE rank <= 10""")
 def references_by_name(spark, sf):
-    heads = lookup.reference_heads(co.outline_calls(spark, sf), co.outline_symbols(spark, sf), 20)
+    symbols, calls = co.stored_outline(spark, sf)
+    heads = lookup.reference_heads(calls, symbols, 20)
     found = lookup.references(named_requests(spark, sf), heads, 10, _KEYS)
     return found.select(
         "request_id", "candidate", "rank", "call_id", "path", F.coalesce("target_name", "callee_name").alias("symbol"),
@@ -130,7 +131,7 @@ SELECT request_id, candidate, relation, rank, symbol_id, round(0.88::DOUBLE - le
 JOIN (SELECT k, rank, symbol_id, 'caller' AS relation FROM caller_heads UNION ALL SELECT k, rank, symbol_id, 'callee' FROM callee_heads)
   ON k = lower(name) WHERE rank <= 30""")
 def callers_and_callees(spark, sf):
-    symbols, calls = co.outline_symbols(spark, sf), co.outline_calls(spark, sf)
+    symbols, calls = co.stored_outline(spark, sf)
     asked = named_requests(spark, sf)
     sides = [
         lookup.neighbours(asked, lookup.neighbour_heads(calls, symbols, relation, 30), 30).withColumn(

@@ -15,7 +15,7 @@ from codequarry.operators import resolve
 from codequarry.operators.evidence import joined
 from codequarry.plans.graph_queries import sites
 from codequarry.session import cut
-from codequarry.sources.tables import load, spread
+from codequarry.sources.tables import load
 
 PROJECT = "shop"
 PART_BLOCK, ORDER_BLOCK = 50, 32
@@ -78,7 +78,9 @@ def modules(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("content"),
     )
     every = part_files.unionByName(api_files).unionByName(order_files)
-    return spread(every, "file_id").select(
+    # Parsing costs far more than its bytes suggest, so the width is fixed and not left to coalescing.
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return every.repartition(width, "file_id").select(
         F.lit(PROJECT).alias("project_id"), "file_id", "path",
         F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("module"), "content",
     )

@@ -207,9 +207,7 @@ retrieved AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
 SELECT request_id, rank, path, start_line, end_line, relation, coalesce(symbol, '') AS symbol,
        round(score, 6) AS score, round(rrf_score, 9) AS rrf_score, sources FROM retrieved WHERE rank <= 12""")
 def hybrid_retrieve(spark, sf):
-    rows = fusion.hybrid_retrieve(
-        co.requests(spark, sf), co.outline_symbols(spark, sf), co.outline_calls(spark, sf), chunk_rows(spark, sf)
-    )
+    rows = fusion.hybrid_retrieve(co.requests(spark, sf), *co.stored_outline(spark, sf), chunk_rows(spark, sf))
     return rows.select(
         "request_id", "rank", "path", "start_line", "end_line", "relation", F.coalesce("symbol", F.lit("")).alias("symbol"),
         F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), "sources",
