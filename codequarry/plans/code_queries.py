@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
@@ -10,7 +13,8 @@ from codequarry.operators import facts as fa
 from codequarry.operators import intervals, project_map, resolve, segments
 from codequarry.plans import modules_corpus as mc
 from codequarry.plans.registry import query
-from codequarry.session import cut
+from codequarry.session import cut, shared_dir
+from codequarry.sources.tables import load
 
 
 @query("python_symbols", f"""WITH {mc.SQL_MODULES}
@@ -247,3 +251,62 @@ UNION ALL SELECT 5, '- 测试组织：未发现 Python 测试文件'""")
 def project_overview(spark, sf):
     rows = cut(project_map.extract_entries(mc.modules(spark, sf)), ["fact"])
     return project_map.overview(rows).select("line_no", "line")
+
+
+@query("entry_points_and_tests", """WITH names AS (SELECT s_suppkey, 'pkg' || s_nationkey || '/' || CASE s_suppkey % 7 WHEN 0 THEN 'main.py' WHEN 1 THEN 'CLI.py' WHEN 2 THEN 'test_' || s_suppkey || '.py'
+   WHEN 3 THEN 'Tests/x' || s_suppkey || '.py' WHEN 4 THEN '__main__.py' ELSE 'm' || s_suppkey || '.py' END AS path FROM supplier)
+SELECT s_suppkey, path, s_suppkey % 7 IN (0, 1, 4) OR s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 1) AS is_entry, s_suppkey % 7 IN (2, 3) AS is_test FROM names""")
+def entry_points_and_tests(spark, sf):
+    key = F.col("s_suppkey")
+    name = (
+        F.when(key % 7 == 0, "main.py").when(key % 7 == 1, "CLI.py").when(key % 7 == 2, F.concat(F.lit("test_"), key, F.lit(".py")))
+        .when(key % 7 == 3, F.concat(F.lit("Tests/x"), key, F.lit(".py"))).when(key % 7 == 4, "__main__.py")
+        .otherwise(F.concat(F.lit("m"), key, F.lit(".py")))
+    )
+    # The number keeps paths apart that share a directory and a name.
+    files = load(spark, sf, "supplier").select(key, F.concat(F.lit("pkg"), "s_nationkey", F.lit("/"), name).alias("real"), F.concat(key.cast("string"), F.lit("/"), name).alias("path"))
+    big = load(spark, sf, "lineitem").filter("l_quantity >= 50 AND l_linenumber = 1").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
+    mains = files.join(big, "s_suppkey").select("path", F.lit("main").alias("name"))
+    return project_map.classify_files(files, mains).select("s_suppkey", F.col("real").alias("path"), "is_entry", "is_test")
+
+
+@query("segment_table_function", f"""WITH {mc.SQL_MODULES}
+SELECT 'shop/parts/p_' || b || '.py' AS path, 2 + 2 * count(*) AS segments, 4 + {mc.PART_LINES} * count(*) AS last_line FROM gparts GROUP BY b""")
+def segment_table_function(spark, sf):
+    from codequarry.functions import sql
+
+    sql.register(spark)
+    mc.modules(spark, sf).filter("path LIKE 'shop/parts/%'").createOrReplaceTempView("part_modules")
+    return spark.sql(
+        "SELECT path, count(*) AS segments, max(end_line) AS last_line FROM part_modules, LATERAL code_segments(content, 'py') GROUP BY path"
+    )
+
+
+@query("code_tree_scan", f"""WITH {mc.SQL_MODULES}
+SELECT DISTINCT 'shop/parts/p_' || b || '.py' AS path, 'python' AS language, (4 + {mc.PART_LINES} * count(*))::BIGINT AS line_count FROM gparts GROUP BY b
+UNION ALL SELECT 'shop/api_' || b || '.py', 'python', count(*) FROM gparts GROUP BY b
+UNION ALL SELECT 'shop/orders/o_' || ob || '.py', 'python', max(s + body + 1) + CASE WHEN ob % 7 = 3 THEN 1 ELSE 0 END FROM gspans GROUP BY ob
+UNION ALL SELECT 'shop/__init__.py', 'python', 1 FROM region WHERE r_regionkey = 0""")
+def code_tree_scan(spark, sf):
+    """Writes the generated corpus as a real source tree from the executors and scans it back."""
+    from codequarry.sources import code_tree
+
+    root = f"{shared_dir(spark).rstrip('/').removeprefix('file:')}/codequarry-tree-{uuid.uuid4().hex}"
+
+    if "://" in root:
+        raise ValueError("a source tree needs a shared folder that executors can open as files")
+
+    def write(batches):
+        for batch in batches:
+            for record in batch.to_pylist():
+                target = os.path.join(root, record["path"])
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "w", encoding="utf-8") as handle:
+                    handle.write(record["content"])
+            yield batch.select(["path"])
+
+    package = spark.range(1).select(F.lit("shop/__init__.py").alias("path"), F.lit("x = 1\n").alias("content"))
+    every = mc.modules(spark, sf).select("path", "content").unionByName(package)
+    cut(every.mapInArrow(write, "path string"))
+    roots = spark.range(1).select(F.lit("shop").alias("project_id"), F.lit(root).alias("root"))
+    return code_tree.scan_tree(spark, roots).select("path", "language", F.size(tx.lines_of(F.col("content"))).alias("line_count"))

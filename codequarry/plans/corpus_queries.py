@@ -426,3 +426,39 @@ def numbered_and_skeleton(spark, sf):
         F.substring(ck.skeleton_part(kind, lines), 1, 300).alias("skeleton"),
         F.sha2(ck.imports_summary(lines), 256).alias("imports_hash"),
     )
+
+
+@query("relative_imports", f"""WITH {co.SQL_FILES},
+asked AS (SELECT file_id, project_id || '.' || language || '.m' || file_id AS module, file_id % 4 = 0 AS is_package,
+   CASE file_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'a.b' ELSE 'c' END AS imported, (file_id % 5)::INT AS level FROM files),
+home AS (SELECT *, CASE WHEN is_package THEN string_split(module, '.') ELSE string_split(module, '.')[:-2] END AS h FROM asked)
+SELECT file_id, CASE WHEN level = 0 THEN coalesce(imported, '')
+  ELSE array_to_string(list_concat(h[1:greatest(0, len(h) - level + 1)], CASE WHEN imported IS NULL THEN [] ELSE string_split(imported, '.') END), '.') END AS absolute FROM home""")
+def relative_imports(spark, sf):
+    number = F.col("file_id")
+    imported = F.when(number % 3 == 0, None).when(number % 3 == 1, "a.b").otherwise("c")
+    module = F.concat_ws(".", "project_id", "language", F.concat(F.lit("m"), number))
+    return co.files(spark, sf).select(
+        "file_id", px.absolute_module(module, number % 4 == 0, imported, (number % 5).cast("int")).alias("absolute")
+    )
+
+
+@query("distinct_in_order", """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM w""")
+def distinct_in_order(spark, sf):
+    """Order-preserving distinct, as used for warnings and ids."""
+    return load(spark, sf, "conversations").select(
+        "conv_id", "turn", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words")
+    )
+
+
+@query("sql_functions", f"""WITH {co.SQL_FILES}
+SELECT file_id, replace(path, '/', '/') AS normal, path GLOB 'src1*/[!e]?/doc_*' AS matched FROM files""")
+def sql_functions(spark, sf):
+    from codequarry.functions import sql
+
+    sql.register(spark)
+    odd = F.concat(F.lit(".\\"), F.replace("path", F.lit("/"), F.lit("//")))
+    return co.files(spark, sf).withColumn("odd", odd).select(
+        "file_id", F.expr("norm_path(odd)").alias("normal"), F.expr("path rlike glob_to_regex('src1*/[!e]?/doc_*')").alias("matched")
+    )

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
-from codequarry.operators import edges, fusion, lookup
+from codequarry.operators import edges, fusion, lookup, repo_map
 from codequarry.operators import files as fx
-from codequarry.operators.topk import top_k
 from codequarry.plans import corpora as co
 from codequarry.plans.registry import query
 from codequarry.plans.search_queries import SQL_CANDIDATES, SQL_GRAPH_HEADS
@@ -156,53 +155,10 @@ def reverse_references(spark, sf):
 ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY module) AS rn FROM mods)
 SELECT path, string_agg(module, ', ' ORDER BY module) AS modules FROM ranked WHERE rn <= 8 GROUP BY path""")
 def imports_per_file(spark, sf):
-    return first_modules(co.outline_calls(spark, sf).select("path", F.lower("callee_name").alias("module")))
-
-
-def first_modules(imports, limit: int = 8):
-    """First distinct modules of each file, joined in order."""
-    heads = top_k(imports.distinct(), ["path"], [F.col("module")], limit)
-    return heads.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("module")), ", ").alias("modules"))
+    return repo_map.first_modules(co.outline_calls(spark, sf).select("path", F.lower("callee_name").alias("module")))
 
 
 MAP_TOKENS = 200
-MARKER = "… repository map truncated"
-
-
-def repository_map(files, symbols, imports, max_tokens: int):
-    """Files with their symbols per project, cut before the first line over the character budget.
-
-    Every line costs at least two characters, so only budget / 2 lines of a project can matter;
-    the rest never reaches the running sum.
-    """
-    budget = max(400, max_tokens * 4)
-    heads = files.join(first_modules(imports), "path", "left").select(
-        "project_id", "path", F.lit(-1).alias("kind_no"), F.lit(0).alias("start_line"), F.lit(0).cast("long").alias("symbol_id"),
-        F.concat("path", F.coalesce(F.concat(F.lit(" -> "), "modules"), F.lit(""))).alias("entry"),
-    )
-    kind_no = F.when(F.col("kind") == "class", 0).when(F.col("kind") == "function", 1).otherwise(2)
-    rows = symbols.select(
-        "project_id", "path", kind_no.alias("kind_no"), "start_line", "symbol_id",
-        F.concat(F.lit("  "), "kind", F.lit(" "), "qualified_name", F.lit(": "), F.trim("signature")).alias("entry"),
-    )
-    order = [F.col("path"), F.col("kind_no"), F.col("start_line"), F.col("symbol_id")]
-    lines = top_k(heads.unionByName(rows), ["project_id"], order, budget // 2 + 1)
-    used = F.sum(F.length("entry") + 1).over(
-        Window.partitionBy("project_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    counted = lines.withColumn("used", used)
-    shown = F.array_sort(F.collect_list(F.when(F.col("used") <= budget, F.struct("rank", "entry"))))
-    cut_off = F.max("used") > budget
-    texts = F.transform(shown, lambda x: x["entry"])
-    return counted.groupBy("project_id").agg(
-        F.array_join(
-            F.concat(texts, F.when(cut_off, F.array(F.lit(MARKER))).otherwise(F.array().cast("array<string>"))), "\n"
-        ).alias("map"),
-    )
-
-
-from pyspark.sql import Window  # noqa: E402
-
 
 @query("repository_map", f"""WITH {co.SQL_OUTLINE}, mods AS (SELECT DISTINCT path, lower(callee_name) AS module FROM calls),
 mods8 AS (SELECT path, string_agg(module, ', ' ORDER BY module) AS modules FROM (
@@ -211,11 +167,11 @@ entries AS (SELECT project_id, path, -1 AS kn, 0 AS start_line, path || coalesce
   UNION ALL SELECT project_id, path, CASE kind WHEN 'class' THEN 0 ELSE 1 END, start_line, '  ' || kind || ' ' || name || ': ' || trim(left(content, 60)) FROM symbols),
 summed AS (SELECT *, sum(length(entry) + 1) OVER (PARTITION BY project_id ORDER BY path, kn, start_line) AS used FROM entries)
 SELECT project_id, string_agg(entry, chr(10) ORDER BY path, kn, start_line) FILTER (used <= 800)
-   || CASE WHEN max(used) > 800 THEN chr(10) || '{MARKER}' ELSE '' END AS map FROM summed GROUP BY project_id""")
+   || CASE WHEN max(used) > 800 THEN chr(10) || '{repo_map.MARKER}' ELSE '' END AS map FROM summed GROUP BY project_id""")
 def repository_map_query(spark, sf):
     symbols = co.outline_symbols(spark, sf).select(
         "project_id", "path", "kind", "start_line", "symbol_id", F.col("name").alias("qualified_name"),
         F.substring("content", 1, 60).alias("signature"),
     )
     imports = co.outline_calls(spark, sf).select("path", F.lower("callee_name").alias("module"))
-    return repository_map(co.files(spark, sf), symbols, imports, MAP_TOKENS)
+    return repo_map.repository_map(co.files(spark, sf), symbols, imports, MAP_TOKENS)
