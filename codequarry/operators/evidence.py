@@ -82,6 +82,7 @@ def prompt_block() -> Column:
     )
 
 
+# Fixed value: the lead of the evidence section in a prompt.
 PROMPT_HEAD = "## 可验证代码证据\n只可引用下列证据 ID；代码事实后用 [E1] 形式标注。\n\n"
 
 

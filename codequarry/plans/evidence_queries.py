@@ -135,7 +135,7 @@ raw AS (SELECT file_id, s, 0 AS a, least(79, n - 1) AS b, n FROM span WHERE n >
   UNION ALL SELECT file_id, s, greatest(0, n - 35), n - 1, n FROM span WHERE n > 200
   UNION ALL SELECT file_id, s, greatest(0, focus - s - 45), least(n - 1, focus - s + 45), n FROM span WHERE n > 200 AND focus BETWEEN s AND s + n - 1),
 marked AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY file_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM raw),
-grp AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY a, b) AS g FROM marked),
+grp AS (SELECT *, (sum(fresh) OVER (PARTITION BY file_id ORDER BY a, b))::BIGINT AS g FROM marked),
 merged AS (SELECT file_id, s, g - 1 AS idx, min(a) AS a, max(b) AS b FROM grp GROUP BY ALL)
 SELECT file_id, idx AS window_no, s + a AS start_line, s + b AS end_line FROM merged
 UNION ALL SELECT file_id, 0, s, s + n - 1 FROM span WHERE n <= 200""")

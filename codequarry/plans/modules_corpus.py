@@ -108,7 +108,7 @@ SQL_MODULES = f"""gparts AS (SELECT p_partkey AS p, p_partkey // {PART_BLOCK} AS
    4 + {PART_LINES} * (row_number() OVER (PARTITION BY p_partkey // {PART_BLOCK} ORDER BY p_partkey) - 1) AS o4 FROM part),
 gsites AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_partkey) // {PART_BLOCK} AS b FROM lineitem GROUP BY ALL),
 gorders AS (SELECT o_orderkey AS o, o_orderkey // {ORDER_BLOCK} AS ob, coalesce(k, 0) AS body FROM orders
-   LEFT JOIN (SELECT o, sum(CASE WHEN n % 5 IN (3, 4) THEN 1 ELSE 2 END) AS k FROM gsites GROUP BY 1) s ON s.o = o_orderkey),
+   LEFT JOIN (SELECT o, sum(CASE WHEN n % 5 IN (3, 4) THEN 1 ELSE 2 END)::BIGINT AS k FROM gsites GROUP BY 1) s ON s.o = o_orderkey),
 gspans AS (SELECT *, 2 + coalesce(sum(body + 2) OVER (PARTITION BY ob ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM gorders),
 gfine AS (SELECT * FROM gspans WHERE ob % 7 <> 3),
 gsym AS (
@@ -136,7 +136,7 @@ gcall AS (
   UNION ALL
   SELECT 'shop/orders/o_' || ob || '.py', s + body + 1, 'order_' || o, 'missing_' || o, 'missing_' || o, 'shop.orders.o_' || ob, '', NULL, 'unresolved', 0.0::DOUBLE FROM gfine
   UNION ALL
-  SELECT 'shop/orders/o_' || f.ob || '.py', f.s + sum(CASE WHEN n % 5 IN (3, 4) THEN 1 ELSE 2 END) OVER (PARTITION BY g.o ORDER BY n), 'order_' || g.o,
+  SELECT 'shop/orders/o_' || f.ob || '.py', f.s + (sum(CASE WHEN n % 5 IN (3, 4) THEN 1 ELSE 2 END) OVER (PARTITION BY g.o ORDER BY n))::BIGINT, 'order_' || g.o,
     CASE n % 5 WHEN 4 THEN 'price' ELSE 'make_' || p END,
     CASE n % 5 WHEN 1 THEN 'go_' || n WHEN 2 THEN 'm_' || n || '.make_' || p WHEN 3 THEN 'item.make_' || p WHEN 4 THEN 'item.price' ELSE 're_' || n END,
     CASE n % 5 WHEN 1 THEN 'shop.parts.p_' || b WHEN 2 THEN 'shop.parts.p_' || b WHEN 0 THEN 'shop.api_' || b ELSE '' END, '',
