@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -382,7 +383,7 @@ def _answers(table: pa.Table, made: Iterator[tuple[int, bytes]]) -> pa.Table:
 
 
 def _blocks_of(table: pa.Table) -> tuple[list[int], list[tuple]]:
-    tokens = table.filter(pa.compute.invert(table.column("meta")))
+    tokens = table.filter(pc.invert(table.column("meta")))
     return tokens.column("chunk").to_pylist(), [_unpack_pairs(d.as_py()) for d in tokens.column("data")]
 
 
@@ -390,7 +391,7 @@ def _added(table: pa.Table) -> pa.Table:
     """One block's documents with the sums of all shards added."""
     rows = pa.ipc.open_stream(table.filter(table.column("meta")).column("data")[0].as_py()).read_all()
     score, base, known = (rows.column(n).to_numpy().copy() for n in ("score", "base", "known"))
-    for item in table.filter(pa.compute.invert(table.column("meta"))).column("data"):
+    for item in table.filter(pc.invert(table.column("meta"))).column("data"):
         data = item.as_py()
         n = int(np.frombuffer(data, np.int64, 1)[0])
         doc = np.frombuffer(data, np.uint16, n, 8 + 16 * n).astype(np.int64)
