@@ -150,7 +150,7 @@ def matches(text: np.ndarray, doc_of: np.ndarray, suffixes: Suffixes) -> tuple[n
     head = np.ones(len(place), dtype=bool)
     head[1:] = (item[1:] != item[:-1]) | (place[1:] - at[1:] != place[:-1] - at[:-1]) | (place[1:] != place[:-1] + 1)
     starts = np.flatnonzero(head)
-    last = np.append(starts[1:], len(place)) - 1
+    last = np.append(starts[1:], len(place))[: len(starts)] - 1
     return doc_of[place[starts]], item[starts], place[starts], at[starts], place[last] + length[last] - place[starts]
 
 

@@ -202,6 +202,7 @@ LABELLED = [
     (0, 0, 2, 30, 40, 1.0, 0.0, 0.0, 0, 1), (0, 0, 40, 3, 50, 0.0, 0.0, 0.0, 0, 1), (0, 0, 0, 8, 70, 0.0, 0.0, 0.0, 0, 1),
     (0, 0, 60, 25, 3, 0.0, 0.1, 1.0, 0, 1), (0, 0, 25, 20, 18, 0.0, 0.0, 0.0, 0, 1), (0, 0, 1, 100, 1, 1.0, 0.0, 1.0, 0, 1),
     (0, 0, 30, 1, 28, 0.0, 0.0, 0.0, 0, 1), (0, 0, 0, 40, 0, 0.0, 0.0, 0.0, 0, 1), (0, 0, 0, 15, 0, 0.0, 0.0, 0.0, 0, 1),
+    (0, 0, 0, 6, 0, 0.0, 0.0, 0.0, 0, 1), (0, 0, 0, 2, 0, 0.0, 0.0, 0.0, 0, 1),
     (0, 0, 0, 2, 2, 0.0, 1.0, 1.0, 0, 0), (0, 0, 2, 2, 2, 1.0, 1.0, 1.0, 0, 0), (0, 0, 3, 4, 60, 1.0, 1.0, 0.0, 0, 0),
     (0, 0, 60, 5, 3, 0.0, 0.8, 1.0, 0, 0), (0, 0, 2, 8, 2, 1.0, 0.6, 1.0, 0, 0), (0, 0, 5, 20, 5, 1.0, 0.7, 1.0, 0, 0),
     (0, 0, 3, 3, 3, 1.0, 0.0, 1.0, 0, 0), (0, 0, 2, 6, 1, 1.0, 0.0, 1.0, 0, 0), (0, 0, 40, 12, 3, 0.0, 0.9, 1.0, 0, 0),

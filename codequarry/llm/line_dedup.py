@@ -17,7 +17,7 @@ one source, never all other occurrences.
 
 Defined results: null texts stay null, empty ones empty; rows equal in id and text are one document
 and keep the same pieces; a document whose every piece repeats becomes the empty text; columns other
-than `text` stay as they are; an empty table gives an empty result. `n_chars` isn't recomputed.
+than `text` and its length stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -197,12 +197,15 @@ def _rewrite(joined: DataFrame, carry: list[str], text: str) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, new_text string, n_pieces bigint, n_gone bigint, gone_words bigint")
 
 
-def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """The rows with repeated runs cut out of `text`, all other columns untouched."""
+def dedup(docs: DataFrame, run_words: int = RUN_WORDS, length: str = "n_chars") -> DataFrame:
+    """The rows with repeated runs cut out of `text` and, where there is such a column, `length` counted anew."""
     frame, joined = _with_repeats(docs, run_words)
     slot = frame.slot("text")
     others = [s for s in frame.slots if s != slot]
     done = _rewrite(joined, others, slot).withColumn(slot, F.col("new_text"))
+    if length in frame.names:
+        chars = frame.slot(length)
+        done = done.withColumn(chars, F.when(F.col("n_gone") > 0, F.length("new_text").cast(frame.types[frame.names.index(length)].dataType)).otherwise(F.col(chars)))
     return frame.back(done)
 
 

@@ -278,8 +278,8 @@ def _route(rows: DataFrame, own) -> DataFrame:
             order = np.lexsort((by_context[before], by_hash[word], shard))
         before, word, doc, shard = before[order], word[order], doc[order], shard[order]
         flagged = doc | np.where(np.array(train)[doc], TRAIN_BIT, 0)
-        heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
-        for a, b in zip(heads, [*heads[1:], len(shard)], strict=True):
+        heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
+        for a, b in zip(heads, np.append(heads[1:], len(shard)) if len(shard) else heads, strict=True):
             yield int(shard[a]), chunk, False, _pack_pairs(hashes[word[a:b]], hashes[before[a:b]] & CONTEXT_MASK, flagged[a:b])
         table = pa.table({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([not t for t in train]), "n_tokens": pa.array(lengths - 1, pa.int64()),

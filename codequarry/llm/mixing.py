@@ -103,14 +103,15 @@ def _key(source: Column) -> Column:
 def _shares(targets: DataFrame) -> DataFrame:
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    shares = targets.withColumn("whole", F.floor(factor)).withColumn("rest", rest).withColumn("share", F.col("rest") / F.col("source_size"))
+    shares = targets.withColumn("whole", F.floor(factor)).withColumn("rest", rest).withColumn("share", F.try_divide("rest", "source_size"))
     return shares.select(_key(F.col("source")).alias("key"), "source_size", "target", "whole", "rest", "share")
 
 
 def _placed(sized: DataFrame, shares: DataFrame) -> DataFrame:
     """Rows with their source's figures, their ratio in the Pareto order and its step."""
-    odds = F.col("share") / (F.lit(1.0) - F.col("share")) / (F.lit(1.0) + F.col("size") / F.col("rest"))
-    ratio = F.col("u") / (F.lit(1.0) - F.col("u")) / odds
+    # Nothing to fill, or a rest that rounding made a whole copy: no odds and no place in the order.
+    odds = F.try_divide(F.try_divide(F.col("share"), F.lit(1.0) - F.col("share")), F.lit(1.0) + F.try_divide(F.col("size"), F.col("rest")))
+    ratio = F.try_divide(F.col("u") / (F.lit(1.0) - F.col("u")), odds)
     # Documents without words take nothing whatever their place, so they need none.
     joined = sized.withColumn("key", _key(F.col("source"))).join(shares, "key")
     placed = joined.withColumn("ratio", F.when((F.col("rest") > 0) & (F.col("size") > 0), ratio))
