@@ -28,18 +28,27 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import pick
 
 # Which elements begin a block, hold nothing visible, never have an end tag, or enclose furniture or articles.
-BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = set("script style noscript template head title iframe object svg canvas math audio video select textarea button option".split())
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
-FURNITURE = set("nav header footer aside form menu dialog".split())
-ARTICLE = set("article main".split())
-RAW = set("script style textarea title".split())
+BLOCK = set([
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol",
+    "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+])
+HIDDEN = set([
+    "script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "canvas", "math", "audio", "video", "select",
+    "textarea", "button", "option",
+])
+VOID = set(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
+FURNITURE = set(["nav", "header", "footer", "aside", "form", "menu", "dialog"])
+ARTICLE = set(["article", "main"])
+RAW = set(["script", "style", "textarea", "title"])
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|byline|comment\w*|consent|cookies?|disclaimer|disqus|dropdown|foot|footer|gdpr|head|header|hidden|login|masthead|menu|meta|modal"
     r"|nav|navbar|navigation|newsletter|notice|overlay|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
-_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alertdialog toolbar".split())
+_ROLES = set([
+    "navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "toolbar",
+])
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CLOSES = {

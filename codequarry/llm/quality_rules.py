@@ -20,10 +20,18 @@ from codequarry.llm.common import Carried, let, pick, words_of
 
 # Frequent function words of the four languages that the stop-word rule knows.
 STOP_WORDS = {
-    "en": "the of and to a in is that it for on was with as be by this are at from".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im nicht dem ein eine als".split(),
-    "fr": "de la le et les des en un du une que est pour par dans qui avec pas sur au".split(),
-    "es": "de la que el en y los se las del un por con no su una para es al lo".split(),
+    "en": [
+        "the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "on", "was", "with", "as", "be", "by", "this", "are", "at", "from",
+    ],
+    "de": [
+        "der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "nicht", "dem", "ein",
+        "eine", "als",
+    ],
+    "fr": [
+        "de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "par", "dans", "qui", "avec", "pas", "sur",
+        "au",
+    ],
+    "es": ["de", "la", "que", "el", "en", "y", "los", "se", "las", "del", "un", "por", "con", "no", "su", "una", "para", "es", "al", "lo"],
 }
 
 

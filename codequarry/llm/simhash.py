@@ -158,6 +158,8 @@ def link_group(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, n
             alive &= ~sure & ~same
             kept_left.append(a[alive])
             kept_right.append(b[alive])
+        if not kept_left:
+            break
         left, right = np.concatenate(kept_left), np.concatenate(kept_right)
         if level:
             below = len(levels[level - 1][0])

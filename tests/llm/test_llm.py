@@ -391,6 +391,14 @@ def test_simhash_keeps_one_of_repeated_rows(spark, odd):
     assert [k for k in kept if k[0] is None] == [(None, passage(7, 90))]
 
 
+def test_large_group_that_is_linked_early():
+    fps = np.arange(4096, dtype=np.uint64)
+    a, b = simhash.link_group(fps)
+    assert len(b) == 4095 and set(a.tolist()) == {0}
+    apart = np.array([1 << 10, (1 << 10) | 0xFFFF << 40, 1 << 63], dtype=np.uint64)
+    assert len(simhash.link_group(apart)[0]) == 0
+
+
 @pytest.mark.parametrize("spread", [2, 6, 12, 40])
 def test_group_links_against_brute_force(spread):
     rng = np.random.default_rng(spread)
