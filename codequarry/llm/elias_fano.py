@@ -3,7 +3,7 @@
 A sorted sequence keeps the low bits of every value as they are and the high bits as a unary bit
 vector, in which the i-th one stands at place high(i) + i. Level 1 holds the words of a shard and, as
 further monotone sequences, their running counts and the pointers to their contexts; level 2 holds
-each word's contexts relative to that word (its rank, then 48 bits of the context), so that one
+each word's contexts relative to that word (its rank, then up to 48 bits of the context), so that one
 monotone sequence serves all words and a search stays within one word's range. Level 2's payload is a
 16-bit code of the smoothed numerator.
 """
@@ -78,10 +78,16 @@ def _unframed(data: np.ndarray) -> list[np.ndarray]:
     return parts
 
 
+def kept_bits(words: int) -> int:
+    """Bits of a context beside the rank of its word in 64; with 65,000 words or fewer that is all of it."""
+    return min(CONTEXT_BITS, 64 - max(1, words).bit_length())
+
+
 def build(words: np.ndarray, counts: np.ndarray, word_of: np.ndarray, contexts: np.ndarray, weights: np.ndarray) -> bytes:
     """The byte form of a trie: sorted words with counts; (rank of word, context) sorted, with the logs of their numerators."""
     pointers = np.searchsorted(word_of, np.arange(len(words) + 1))
-    joined = (word_of.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts
+    bits = kept_bits(len(words))
+    joined = (word_of.astype(np.uint64) << np.uint64(bits)) | (contexts >> np.uint64(CONTEXT_BITS - bits))
     low = float(weights.min()) if len(weights) else 0.0
     step = (float(weights.max()) - low) / 65535 if len(weights) else 0.0
     codes = np.zeros(len(weights), dtype=np.uint16) if step == 0 else np.rint((weights - low) / step).astype(np.uint16)
@@ -129,7 +135,8 @@ class Trie:
             return np.zeros(len(ranks), dtype=bool), np.zeros(len(ranks))
         known = np.maximum(ranks, 0)
         low, high = self.pointers.get(known).astype(np.int64), self.pointers.get(known + 1).astype(np.int64)
-        wanted = (known.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | contexts
+        bits = kept_bits(self.words.n)
+        wanted = (known.astype(np.uint64) << np.uint64(bits)) | (contexts >> np.uint64(CONTEXT_BITS - bits))
         at = self.contexts.successor(wanted, low, np.where(ranks >= 0, high, low))
         found = (ranks >= 0) & (at < high) & (self.contexts.get(np.minimum(at, n - 1)) == wanted)
         return found, np.where(found, self.low + self.step * self.codes[np.minimum(at, n - 1)], 0.0)

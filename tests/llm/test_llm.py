@@ -276,6 +276,23 @@ def test_elias_fano_round_trip():
                 assert (at == np.searchsorted(values, asked)).all()
 
 
+def test_trie_with_many_words():
+    """More words than sixteen bits number, so contexts keep fewer bits beside a word's rank."""
+    rng = np.random.default_rng(4)
+    words = np.unique(rng.integers(0, 1 << 63, 90_000, dtype=np.uint64))
+    rank = np.sort(rng.integers(0, len(words), 200_000))
+    contexts = rng.integers(0, 1 << 48, len(rank), dtype=np.uint64)
+    contexts = contexts[np.lexsort((contexts, rank))]
+    weights = rng.normal(-3, 1, len(rank))
+    trie = elias_fano.Trie(elias_fano.build(words, np.arange(1, len(words) + 1), rank, contexts, weights))
+    at = rng.integers(0, len(rank), 5000)
+    found, value = trie.numerators(trie.ranks(words[rank[at]]), contexts[at])
+    assert found.all() and np.abs(value - weights[at]).max() < 1e-3
+    assert (trie.counts(np.arange(len(words))) == np.arange(1, len(words) + 1)).all()
+    assert (trie.ranks(words[:100] + np.uint64(1)) == -1).all()
+    assert not trie.numerators(trie.ranks(words[rank[at]]), rng.integers(0, 1 << 48, 5000, dtype=np.uint64))[0].any()
+
+
 def vocabulary():
     import public_tokenizers
 
