@@ -130,8 +130,9 @@ def _count_pairs(rows: DataFrame, hot: list[int]) -> np.ndarray:
                 own = words(text.as_py())
                 if len(known) > 400_000:
                     known = {w: i for w, i in known.items() if i >= 0}
-                for w in set(own) - known.keys():
-                    known[w] = place.get(xxhash.xxh64_intdigest(w), -1)
+                for w in own:
+                    if w not in known:
+                        known[w] = place.get(xxhash.xxh64_intdigest(w), -1)
                 ids = np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own))
                 before, after = np.append(size, ids), np.append(ids, end)
                 both = (before >= 0) & (after >= 0)
