@@ -48,8 +48,9 @@ class Encoder:
         memory = self.memory
         if len(memory) > REMEMBERED:
             memory.clear()
-        for piece in set(pieces) - memory.keys():
-            memory[piece] = len(self.encoding.encode_ordinary(piece))
+        for piece in pieces:
+            if piece not in memory:
+                memory[piece] = len(self.encoding.encode_ordinary(piece))
         self.encoded += len(pieces)
         return [memory[p] for p in pieces]
 
@@ -172,10 +173,9 @@ class TokenTree:
         head, head_n = own[:left], self.slots[first][1][:left]
         slot, j = last
         rest, rest_n = self.slots[slot][0][j:], self.slots[slot][1][j:]
-        keep = self._tail(old, tail) if met else ([], [])
-        counts = self.encoder.counts(fresh)
-        pieces = [*head, *fresh, *keep[0], *rest]
-        numbers = [*head_n, *counts, *self.known(keep[0]), *rest_n]
+        keep = self._tail(old, len(tail)) if met else []
+        pieces = [*head, *fresh, *keep, *rest]
+        numbers = [*head_n, *self.encoder.counts(fresh), *self.known(keep), *rest_n]
         for i in range(first + 1, slot + 1):
             self._set(i, [], [])
         if len(pieces) > 8 * SLOT:
@@ -186,15 +186,13 @@ class TokenTree:
             self._set(first, pieces, numbers)
 
     @staticmethod
-    def _tail(old: list[str], tail: str) -> tuple[list[str], list[int]]:
-        """The last old pre-tokens that make up `tail`."""
-        kept, size = [], 0
-        for piece in reversed(old):
-            if size >= len(tail):
-                break
-            kept.append(piece)
-            size += len(piece)
-        return kept[::-1], []
+    def _tail(old: list[str], size: int) -> list[str]:
+        """The last old pre-tokens, of `size` characters together."""
+        kept: list[str] = []
+        while size > 0:
+            kept.append(old[-1 - len(kept)])
+            size -= len(kept[-1])
+        return kept[::-1]
 
     def known(self, pieces: list[str]) -> list[int]:
         """Counts of pre-tokens that are in the tree already."""
