@@ -2,18 +2,18 @@
 
 A text is cut into line pieces: at line breaks, after sentence and clause marks, and inside a long
 piece without marks after words that a hash picks, so that equal passages are cut alike wherever they
-stand in a line. Every run of pieces with at least `run_words` words is a gram; of each run's pieces
-the one with the smallest hash is its fingerprint (winnowing: a repeated run always repeats its
-fingerprint, and far fewer pieces are selected than there are).
+stand in a line. Every run of pieces with at least `run_words` words is compared; the smallest piece
+hash of a run is its fingerprint (winnowing: a repeated run always repeats its fingerprint).
 
- 1. Fingerprints are counted over all documents; those found once can't be part of a repeat.
- 2. Grams of the others are joined by the hash of the whole run; the first in the order of documents
-    is the source, all others are repeats of it.
- 3. A repeat is extended both ways by the neighbouring grams that also repeat; the union is deleted.
+ 1. Each task hashes the runs of its documents and keeps the first of equal ones; the others are
+    repeats already. So a passage that a third of all documents share is one row per task.
+ 2. The fingerprint names the shard of a run. Runs that could be equal meet there, once: the first in
+    the order of documents is the source, all others are repeats of it. Every occurrence meets one
+    source, never all other occurrences.
+ 3. A repeat is extended both ways by the neighbouring runs that also repeat; the union is deleted.
 
 So a piece goes exactly if it lies in a run of at least `run_words` words that stands in an earlier
-document, or earlier in the same one. Documents are ordered by id, nulls last. Every occurrence meets
-one source, never all other occurrences.
+document, or earlier in the same one. Documents are ordered by id, nulls last.
 
 Defined results: null texts stay null, empty ones empty; rows equal in id and text are one document
 and keep the same pieces; a document whose every piece repeats becomes the empty text; columns other
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -63,83 +64,153 @@ def pieces(text: str) -> list[str]:
     return whole
 
 
-def grams(text: str | None, run_words: int = RUN_WORDS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces with, per gram: first piece, last + 1, hash of the run, and the hash of its fingerprint and where that is."""
-    parts = pieces(text or "")
-    n = len(parts)
-    # White space around a piece doesn't count, so a passage is found at a line's end as in its middle.
-    bare = [p.strip() for p in parts]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b) for b in bare), dtype=np.uint64, count=n)
-    counts = np.fromiter((b.count(" ") + 1 if b else 0 for b in bare), dtype=np.int64, count=n)
-    upto = np.concatenate([[0], np.cumsum(counts)])
+@dataclass
+class Runs:
+    """Runs of the texts of one block: text, first piece, last + 1, hash, and the hash of the fingerprint."""
+
+    text: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    run: np.ndarray
+    fingerprint: np.ndarray
+
+
+def runs_of(texts: list[str | None], run_words: int = RUN_WORDS) -> Runs:
+    """All runs of a block of texts, in order. A run starts at every piece that isn't blank and has words enough after it."""
+    bare: list[str] = []
+    place: list[int] = []
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        # White space around a piece doesn't count, so a passage is found at a line's end as in its middle.
+        own = [p.strip() for p in pieces(text or "")]
+        kept = [k for k, b in enumerate(own) if b]
+        bare += [own[k] for k in kept]
+        place += kept
+        sizes[i] = len(kept)
+    n = len(bare)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(b) for b in bare), dtype=np.uint64, count=n)
+    upto = np.concatenate([[0], np.cumsum(np.fromiter((b.count(" ") + 1 for b in bare), dtype=np.int64, count=n))])
+    text = np.repeat(np.arange(len(texts)), sizes)
+    end = np.repeat(np.cumsum(sizes), sizes)
     stop = np.searchsorted(upto, upto[:-1] + run_words, side="left")
-    # A blank piece starts no run of its own.
-    start = np.flatnonzero((stop <= n) & (counts > 0))
+    start = np.flatnonzero(stop <= end)
     stop = stop[start]
-    run = np.zeros(len(start), dtype=np.uint64)
-    best = np.full(len(start), np.iinfo(np.uint64).max, dtype=np.uint64)
-    where = np.zeros(len(start), dtype=np.int64)
-    prime = np.uint64(0x9E3779B97F4A7C15)
+    # Hash of pieces [start, stop): differences of a running sum in powers of an odd number, brought to power zero.
+    base = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(int(base), -1, 1 << 64))
+    power = np.cumprod(np.full(n, base, dtype=np.uint64), dtype=np.uint64)
+    inverse = np.cumprod(np.full(n, back, dtype=np.uint64), dtype=np.uint64)
+    summed = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power, dtype=np.uint64)])
+    mixed = (summed[stop] - summed[start]) * inverse[start] if n else np.zeros(0, dtype=np.uint64)
+    run = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    smallest = np.full(len(start), np.iinfo(np.uint64).max, dtype=np.uint64)
     for d in range(int((stop - start).max()) if len(start) else 0):
-        at = start + d
-        inside = (at < stop) & (counts[np.minimum(at, n - 1)] > 0)
-        h = hashes[np.minimum(at, n - 1)]
-        mixed = (run ^ h) * prime
-        run = np.where(inside, mixed ^ (mixed >> np.uint64(29)), run)
-        smaller = inside & (h < best)
-        best, where = np.where(smaller, h, best), np.where(smaller, at, where)
-    return parts, start, stop, run, best, where
-
-
-def _fingerprints(plain: DataFrame, run_words: int) -> DataFrame:
-    """Selected fingerprints of (rid, doc_id, text) rows, each with the grams that selected it."""
+        inside = start + d < stop
+        smallest[inside] = np.minimum(smallest[inside], hashes[start[inside] + d])
+    at = np.array(place, dtype=np.int64)
+    return Runs(text[start], at[start], at[stop - 1] + 1, run ^ (run >> np.uint64(32)), smallest)
+
+
+#: Characters of text in one block, which bounds a task's memory.
+BLOCK_CHARS = 16_000_000
+_RUN = np.dtype([("run", "<u8"), ("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("length", "<u4"), ("no_id", "u1")])
+_REPEAT = "rid bigint, doc_id bigint, start bigint, stop bigint, source_rid bigint, source_doc_id bigint, source_start bigint"
+
+
+def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted rows and, for each, where the first row with its run is: the source."""
+    rows = rows[np.lexsort((rows["start"], rows["rid"], rows["doc"], rows["no_id"], rows["run"]))]
+    heads = np.flatnonzero(np.append(True, rows["run"][1:] != rows["run"][:-1])[: len(rows)])
+    return rows, np.repeat(heads, np.diff(np.append(heads, len(rows))))
+
+
+def _repeats(rows: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Which rows repeat another one: those of equal documents at the same place are the source itself."""
+    return (rows["rid"] != rows["rid"][source]) | (rows["start"] != rows["start"][source])
+
+
+def _found(rows: np.ndarray, source: np.ndarray) -> dict[str, pa.Array]:
+    """Columns of the repeats among the rows."""
+    mine = _repeats(rows, source)
+    rows, first = rows[mine], rows[source[mine]]
+    ids = lambda r: pa.array(r["doc"], mask=r["no_id"] == 1)
+    start = rows["start"].astype(np.int64)
+    return {
+        "rid": pa.array(rows["rid"]), "doc_id": ids(rows), "start": pa.array(start), "stop": pa.array(start + rows["length"]),
+        "source_rid": pa.array(first["rid"]), "source_doc_id": ids(first), "source_start": pa.array(first["start"].astype(np.int64)),
+    }
+
+
+def _blocks(plain: DataFrame, run_words: int, shards: int) -> DataFrame:
+    """Per block and shard the first occurrences of its runs, packed; repeats within a block as rows of a stream."""
+
+    def packed(rids: list[int], ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
+        found = runs_of(texts, run_words)
+        rows = np.zeros(len(found.run), dtype=_RUN)
+        rows["run"], rows["start"], rows["length"] = found.run, found.start, found.stop - found.start
+        rows["rid"] = np.array(rids, dtype=np.int64)[found.text]
+        rows["no_id"] = np.array([i is None for i in ids], dtype=np.uint8)[found.text]
+        rows["doc"] = np.array([i or 0 for i in ids], dtype=np.int64)[found.text]
+        shard_of = (found.fingerprint % np.uint64(shards)).astype(np.int64)
+        # The shard is a function of the run, so sorting by run keeps it at hand.
+        order = np.lexsort((rows["start"], rows["rid"], rows["doc"], rows["no_id"], rows["run"]))
+        rows, shard_of = rows[order], shard_of[order]
+        rows, source = _first(rows)
+        sink = pa.BufferOutputStream()
+        table = pa.table(_found(rows, source))
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        heads = np.unique(source)
+        rows, shard_of = rows[heads], shard_of[heads]
+        rows, shard_of = rows[(o := np.argsort(shard_of, kind="stable"))], shard_of[o]
+        cuts = np.flatnonzero(np.append(True, shard_of[1:] != shard_of[:-1])[: len(rows)])
+        ends = np.append(cuts[1:], len(rows))
+        data = [rows[a:b].tobytes() for a, b in zip(cuts, ends[: len(cuts)], strict=True)]
+        own = [int(shard_of[a]) for a in cuts]
+        kinds = [False] * len(own)
+        if table.num_rows:
+            data, own, kinds = [*data, sink.getvalue().to_pybytes()], [*own, int(rids[0]) % shards], [*kinds, True]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(data, pa.binary())], ["shard", "done", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rids, ids, texts, size = [], [], [], 0
         for batch in batches:
-            rid, doc, prints, starts, stops, runs = [], [], [], [], [], []
-            ids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for r, d, text in zip(ids, docs, batch.column(2), strict=True):
-                _, first, stop, hashes, best, where = grams(text.as_py(), run_words)
-                if not len(first):
-                    continue
-                # Grams that select the same piece follow each other.
-                heads = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-                tails = np.append(heads[1:], len(first))
-                for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
-                    rid.append(r)
-                    doc.append(d)
-                    prints.append(best[a])
-                    starts.append(first[a:b])
-                    stops.append(stop[a:b])
-                    runs.append(hashes[a:b].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
-                    pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64())),
-                ],
-                ["rid", "doc_id", "print", "starts", "stops", "runs"],
-            )
-
-    return plain.mapInArrow(run, "rid bigint, doc_id bigint, print bigint, starts array<bigint>, stops array<bigint>, runs array<bigint>")
+            for rid, doc_id, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = item.as_py()
+                rids.append(rid)
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text or "")
+                if size >= BLOCK_CHARS:
+                    yield packed(rids, ids, texts)
+                    rids, ids, texts, size = [], [], [], 0
+        if rids:
+            yield packed(rids, ids, texts)
+
+    return plain.mapInArrow(run, "shard bigint, done boolean, data binary")
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """All repeats of one shard: those found within blocks, and those between them."""
+    parts, passed = [], []
+    for done, item in zip(table.column("done").to_pylist(), table.column("data"), strict=True):
+        data = item.as_py()
+        if done:
+            passed.append(pa.ipc.open_stream(data).read_all())
+        else:
+            parts.append(np.frombuffer(data, dtype=_RUN))
+    rows = np.concatenate(parts) if parts else np.zeros(0, dtype=_RUN)
+    # Most runs are found once; only the others are put in order.
+    _, inverse, counts = np.unique(rows["run"], return_inverse=True, return_counts=True)
+    return pa.concat_tables([*passed, pa.table(_found(*_first(rows[counts[inverse] > 1])))])
 
 
 def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Every later occurrence of a run: rid, doc_id, pieces start..stop, and its source's rid, doc_id and start."""
     plain = pick(docs, "doc_id", "text").select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.col("doc_id").cast("bigint"), "text")
-    # Equal rows are one document; the text stays out of the shuffle.
-    selected = cut(_fingerprints(plain, run_words))
-    often = selected.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-    shared = selected.join(often, "print").select(
-        "rid", "doc_id", F.explode(F.arrays_zip("runs", "starts", "stops")).alias("g")
-    )
-    runs = cut(shared.select("rid", "doc_id", F.col("g.runs").alias("run"), F.col("g.starts").alias("start"), F.col("g.stops").alias("stop")))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("rid"), F.col("start"))
-    first = runs.groupBy("run").agg(F.min(place).alias("source"), F.count("*").alias("n")).filter("n > 1").select("run", "source")
-    met = runs.join(first, "run").filter((F.col("rid") != F.col("source.rid")) | (F.col("start") != F.col("source.start")))
-    return met.select(
-        "rid", "doc_id", "start", "stop",
-        F.col("source.rid").alias("source_rid"), F.col("source.doc_id").alias("source_doc_id"), F.col("source.start").alias("source_start"),
-    )
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _blocks(plain, run_words, shards).groupBy("shard").applyInArrow(_meet, _REPEAT)
 
 
 def matches(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
@@ -153,17 +224,16 @@ def matches(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     ).drop("rid", "source_rid", "diagonal", "island")
 
 
-def _cut_pieces(texts: pa.Array, gone: pa.Array) -> tuple[list, list, list, list]:
-    out, n_pieces, n_gone, gone_words = [], [], [], []
+def _cut_pieces(texts: pa.Array, gone: pa.Array) -> tuple[list, list, list]:
+    out, n_gone, gone_words = [], [], []
     for text, drop in zip(texts, gone.to_pylist(), strict=True):
         whole = text.as_py()
-        parts = pieces(whole or "")
-        n_pieces.append(len(parts))
         if not drop:
             out.append(whole)
             n_gone.append(0)
             gone_words.append(0)
             continue
+        parts = pieces(whole or "")
         flags = np.zeros(len(parts), dtype=bool)
         for interval in drop:
             flags[interval["start"] : interval["stop"]] = True
@@ -171,7 +241,7 @@ def _cut_pieces(texts: pa.Array, gone: pa.Array) -> tuple[list, list, list, list
         out.append("".join(kept) if any(p.strip() for p in kept) else "")
         n_gone.append(int(flags.sum()))
         gone_words.append(sum(len(p.encode("utf-8", "surrogatepass").split()) for p, flag in zip(parts, flags, strict=True) if flag))
-    return out, n_pieces, n_gone, gone_words
+    return out, n_gone, gone_words
 
 
 def _with_repeats(docs: DataFrame, run_words: int) -> tuple[Carried, DataFrame]:
@@ -183,18 +253,18 @@ def _with_repeats(docs: DataFrame, run_words: int) -> tuple[Carried, DataFrame]:
 
 
 def _rewrite(joined: DataFrame, carry: list[str], text: str) -> DataFrame:
-    """Adds new_text, n_pieces, n_gone and gone_words."""
+    """Adds new_text, n_gone and gone_words."""
     fields = joined.select(*carry).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n_pieces, n_gone, gone_words = _cut_pieces(batch.column(len(carry)), batch.column(len(carry) + 1))
-            made = [pa.array(out, pa.string()), *[pa.array(x, pa.int64()) for x in (n_pieces, n_gone, gone_words)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], [*carry, "new_text", "n_pieces", "n_gone", "gone_words"])
+            out, n_gone, gone_words = _cut_pieces(batch.column(len(carry)), batch.column(len(carry) + 1))
+            made = [pa.array(out, pa.string()), pa.array(n_gone, pa.int64()), pa.array(gone_words, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], [*carry, "new_text", "n_gone", "gone_words"])
 
     rows = joined.select(*carry, F.col(text).alias("old_text"), "gone")
-    return rows.mapInArrow(run, f"{schema}, new_text string, n_pieces bigint, n_gone bigint, gone_words bigint")
+    return rows.mapInArrow(run, f"{schema}, new_text string, n_gone bigint, gone_words bigint")
 
 
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS, length: str = "n_chars") -> DataFrame:
@@ -210,8 +280,8 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, length: str = "n_chars")
 
 
 def report(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, n_pieces, n_gone, gone_words and the remaining text of every row."""
+    """doc_id, n_gone (pieces), gone_words and the remaining text of every row."""
     frame, joined = _with_repeats(docs, run_words)
     slot = frame.slot("doc_id")
     done = _rewrite(joined, [slot], frame.slot("text"))
-    return done.select(F.col(slot).cast("bigint").alias("doc_id"), "n_pieces", "n_gone", "gone_words", F.col("new_text").alias("text"))
+    return done.select(F.col(slot).cast("bigint").alias("doc_id"), "n_gone", "gone_words", F.col("new_text").alias("text"))
