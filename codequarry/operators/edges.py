@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as tx
 from codequarry.operators.lookup import containing
 from codequarry.operators.topk import top_k
+from codequarry.session import cut
 
 
 def calls_with_context(calls: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -27,44 +28,46 @@ def references_to(targets: DataFrame, calls: DataFrame, symbols: DataFrame, limi
 def trace(requests: DataFrame, calls: DataFrame, symbols: DataFrame, direction: str, limit: int) -> DataFrame:
     """requests(request_id, symbol_id) to direct callers or callees with status and confidence.
 
-    A neighbour reached with two confidences appears twice. Edges are made distinct before the join,
-    so many calls of one pair travel as one row.
+    A neighbour reached with two confidences appears twice. Only edges at an asked symbol are made
+    distinct, and that before the join, so many calls of one pair travel as one row.
     """
     anchor, other = (
         ("target_symbol_id", "caller_symbol_id") if direction == "callers" else ("caller_symbol_id", "target_symbol_id")
     )
+    asked = requests.withColumnRenamed("symbol_id", "_anchor")
     edges = calls.filter(F.col(anchor).isNotNull() & F.col(other).isNotNull()).select(
         F.col(anchor).alias("_anchor"), F.col(other).alias("symbol_id"), "resolution_status", "confidence"
-    ).distinct()
-    asked = requests.withColumnRenamed("symbol_id", "_anchor")
+    ).join(asked.select("_anchor").distinct(), "_anchor", "left_semi").distinct()
     found = asked.join(edges, "_anchor").join(symbols, "symbol_id")
     order = [F.col("confidence").desc(), F.col("path"), F.col("start_line"), F.col("symbol_id")]
     return top_k(found, ["request_id"], order, limit).drop("_anchor")
 
 
 def search_symbols(requests: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
-    """requests(request_id, needle, current_file): exact, then prefix, then substring matches.
+    """requests(request_id, project_id, needle, current_file): exact, then prefix, then substring matches.
 
-    Needles meet the distinct names, not the symbols; each name then offers its first rows overall
-    and its first rows in the current file, which together hold all the ranking can pick.
+    Needles meet the distinct names, not the symbols; each name then offers its first rows of the
+    project and its first rows in the current file, which together hold all the ranking can pick.
     """
-    asked = requests.select("request_id", "current_file", tx.ascii_lower(F.trim("needle")).alias("needle")).filter(
+    asked = requests.select("request_id", "project_id", "current_file", tx.ascii_lower(F.trim("needle")).alias("needle")).filter(
         "needle <> ''"
     )
     named = symbols.withColumn("low", tx.ascii_lower(F.col("name")))
     pairs = containing(asked.select("needle").distinct(), named.select("low").distinct(), "needle", "low")
     rating = F.when(F.col("low") == F.col("needle"), 0).when(F.startswith("low", "needle"), 1).otherwise(2)
-    rated = pairs.withColumn("_class", rating)
+    rated = cut(pairs.withColumn("_class", rating))
     by_id = [F.col("symbol_id")]
-    # Ranking: class, file, length, id. Without the file it is one list per needle, so that list is
-    # cut first; the file hits are found separately.
-    anywhere = top_k(named, ["low"], by_id, limit, "_n").drop("_n").join(rated, "low")
+    hit = named.join(rated.select("low").distinct(), "low", "left_semi").join(asked.select("project_id").distinct(), "project_id", "left_semi")
+    # Ranking: class, file, length, id. Without the file it is one list per project and needle, so
+    # that list is cut first; the file hits are found separately.
+    anywhere = top_k(hit, ["project_id", "low"], by_id, limit, "_n").drop("_n").join(rated, "low")
     heads = top_k(
-        anywhere, ["needle", "_class"], [F.length("name"), F.col("symbol_id")], limit, "_n"
+        anywhere, ["project_id", "needle", "_class"], [F.length("name"), F.col("symbol_id")], limit, "_n"
     ).drop("_n")
-    far = asked.join(heads, "needle").filter(F.col("path") != F.col("current_file"))
-    local = top_k(named, ["path", "low"], by_id, limit, "_n").drop("_n").withColumnRenamed("path", "current_file")
-    near = asked.join(rated, "needle").join(local, ["low", "current_file"]).withColumn("path", F.col("current_file"))
+    elsewhere = F.coalesce(F.col("path") != F.col("current_file"), F.lit(True))
+    far = asked.join(heads, ["project_id", "needle"]).filter(elsewhere)
+    local = top_k(hit, ["project_id", "path", "low"], by_id, limit, "_n").drop("_n").withColumnRenamed("path", "current_file")
+    near = asked.join(rated, "needle").join(local, ["project_id", "low", "current_file"]).withColumn("path", F.col("current_file"))
     # Heads of one class may all lie in the current file, so far hits get as many more as that hides.
     both = far.withColumn("_near", F.lit(1)).unionByName(near.withColumn("_near", F.lit(0)))
     order = [F.col("_class"), F.col("_near"), F.length("name"), F.col("symbol_id")]
@@ -74,9 +77,13 @@ def search_symbols(requests: DataFrame, symbols: DataFrame, limit: int) -> DataF
 
 
 def dependency_edges(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """imports(src, module) and modules(module, dst) to distinct file-to-file edges without loops."""
-    return imports.select("src", "module").distinct().join(modules, "module").filter("src <> dst").select(
-        "src", "dst"
+    """imports([project_id,] src, module) and modules([project_id,] module, dst) to distinct file-to-file edges.
+
+    With project_id on both sides a module name only means the file of its own project.
+    """
+    scope = ["project_id"] if "project_id" in imports.columns and "project_id" in modules.columns else []
+    return imports.select(*scope, "src", "module").distinct().join(modules, [*scope, "module"]).filter("src <> dst").select(
+        *scope, "src", "dst"
     ).distinct()
 
 
@@ -91,12 +98,15 @@ def reverse_references(calls: DataFrame) -> DataFrame:
 def central_modules(files: DataFrame, edges: DataFrame, per_project: int = 8) -> DataFrame:
     """Most imported files per project: inbound, symbols, dependencies, path; no package markers.
 
-    files needs project_id, path, symbols (a count).
+    files needs project_id, path, symbols (a count); edges need project_id where paths repeat
+    across projects, and join by path alone where they have none.
     """
-    inbound = edges.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("inbound"))
-    outbound = edges.groupBy(F.col("src").alias("path")).agg(F.count("*").alias("dependencies"))
-    rated = files.filter(~F.col("path").rlike(r"(^|/)__init__\.py$")).join(inbound, "path", "left").join(
-        outbound, "path", "left"
+    key = ["project_id", "path"] if "project_id" in edges.columns else ["path"]
+    scope = key[:-1]
+    inbound = edges.groupBy(*scope, F.col("dst").alias("path")).agg(F.count("*").alias("inbound"))
+    outbound = edges.groupBy(*scope, F.col("src").alias("path")).agg(F.count("*").alias("dependencies"))
+    rated = files.filter(~F.col("path").rlike(r"(^|/)__init__\.py$")).join(inbound, key, "left").join(
+        outbound, key, "left"
     ).na.fill(0, ["inbound", "dependencies"])
     order: list[Column] = [
         F.col("inbound").desc(), F.col("symbols").desc(), F.col("dependencies").desc(), F.lower("path"), F.col("path")

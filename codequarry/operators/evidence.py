@@ -29,17 +29,26 @@ def resolution_priority(resolution: Column) -> Column:
     )
 
 
+def _scope(*frames: DataFrame) -> list[str]:
+    """Paths are unique within a project, so frames that both know theirs join by it as well."""
+    return ["project_id"] if all("project_id" in f.columns for f in frames) else []
+
+
 def validate(evidence: DataFrame, files: DataFrame) -> DataFrame:
     """Adds `valid`: current hash, span inside the file, and exactly the text on disk.
 
-    The text of each distinct span is read once, however many rows cite it.
+    The text of each distinct span is read once, however many rows cite it, and only files that
+    are cited offer their text. Evidence of several projects carries project_id.
     """
-    spans = evidence.select(*SPAN).distinct()
-    current = spans.join(files.select("path", "source_hash", "lines"), "path").select(
-        *SPAN, F.col("source_hash").alias("_now"),
+    scope = _scope(evidence, files)
+    key = [*scope, *SPAN]
+    spans = evidence.select(*key).distinct()
+    cited = files.select(*scope, "path", "source_hash", "lines").join(spans.select(*scope, "path").distinct(), [*scope, "path"], "left_semi")
+    current = spans.join(cited, [*scope, "path"]).select(
+        *key, F.col("source_hash").alias("_now"),
         F.sha2(tx.span_of(F.col("lines"), F.col("start_line"), F.col("end_line")), 256).alias("_text"),
     )
-    checked = evidence.join(current, SPAN, "left")
+    checked = evidence.join(current, key, "left")
     same = (F.col("_now") == F.col("source_hash")) & (F.col("_text") == F.sha2("content", 256))
     return checked.withColumn("valid", F.coalesce(same, F.lit(False))).drop("_now", "_text")
 
@@ -95,13 +104,14 @@ def prompt_text(labelled: DataFrame) -> DataFrame:
 def stale_messages(messages: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """messages(message_id, anchors ARRAY<STRUCT path, source_hash>) to (fresh, stale ids).
 
-    A message is stale if any anchor's file is gone or has another hash; an empty hash only asks
+    Messages of several projects carry project_id. A message is stale if any anchor's file is gone or has another hash; an empty hash only asks
     for the file.
     """
-    anchors = messages.select("message_id", F.explode("anchors").alias("a")).select(
-        "message_id", F.col("a.path").alias("path"), F.col("a.source_hash").alias("_hash")
+    scope = _scope(messages, files)
+    anchors = messages.select("message_id", *scope, F.explode("anchors").alias("a")).select(
+        "message_id", *scope, F.col("a.path").alias("path"), F.col("a.source_hash").alias("_hash")
     )
-    known = anchors.join(files.select("path", "source_hash"), "path", "left")
+    known = anchors.join(files.select(*scope, "path", "source_hash"), [*scope, "path"], "left")
     bad = F.col("source_hash").isNull() | ((F.col("_hash") != "") & (F.col("_hash") != F.col("source_hash")))
     stale = known.filter(bad).select("message_id").distinct()
     return messages.join(stale, "message_id", "left_anti"), stale

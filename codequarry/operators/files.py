@@ -61,45 +61,35 @@ def clamp_selection(start: Column, end: Column, line_count: Column, options: Opt
 
 
 def project_fingerprint(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Digest of every project's sorted `path:hash` list.
+    """Digest of every project's `path:hash` list, by one formula at every size.
 
-    Up to 3000 files this is the flat digest. Larger projects digest their paths in buckets of
-    about 2000 and then the bucket digests, so no task ever holds a whole project.
+    Paths fall into a fixed number of buckets by their hash; each bucket's sorted list is digested,
+    then the project's bucket digests in order. A new file changes one bucket's digest and never
+    moves another file, and no task holds a whole project. It is not a flat digest of the list.
     """
-    counts = files.groupBy("project_id").agg(F.count("*").alias("files"))
-    buckets = F.when(F.col("files") <= options.flat_fingerprint_files, F.lit(1)).otherwise(
-        F.ceil(F.col("files") / 2000)
-    )
-    spot = F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long")
-    placed = files.join(counts, "project_id").withColumn("bucket", F.pmod(spot, buckets))
-    parts = placed.groupBy("project_id", "files", "bucket").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("path", "source_hash"))),
-                lambda x: F.concat(x["path"], F.lit(":"), x["source_hash"]),
-            ),
-            "|",
-        ).alias("part")
-    )
-    digests = parts.withColumn(
-        "part", F.when(F.col("files") <= options.flat_fingerprint_files, F.col("part")).otherwise(F.sha2("part", 256))
+    spot = F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long") % options.fingerprint_buckets
+    listed = F.array_sort(F.collect_list(F.struct("path", "source_hash")))
+    text = F.array_join(F.transform(listed, lambda x: F.concat(x["path"], F.lit(":"), x["source_hash"])), "|")
+    parts = files.withColumn("bucket", spot).groupBy("project_id", "bucket").agg(
+        F.count("*").alias("files"), F.sha2(text, 256).alias("part")
     )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"]), "|")
-    return digests.groupBy("project_id", "files").agg(F.sha2(joined, 256).alias("fingerprint"))
+    return parts.groupBy("project_id").agg(F.sum("files").alias("files"), F.sha2(joined, 256).alias("fingerprint"))
 
 
 def search_paths(requests: DataFrame, files: DataFrame, limit: int, options: Options = DEFAULTS) -> DataFrame:
-    """requests(request_id, needle) to matching files: prefix hits first, then short paths.
+    """requests(request_id, project_id, needle) to matching files of the project: prefix hits first, then short paths.
 
     Joins needles to paths through shared n-grams; the preview is cut only for the rows kept.
     """
-    asked = requests.select("request_id", tx.ascii_lower(F.trim("needle")).alias("needle")).filter("needle <> ''")
-    hay = files.select("project_id", "path", tx.ascii_lower(F.col("path")).alias("low"))
+    asked = requests.select("request_id", "project_id", tx.ascii_lower(F.trim("needle")).alias("needle")).filter("needle <> ''")
+    wanted = asked.select("project_id").distinct()
+    hay = files.select("project_id", "path", tx.ascii_lower(F.col("path")).alias("low")).join(wanted, "project_id", "left_semi")
     pairs = containing(asked.select("needle").distinct(), hay.select("low").distinct(), "needle", "low")
     hits = pairs.join(hay, "low").withColumn("_late", (~F.startswith("low", "needle")).cast("int"))
     order = [F.col("_late"), F.length("path"), F.col("low"), F.col("path")]
-    heads = top_k(hits, ["needle"], order, limit)
-    found = asked.join(heads, "needle")
+    heads = top_k(hits, ["project_id", "needle"], order, limit)
+    found = asked.join(heads, ["project_id", "needle"])
     previews = files.filter("line_count > 0").select(
         "project_id", "path", "source_hash",
         F.least("line_count", F.lit(options.file_preview_lines)).alias("end_line"),

@@ -1,7 +1,8 @@
 """Full-text search over chunks: BM25 over phrases, and the literal fallback.
 
-Chunks need chunk_id, content, path, start_line. Statistics cover every chunk given, so a project
-filter belongs after the search (`stats_scope` global) or on the chunks before it (project).
+Chunks need chunk_id, project_id, content, path, start_line; requests need project_id. Statistics
+cover every chunk given, candidates and cuts only the request's own project. For statistics of one
+project, give only its chunks.
 """
 
 from __future__ import annotations
@@ -30,38 +31,38 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def request_phrases(requests: DataFrame, text: str = "question") -> DataFrame:
-    """(request_id, phrase, parts, weight): a phrase asked twice weighs twice."""
-    terms = requests.select("request_id", F.explode(tx.fts_terms(F.col(text))).alias("term"))
-    parts = terms.select("request_id", tx.index_tokens(F.col("term")).alias("parts")).filter(F.size("parts") > 0)
-    return parts.groupBy("request_id", F.array_join("parts", " ").alias("phrase"), "parts").agg(
+    """(request_id, project_id, phrase, parts, weight): a phrase asked twice weighs twice."""
+    terms = requests.select("request_id", "project_id", F.explode(tx.fts_terms(F.col(text))).alias("term"))
+    parts = terms.select("request_id", "project_id", tx.index_tokens(F.col("term")).alias("parts")).filter(F.size("parts") > 0)
+    return parts.groupBy("request_id", "project_id", F.array_join("parts", " ").alias("phrase"), "parts").agg(
         F.count("*").alias("weight")
     )
 
 
 def phrase_counts(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, chunk_id, dl, tf) for the distinct phrases asked, and one row with the phrase "" per chunk.
+    """(phrase, project_id, chunk_id, dl, tf) for the distinct phrases asked, and one row with the phrase "" per chunk.
 
     Tokens meet the asked terms before anything is shuffled. The empty phrase carries the corpus
     statistics, so one pass over the text yields all a score needs. One-word phrases count directly;
     longer ones match every word at its offset and need all of them at one start.
     """
     wanted = phrases.select("phrase", "parts").distinct()
-    tokens = chunks.select("chunk_id", tx.index_tokens(F.col("content")).alias("tokens"))
+    tokens = chunks.select("project_id", "chunk_id", tx.index_tokens(F.col("content")).alias("tokens"))
     flat = tokens.select(
-        "chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")
+        "project_id", "chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")
     )
     everywhere = phrases.sparkSession.range(1).select(F.lit("").alias("term"))
     single = wanted.filter(F.size("parts") == 1).select(F.col("phrase").alias("term")).unionByName(everywhere)
-    ones = flat.join(single, "term").groupBy(F.col("term").alias("phrase"), "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    ones = flat.join(single, "term").groupBy(F.col("term").alias("phrase"), "project_id", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     longer = wanted.filter(F.size("parts") > 1)
     if longer.isEmpty():
         return ones
     words = longer.select("phrase", F.size("parts").alias("words"), F.posexplode("parts").alias("offset", "term"))
-    placed = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+    placed = tokens.select("project_id", "chunk_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     starts = placed.join(words, "term").groupBy(
-        "phrase", "words", "chunk_id", "dl", (F.col("pos") - F.col("offset")).alias("start")
+        "phrase", "words", "project_id", "chunk_id", "dl", (F.col("pos") - F.col("offset")).alias("start")
     ).agg(F.count("*").alias("hits"))
-    many = starts.filter("hits = words").groupBy("phrase", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    many = starts.filter("hits = words").groupBy("phrase", "project_id", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     return ones.unionByName(many)
 
 
@@ -78,13 +79,13 @@ def bm25_search(requests: DataFrame, chunks: DataFrame, limit: int, text: str =
     idf = F.when(raw_idf <= 0, F.lit(IDF_FLOOR)).otherwise(raw_idf)
     # Weight and idf meet on the small side, before the join multiplies the rows.
     asked = cut(
-        phrases.select("request_id", "phrase", "weight").join(spread, "phrase").select(
-            "request_id", "phrase", (F.col("weight") * idf).alias("worth")
+        phrases.select("request_id", "project_id", "phrase", "weight").join(spread, "phrase").select(
+            "request_id", "project_id", "phrase", (F.col("weight") * idf).alias("worth")
         )
     )
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    weighed = matched.select("phrase", "chunk_id", saturation.alias("part"))
-    scores = weighed.join(asked, "phrase").groupBy("request_id", "chunk_id").agg(
+    weighed = matched.select("phrase", "project_id", "chunk_id", saturation.alias("part"))
+    scores = weighed.join(asked, ["project_id", "phrase"]).groupBy("request_id", "chunk_id").agg(
         F.round(F.sum(F.col("worth") * F.col("part")), 9).alias("_score")
     )
     best = top_k(scores, ["request_id"], [F.col("_score").desc(), F.col("chunk_id")], limit)
@@ -95,22 +96,23 @@ def literal_search(requests: DataFrame, chunks: DataFrame, limit: int, text: str
     """First `limit` chunks by (path, start_line) containing any literal of the request.
 
     A literal consists of word characters only, so any occurrence lies inside one run of word
-    characters. It is therefore matched against the distinct runs of the corpus, and only the
-    first `limit` chunks of a run can matter to the answer.
+    characters. It is therefore matched against the distinct runs of the asked projects, and only
+    the first `limit` chunks of a project's run can matter to the answer.
     """
     literals = cut(
-        requests.select("request_id", F.explode(tx.literal_terms(F.col(text))).alias("literal")).select(
-            "request_id", tx.ascii_lower(F.col("literal")).alias("literal")
+        requests.select("request_id", "project_id", F.explode(tx.literal_terms(F.col(text))).alias("literal")).select(
+            "request_id", "project_id", tx.ascii_lower(F.col("literal")).alias("literal")
         ).distinct()
     )
     runs = F.array_distinct(F.regexp_extract_all(tx.ascii_lower(F.col("content")), F.lit(tx.WORD_RUN), 0))
-    flat = chunks.select("chunk_id", "path", "start_line", F.explode(runs).alias("run"))
+    wanted = literals.select("project_id").distinct()
+    flat = chunks.join(wanted, "project_id", "left_semi").select("project_id", "chunk_id", "path", "start_line", F.explode(runs).alias("run"))
     place = [F.col("path"), F.col("start_line")]
-    heads = cut(top_k(flat, ["run"], place, limit, "_n").drop("_n"))
+    heads = cut(top_k(flat, ["project_id", "run"], place, limit, "_n").drop("_n"))
     pairs = cut(containing(literals.select("literal").distinct(), heads.select("run").distinct(), "literal", "run"))
-    hits = pairs.join(heads, "run").select("literal", "chunk_id", "path", "start_line").distinct()
-    per_literal = top_k(hits, ["literal"], place, limit, "_n").drop("_n")
-    found = literals.join(per_literal, "literal").select("request_id", "chunk_id", "path", "start_line").distinct()
+    hits = pairs.join(heads, "run").select("project_id", "literal", "chunk_id", "path", "start_line").distinct()
+    per_literal = top_k(hits, ["project_id", "literal"], place, limit, "_n").drop("_n")
+    found = literals.join(per_literal, ["project_id", "literal"]).select("request_id", "chunk_id", "path", "start_line").distinct()
     return top_k(found, ["request_id"], place, limit).select("request_id", "chunk_id", "rank")
 
 

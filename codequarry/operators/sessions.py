@@ -89,9 +89,12 @@ def sessions(events: DataFrame, ttl_minutes: int = DEFAULTS.session_ttl_minutes)
     )
 
 
-def live_sessions(all_sessions: DataFrame, capacity: int = DEFAULTS.sessions) -> DataFrame:
-    """The most recently used sessions; one global top-k, merged from per-task ones."""
-    return all_sessions.orderBy(F.col("updated").desc(), "user_id", F.col("session_no").desc()).limit(capacity)
+def live_sessions(all_sessions: DataFrame, capacity: int | None = DEFAULTS.sessions, keys: list[str] | None = None) -> DataFrame:
+    """The most recently used sessions of every key (a user, a project); all of them without a capacity."""
+    if capacity is None:
+        return all_sessions
+    order = [F.col("updated").desc(), F.col("session_no").desc()]
+    return top_k(all_sessions, keys or ["user_id"], order, capacity, "_n").drop("_n")
 
 
 def merge_anchors(anchors: DataFrame, keep: int = DEFAULTS.anchors) -> DataFrame:
@@ -134,11 +137,11 @@ def checkpoint_summaries(messages: DataFrame, keep: int = DEFAULTS.messages, eac
     )
 
 
-def merge_reports(records: DataFrame, keep: int = DEFAULTS.reports) -> DataFrame:
+def merge_reports(records: DataFrame, keep: int | None = DEFAULTS.reports) -> DataFrame:
     """records(project_id, path, ord, source_hash, segment, text) to the current report rows.
 
-    Segments add up while the hash stays; a change of hash starts over. Of all reports the last
-    `keep` remain.
+    Segments add up while the hash stays; a change of hash starts over. Of a project's reports the
+    last `keep` remain, all of them without a number.
     """
     key = ["project_id", "path"]
     current = records.groupBy(*key).agg(
@@ -150,5 +153,7 @@ def merge_reports(records: DataFrame, keep: int = DEFAULTS.reports) -> DataFrame
         (F.col("source_hash") == F.col("_hash")) & (F.col("ord") > F.coalesce("_break", F.lit(-1)))
     )
     merged = live.groupBy(*key, "source_hash", "last_ord", "segment").agg(F.max_by("text", "ord").alias("text"))
-    recent = current.orderBy(F.col("last_ord").desc(), *key).limit(keep).select(*key)
+    if keep is None:
+        return merged
+    recent = top_k(current, ["project_id"], [F.col("last_ord").desc(), F.col("path")], keep, "_n").select(*key)
     return merged.join(recent, key, "left_semi")

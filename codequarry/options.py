@@ -42,8 +42,8 @@ class Options:
     parallel_reads: int = 3
     tool_calls: int = 8
     research_steps: int = 3
-    # Beyond this many files a project's flat digest becomes a two-level one.
-    flat_fingerprint_files: int = 3_000
+    # Buckets of a project's fingerprint; a change of this number changes every fingerprint.
+    fingerprint_buckets: int = 1_024
 
 
 DEFAULTS = Options()

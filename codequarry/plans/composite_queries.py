@@ -15,10 +15,9 @@ from codequarry.sources.tables import load
 
 def _gathered(spark, sf):
     files = co.file_lines(spark, sf)
-    stored = files.select("path", "language", "source_hash", "lines", "line_count")
+    stored = files.select("project_id", "path", "language", "source_hash", "lines", "line_count")
     corpus = preflight.Corpus(stored, *co.stored_outline(spark, sf), chunk_rows(spark, sf))
-    opened = files.select(F.col("file_id").alias("request_id"), F.col("path").alias("current_file"))
-    return preflight.gather(co.requests(spark, sf).join(opened, "request_id"), corpus)
+    return preflight.gather(co.requests(spark, sf), corpus)
 
 
 @query("evidence_preflight")

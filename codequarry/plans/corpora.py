@@ -84,7 +84,7 @@ def outline_symbols(spark: SparkSession, sf: str) -> DataFrame:
 def outline_calls(spark: SparkSession, sf: str, symbols: DataFrame | None = None) -> DataFrame:
     """Calls of the document corpus: each line calls its second word.
 
-    The target is set when exactly one symbol carries that name, else the call is ambiguous or
+    The target is set when exactly one symbol of the project carries that name, else the call is ambiguous or
     unresolved. The count per name is aggregated first, so a frequent name never fans out.
     """
     rows = line_rows(spark, sf)
@@ -102,10 +102,10 @@ def outline_calls(spark: SparkSession, sf: str, symbols: DataFrame | None = None
         F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"),
         F.col("line").alias("content"),
     )
-    by_name = symbols.groupBy(F.lower("name").alias("name_key")).agg(
+    by_name = symbols.groupBy("project_id", F.lower("name").alias("name_key")).agg(
         F.count("*").alias("n"), F.min("symbol_id").alias("only_id")
     )
-    resolved = calls.join(by_name, "name_key", "left")
+    resolved = calls.join(by_name, ["project_id", "name_key"], "left")
     return resolved.select(
         *[c for c in calls.columns if c != "name_key"],
         F.when(F.col("n") == 1, F.col("only_id")).alias("target_symbol_id"),
@@ -128,7 +128,7 @@ symbols AS (
          line_no AS start_line, line_no AS end_line, line AS content
   FROM (SELECT *, regexp_extract(line, '^[A-Za-z_][A-Za-z0-9_]*') AS name FROM line_rows)
   WHERE name <> ''),
-name_counts AS (SELECT lower(name) AS k, count(*) AS n, min(symbol_id) AS only_id FROM symbols GROUP BY 1),
+name_counts AS (SELECT project_id, lower(name) AS k, count(*) AS n, min(symbol_id) AS only_id FROM symbols GROUP BY ALL),
 calls AS (
   SELECT c.call_id, c.project_id, c.file_id, c.path, c.language, c.source_hash, c.callee_name,
          c.caller_symbol_id, c.start_line, c.end_line, c.content,
@@ -140,13 +140,23 @@ calls AS (
                CASE WHEN regexp_extract(line, '^[A-Za-z_][A-Za-z0-9_]*') <> ''
                     THEN file_id * {LINE_STRIDE} + line_no END AS caller_symbol_id,
                line_no AS start_line, line_no AS end_line, line AS content FROM line_rows) c
-  LEFT JOIN name_counts ON k = lower(c.callee_name)
+  LEFT JOIN name_counts n ON n.k = lower(c.callee_name) AND n.project_id = c.project_id
   WHERE c.callee_name IS NOT NULL)"""
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """benchmark items as free-text requests."""
-    return load(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("question"))
+    """benchmark items as free-text requests; the document of the same number is open and names the project."""
+    opened = files(spark, sf).select(
+        F.col("file_id").alias("request_id"), F.col("project_id").alias("open_project"), F.col("path").alias("current_file")
+    )
+    items = load(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("question"))
+    return items.join(opened, "request_id", "left").select(
+        "request_id", F.coalesce("open_project", F.lit(NO_PROJECT)).alias("project_id"), "question", "current_file"
+    )
+
 
+# Requests without an open document ask this project.
+NO_PROJECT = "src0"
 
-SQL_REQUESTS = "requests AS (SELECT item_id AS request_id, text AS question FROM benchmark)"
+SQL_REQUESTS = f"""requests AS (SELECT item_id AS request_id, coalesce(d.source, '{NO_PROJECT}') AS project_id, b.text AS question,
+  d.source || '/' || d.lang || '/doc_' || d.doc_id || '.txt' AS current_file FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id)"""

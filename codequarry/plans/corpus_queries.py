@@ -266,11 +266,11 @@ def preview_and_selection(spark, sf):
 
 
 @query("file_path_search", f"""WITH {co.SQL_LINED},
-asked AS (SELECT n_nationkey AS request_id, lower(CASE n_regionkey % 3 WHEN 0 THEN 'SRC' || n_nationkey % 20 || '/'
-    WHEN 1 THEN 'oc_' || n_nationkey ELSE 'n/D' END) AS needle FROM nation),
+asked AS (SELECT n_nationkey AS request_id, 'src' || n_nationkey % 20 AS project_id, lower(CASE n_regionkey % 3 WHEN 0 THEN 'SRC' || n_nationkey % 20 || '/'
+    WHEN 1 THEN 'oc_' || n_nationkey % 10 ELSE 'n/D' END) AS needle FROM nation),
 hits AS (SELECT request_id, path, source_hash, line_count, lines, row_number() OVER (PARTITION BY request_id
     ORDER BY (NOT starts_with(lower(path), needle))::INT, length(path), lower(path), path) AS rank
-  FROM asked JOIN lined ON contains(lower(path), needle))
+  FROM asked a JOIN lined l ON l.project_id = a.project_id AND contains(lower(path), needle))
 SELECT request_id, rank, path, source_hash, least(line_count, 40) AS end_line,
   sha256(array_to_string(lines[1:40], chr(10))) AS content_hash, round(0.7::DOUBLE - rank * 0.001::DOUBLE, 6) AS score
 FROM hits WHERE rank <= 20 AND line_count > 0""")
@@ -278,22 +278,19 @@ def file_path_search(spark, sf):
     key = F.col("n_nationkey")
     needle = (
         F.when(F.col("n_regionkey") % 3 == 0, F.concat(F.lit("SRC"), key % 20, F.lit("/")))
-        .when(F.col("n_regionkey") % 3 == 1, F.concat(F.lit("oc_"), key)).otherwise(F.lit("n/D"))
+        .when(F.col("n_regionkey") % 3 == 1, F.concat(F.lit("oc_"), key % 10)).otherwise(F.lit("n/D"))
     )
-    asked = load(spark, sf, "nation").select(key.alias("request_id"), needle.alias("needle"))
+    asked = load(spark, sf, "nation").select(key.alias("request_id"), F.concat(F.lit("src"), key % 20).alias("project_id"), needle.alias("needle"))
     return fx.search_paths(asked, co.file_lines(spark, sf), 20).select(
         "request_id", "rank", "path", "source_hash", "end_line", F.sha2("content", 256).alias("content_hash"),
         F.round("score", 6).alias("score"),
     )
 
 
-@query("project_fingerprint", f"""WITH {co.SQL_FILES}, counts AS (SELECT project_id, count(*) AS files FROM files GROUP BY 1),
-placed AS (SELECT project_id, c.files, path, source_hash, ('0x' || left(sha256(path), 8))::BIGINT %
-    (CASE WHEN c.files <= 3000 THEN 1 ELSE ceil(c.files / 2000)::BIGINT END) AS bucket FROM files JOIN counts c USING (project_id)),
-parts AS (SELECT project_id, files, bucket, string_agg(path || ':' || source_hash, '|' ORDER BY path, source_hash) AS part
-  FROM placed GROUP BY ALL)
-SELECT project_id, files, sha256(string_agg(CASE WHEN files <= 3000 THEN part ELSE sha256(part) END, '|' ORDER BY bucket)) AS fingerprint
-FROM parts GROUP BY ALL""")
+@query("project_fingerprint", f"""WITH {co.SQL_FILES},
+parts AS (SELECT project_id, ('0x' || left(sha256(path), 8))::BIGINT % 1024 AS bucket, count(*) AS n,
+    sha256(string_agg(path || ':' || source_hash, '|' ORDER BY path, source_hash)) AS part FROM files GROUP BY ALL)
+SELECT project_id, sum(n)::BIGINT AS files, sha256(string_agg(part, '|' ORDER BY bucket)) AS fingerprint FROM parts GROUP BY ALL""")
 def project_fingerprint(spark, sf):
     return fx.project_fingerprint(co.files(spark, sf))
 

@@ -206,12 +206,12 @@ def overview_budget(spark, sf):
     )
 
 
-SQL_ASKED = f"""asked AS (SELECT file_id AS request_id, {_ASK!r}[file_id % 8 + 1] || left(content, 20) AS question, file_id % 11 = 0 AS ambiguous FROM files)"""
+SQL_ASKED = f"""asked AS (SELECT file_id AS request_id, {_ASK!r}[file_id % 8 + 1] || content AS question, file_id % 11 = 0 AS ambiguous FROM files)"""
 
 
 def document_questions(spark, sf):
     return co.files(spark, sf).select(
-        F.col("file_id").alias("request_id"), F.concat(pick(_ASK, F.col("file_id")), F.substring("content", 1, 20)).alias("question"),
+        F.col("file_id").alias("request_id"), F.concat(pick(_ASK, F.col("file_id")), F.col("content")).alias("question"),
         (F.col("file_id") % 11 == 0).alias("ambiguous"),
     )
 
@@ -408,17 +408,17 @@ def work_list(spark, sf):
 
 
 @query("retrieval_quality", f"""WITH {co.SQL_OUTLINE},
-truth AS (SELECT symbol_id, path, language, name FROM symbols WHERE start_line = 1),
+truth AS (SELECT symbol_id, project_id, path, language, name FROM symbols),
 found AS (SELECT t.symbol_id AS request_id, s.symbol_id, s.path, row_number() OVER (PARTITION BY t.symbol_id ORDER BY (s.path <> t.path)::INT, s.symbol_id) AS rank
-  FROM truth t JOIN symbols s ON lower(s.name) = lower(t.name)),
+  FROM truth t JOIN symbols s ON lower(s.name) = lower(t.name) AND s.project_id = t.project_id),
 judged AS (SELECT t.language, f.symbol_id IS NOT DISTINCT FROM t.symbol_id AS hit, f.path IS DISTINCT FROM t.path AS false_exact FROM truth t LEFT JOIN found f ON f.request_id = t.symbol_id AND rank = 1)
 SELECT language, count(*) AS questions, round(avg(hit::INT), 6) AS recall_at_1, count(*) FILTER (false_exact) AS false_exact FROM judged GROUP BY 1""")
 def retrieval_quality(spark, sf):
     from codequarry.operators import lookup, metrics
 
     symbols = co.outline_symbols(spark, sf)
-    truth = symbols.filter("start_line = 1").select(
-        F.col("symbol_id").alias("request_id"), F.col("path").alias("current_file"), "language", "name"
+    truth = symbols.select(
+        F.col("symbol_id").alias("request_id"), "project_id", F.col("path").alias("current_file"), "language", "name"
     )
     top = lookup.definitions(truth.drop("language"), symbols, 1, ["request_id"]).select("request_id", "symbol_id", "path")
     return metrics.retrieval_gate(truth, top, ["language"])

@@ -10,25 +10,25 @@ from codequarry.operators import files as fx
 from codequarry.plans import corpora as co
 from codequarry.plans.registry import query
 from codequarry.plans.search_queries import SQL_CANDIDATES, SQL_GRAPH_HEADS
+from codequarry.session import cut
 from codequarry.sources.tables import load
 
 
 def named_requests(spark, sf):
-    """Every candidate name of every benchmark item; the document of the same number is open."""
-    open_files = co.files(spark, sf).select(F.col("file_id").alias("request_id"), F.col("path").alias("current_file"))
-    return co.requests(spark, sf).join(open_files, "request_id").select(
-        "request_id", "current_file", F.posexplode(tx.symbol_candidates(F.col("question"))).alias("candidate", "name")
+    """Every candidate name of every benchmark item, in the project of the open document."""
+    return co.requests(spark, sf).select(
+        "request_id", "project_id", "current_file", F.posexplode(tx.symbol_candidates(F.col("question"))).alias("candidate", "name")
     )
 
 
 SQL_NAMED = f"""{co.SQL_REQUESTS}, {SQL_CANDIDATES},
-asked AS (SELECT n.request_id, n.candidate, n.name, f.path AS current_file FROM names n JOIN files f ON f.file_id = n.request_id)"""
+asked AS (SELECT n.request_id, r.project_id, n.candidate, n.name, r.current_file FROM names n JOIN requests r USING (request_id))"""
 _KEYS = ["request_id", "candidate"]
 
 
 @query("definition_lookup", f"""WITH {co.SQL_OUTLINE}, {SQL_NAMED},
 found AS (SELECT request_id, candidate, symbol_id, path, start_line, kind, row_number() OVER (PARTITION BY request_id, candidate
-   ORDER BY (path <> current_file)::INT, symbol_id) AS rank FROM asked a JOIN symbols s ON lower(s.name) = lower(a.name))
+   ORDER BY coalesce(path <> current_file, true)::INT, symbol_id) AS rank FROM asked a JOIN symbols s ON lower(s.name) = lower(a.name) AND s.project_id = a.project_id)
 SELECT request_id, candidate, rank, symbol_id, path, start_line, kind, round(1.0::DOUBLE - least(rank - 1, 20) * 0.01::DOUBLE, 6) AS score
 FROM found WHERE rank <= 20""")
 def definition_lookup(spark, sf):
@@ -39,20 +39,19 @@ def definition_lookup(spark, sf):
     )
 
 
-@query("symbol_search", f"""WITH {co.SQL_OUTLINE}, {co.SQL_REQUESTS},
-asked AS (SELECT r.request_id, lower(trim(left(question, 1 + r.request_id % 4))) AS needle, f.path AS current_file
-  FROM requests r JOIN files f ON f.file_id = r.request_id),
+@query("symbol_search", f"""WITH {co.SQL_OUTLINE}, {SQL_NAMED},
+needles AS (SELECT request_id * 100 + candidate AS request_id, project_id, lower(trim(left(name, 1 + request_id % 4))) AS needle, current_file FROM asked),
 found AS (SELECT request_id, symbol_id, name, path, CASE WHEN lower(name) = needle THEN 0 WHEN starts_with(lower(name), needle) THEN 1 ELSE 2 END AS cls,
     row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN lower(name) = needle THEN 0 WHEN starts_with(lower(name), needle) THEN 1 ELSE 2 END,
-      (path <> current_file)::INT, length(name), symbol_id) AS rank
-  FROM asked JOIN symbols ON contains(lower(name), needle) WHERE needle <> '')
+      coalesce(path <> current_file, true)::INT, length(name), symbol_id) AS rank
+  FROM needles n JOIN symbols s ON contains(lower(name), needle) AND s.project_id = n.project_id WHERE needle <> '')
 SELECT request_id, rank, symbol_id, name, path, CASE WHEN cls = 0 THEN 'exact' ELSE 'fuzzy' END AS match,
   round(CASE WHEN cls = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END - rank * 0.001::DOUBLE, 6) AS score FROM found WHERE rank <= 20""")
 def symbol_search(spark, sf):
-    open_files = co.files(spark, sf).select(F.col("file_id").alias("request_id"), F.col("path").alias("current_file"))
-    needle = F.substring("question", F.lit(1), (1 + F.col("request_id") % 4).cast("int"))
-    asked = co.requests(spark, sf).join(open_files, "request_id").select(
-        "request_id", "current_file", needle.alias("needle")
+    """Every candidate word of the whole question, typed as far as its first one to four characters."""
+    needle = F.substring("name", F.lit(1), (1 + F.col("request_id") % 4).cast("int"))
+    asked = named_requests(spark, sf).select(
+        (F.col("request_id") * 100 + F.col("candidate")).alias("request_id"), "project_id", "current_file", needle.alias("needle")
     )
     return edges.search_symbols(asked, co.outline_symbols(spark, sf), 20).select(
         "request_id", "rank", "symbol_id", "name", "path", "match", F.round("score", 6).alias("score")
@@ -111,14 +110,15 @@ def references_by_target(spark, sf):
 
 @query("references_by_name", f"""WITH {co.SQL_OUTLINE}, {SQL_NAMED}, {SQL_GRAPH_HEADS},
 near AS (SELECT a.request_id, a.candidate, h.*, row_number() OVER (PARTITION BY a.request_id, a.candidate ORDER BY
-    (lower(h.path) <> lower(a.current_file))::INT, lower(h.path), h.start_line, h.path_rank) AS rank
-  FROM asked a JOIN ref_heads h ON h.k = lower(a.name) WHERE path_rank <= 20)
+    CASE WHEN lower(h.path) = lower(a.current_file) THEN 0 ELSE 1 END, lower(h.path), h.start_line, h.path_rank) AS rank
+  FROM asked a JOIN ref_heads h ON h.k = lower(a.name) AND h.project_id = a.project_id WHERE path_rank <= 20)
 SELECT request_id, candidate, rank, call_id, path, coalesce(target_name, callee_name) AS symbol,
   round(0.95::DOUBLE - least(rank - 1, 20) * 0.01::DOUBLE, 6) AS score FROM near WHERE rank <= 10""")
 def references_by_name(spark, sf):
     symbols, calls = co.stored_outline(spark, sf)
-    heads = lookup.reference_heads(calls, symbols, 20)
-    found = lookup.references(named_requests(spark, sf), heads, 10, _KEYS)
+    asked = named_requests(spark, sf)
+    heads = lookup.reference_heads(calls, symbols, 20, cut(lookup.asked_names(asked)))
+    found = lookup.references(asked, heads, 10, _KEYS)
     return found.select(
         "request_id", "candidate", "rank", "call_id", "path", F.coalesce("target_name", "callee_name").alias("symbol"),
         F.round(fusion.decayed(0.95, F.col("rank")), 6).alias("score"),
@@ -127,13 +127,14 @@ def references_by_name(spark, sf):
 
 @query("callers_and_callees", f"""WITH {co.SQL_OUTLINE}, {SQL_NAMED}, {SQL_GRAPH_HEADS}
 SELECT request_id, candidate, relation, rank, symbol_id, round(0.88::DOUBLE - least(rank - 1, 20) * 0.01::DOUBLE, 6) AS score FROM asked
-JOIN (SELECT k, rank, symbol_id, 'caller' AS relation FROM caller_heads UNION ALL SELECT k, rank, symbol_id, 'callee' FROM callee_heads)
-  ON k = lower(name) WHERE rank <= 30""")
+JOIN (SELECT project_id, k, rank, symbol_id, 'caller' AS relation FROM caller_heads UNION ALL SELECT project_id, k, rank, symbol_id, 'callee' FROM callee_heads) h
+  ON k = lower(name) AND h.project_id = asked.project_id WHERE rank <= 30""")
 def callers_and_callees(spark, sf):
     symbols, calls = co.stored_outline(spark, sf)
     asked = named_requests(spark, sf)
+    names = cut(lookup.asked_names(asked))
     sides = [
-        lookup.neighbours(asked, lookup.neighbour_heads(calls, symbols, relation, 30), 30).withColumn(
+        lookup.neighbours(asked, lookup.neighbour_heads(calls, symbols, relation, 30, names), 30).withColumn(
             "relation", F.lit(relation)
         )
         for relation in ("caller", "callee")
@@ -151,27 +152,34 @@ def reverse_references(spark, sf):
     return edges.reverse_references(co.outline_calls(spark, sf))
 
 
-@query("imports_per_file", f"""WITH {co.SQL_OUTLINE}, mods AS (SELECT DISTINCT path, lower(callee_name) AS module FROM calls),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY module) AS rn FROM mods)
-SELECT path, string_agg(module, ', ' ORDER BY module) AS modules FROM ranked WHERE rn <= 8 GROUP BY path""")
+SQL_MODULES = """mods AS (SELECT DISTINCT project_id, path, lower(callee_name) AS module FROM calls),
+mods8 AS (SELECT project_id, path, string_agg(module, ', ' ORDER BY module) AS modules FROM (
+   SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY module) AS rn FROM mods) WHERE rn <= 8 GROUP BY ALL)"""
+
+
+def module_rows(spark, sf):
+    return co.outline_calls(spark, sf).select("project_id", "path", F.lower("callee_name").alias("module"))
+
+
+@query("imports_per_file", f"""WITH {co.SQL_OUTLINE}, {SQL_MODULES} SELECT project_id, path, modules FROM mods8""")
 def imports_per_file(spark, sf):
-    return repo_map.first_modules(co.outline_calls(spark, sf).select("path", F.lower("callee_name").alias("module")))
+    return repo_map.first_modules(module_rows(spark, sf))
 
 
 MAP_TOKENS = 200
 
-@query("repository_map", f"""WITH {co.SQL_OUTLINE}, mods AS (SELECT DISTINCT path, lower(callee_name) AS module FROM calls),
-mods8 AS (SELECT path, string_agg(module, ', ' ORDER BY module) AS modules FROM (
-   SELECT *, row_number() OVER (PARTITION BY path ORDER BY module) AS rn FROM mods) WHERE rn <= 8 GROUP BY path),
-entries AS (SELECT project_id, path, -1 AS kn, 0 AS start_line, path || coalesce(' -> ' || modules, '') AS entry FROM files LEFT JOIN mods8 USING (path)
-  UNION ALL SELECT project_id, path, CASE kind WHEN 'class' THEN 0 ELSE 1 END, start_line, '  ' || kind || ' ' || name || ': ' || trim(left(content, 60)) FROM symbols),
-summed AS (SELECT *, sum(length(entry) + 1) OVER (PARTITION BY project_id ORDER BY path, kn, start_line) AS used FROM entries)
-SELECT project_id, string_agg(entry, chr(10) ORDER BY path, kn, start_line) FILTER (used <= 800)
-   || CASE WHEN max(used) > 800 THEN chr(10) || '{repo_map.MARKER}' ELSE '' END AS map FROM summed GROUP BY project_id""")
+
+@query("repository_map", f"""WITH {co.SQL_OUTLINE}, {co.SQL_REQUESTS}, {SQL_MODULES},
+opened AS (SELECT project_id, min(current_file) AS path FROM requests WHERE current_file IS NOT NULL GROUP BY ALL),
+entries AS (SELECT project_id, path, -1 AS kn, 0 AS start_line, path || coalesce(' -> ' || modules, '') AS entry FROM files LEFT JOIN mods8 USING (project_id, path)
+  UNION ALL SELECT project_id, path, CASE kind WHEN 'class' THEN 0 ELSE 1 END, start_line, '  ' || kind || ' ' || name || ': ' || trim(content) FROM symbols),
+placed AS (SELECT e.*, (o.path IS NULL)::INT AS far FROM entries e LEFT JOIN opened o ON o.project_id = e.project_id AND o.path = e.path),
+summed AS (SELECT *, sum(length(entry) + 1) OVER (PARTITION BY project_id ORDER BY far, path, kn, start_line) AS used FROM placed)
+SELECT project_id, coalesce(string_agg(entry, chr(10) ORDER BY far, path, kn, start_line) FILTER (used <= 800), '')
+   || CASE WHEN max(used) > 800 THEN CASE WHEN bool_or(used <= 800) THEN chr(10) ELSE '' END || '{repo_map.MARKER}' ELSE '' END AS map FROM summed GROUP BY project_id""")
 def repository_map_query(spark, sf):
     symbols = co.outline_symbols(spark, sf).select(
-        "project_id", "path", "kind", "start_line", "symbol_id", F.col("name").alias("qualified_name"),
-        F.substring("content", 1, 60).alias("signature"),
+        "project_id", "path", "kind", "start_line", "symbol_id", F.col("name").alias("qualified_name"), F.col("content").alias("signature"),
     )
-    imports = co.outline_calls(spark, sf).select("path", F.lower("callee_name").alias("module"))
-    return repo_map.repository_map(co.files(spark, sf), symbols, imports, MAP_TOKENS)
+    opened = co.requests(spark, sf).filter("current_file IS NOT NULL").groupBy("project_id").agg(F.min("current_file").alias("path"))
+    return repo_map.repository_map(co.files(spark, sf), symbols, module_rows(spark, sf), MAP_TOKENS, opened)

@@ -59,15 +59,15 @@ def inverted_index(spark, sf):
 
 SQL_TERM = "[\\p{L}\\p{N}]+(?:_[\\p{L}\\p{N}]+)*"
 SQL_BM25 = f"""{SQL_CHUNKS}, {SQL_POSTINGS}, {co.SQL_REQUESTS},
-phrases AS (SELECT request_id, strip_accents(lower(t)) AS term, count(*) AS weight
-  FROM (SELECT request_id, unnest(regexp_extract_all(question, '{SQL_TERM}')[:20]) AS t FROM requests) GROUP BY ALL),
+phrases AS (SELECT request_id, project_id, strip_accents(lower(t)) AS term, count(*) AS weight
+  FROM (SELECT request_id, project_id, unnest(regexp_extract_all(question, '{SQL_TERM}')[:20]) AS t FROM requests) GROUP BY ALL),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM tokens),
 dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 idfs AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6
                            ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM dfs, stats),
 scored AS (SELECT request_id, chunk_id,
     round(sum(weight * idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS s
-  FROM phrases JOIN postings USING (term) JOIN idfs USING (term), stats GROUP BY ALL)"""
+  FROM phrases p JOIN postings USING (term) JOIN idfs USING (term) JOIN chunks c USING (chunk_id), stats WHERE c.project_id = p.project_id GROUP BY ALL)"""
 
 
 def sql_bm25_top(limit: int) -> str:
@@ -90,23 +90,23 @@ def text_search_bm25(spark, sf):
 
 
 SQL_ASCII_UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SQL_LITERALS = """literals AS (SELECT DISTINCT request_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS literal
-  FROM (SELECT request_id, unnest(list_distinct_ordered[:8]) AS t FROM (
-    SELECT request_id, list(w ORDER BY first_at) AS list_distinct_ordered FROM (
-      SELECT request_id, w, min(i) AS first_at FROM (
-        SELECT request_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
-          SELECT request_id, list_concat(regexp_extract_all(question, '[A-Za-z_][\\p{L}\\p{N}_]*'),
+SQL_LITERALS = """literals AS (SELECT DISTINCT request_id, project_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS literal
+  FROM (SELECT request_id, project_id, unnest(list_distinct_ordered[:8]) AS t FROM (
+    SELECT request_id, project_id, list(w ORDER BY first_at) AS list_distinct_ordered FROM (
+      SELECT request_id, project_id, w, min(i) AS first_at FROM (
+        SELECT request_id, project_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+          SELECT request_id, project_id, list_concat(regexp_extract_all(question, '[A-Za-z_][\\p{L}\\p{N}_]*'),
                                          regexp_extract_all(question, '[\\x{3400}-\\x{9fff}]{2,}')) AS ws FROM requests))
       GROUP BY ALL) GROUP BY ALL)))"""
 
 
 def sql_literal_top(limit: int) -> str:
     return f"""{SQL_LITERALS},
-folded AS (SELECT chunk_id, path, start_line,
+folded AS (SELECT project_id, chunk_id, path, start_line,
    translate(content, '{SQL_ASCII_UP}', '{SQL_ASCII_UP.lower()}') AS c FROM chunks),
 literal_hits AS (SELECT request_id, chunk_id, rank FROM (
   SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY path, start_line) AS rank
-  FROM (SELECT DISTINCT request_id, chunk_id, path, start_line FROM literals JOIN folded ON contains(c, literal)))
+  FROM (SELECT DISTINCT request_id, chunk_id, path, start_line FROM literals l JOIN folded f ON f.project_id = l.project_id AND contains(c, literal)))
   WHERE rank <= {limit})"""
 
 
@@ -157,32 +157,36 @@ SQL_CANDIDATES = """names AS (SELECT request_id, cand - 1 AS candidate, name FRO
                THEN [string_split(trim(question), '.')[-1]] ELSE [] END,
           regexp_extract_all(question, '[A-Za-z_][\\p{L}\\p{N}_]*')) AS ws FROM requests)) GROUP BY ALL)) WHERE cand <= 12)"""
 
-SQL_GRAPH_HEADS = """ref_keys AS (SELECT call_id, path, start_line, end_line, callee_name, target_name, unnest(list_distinct(
+SQL_GRAPH_HEADS = """ref_keys AS (SELECT project_id, call_id, path, start_line, end_line, callee_name, target_name, unnest(list_distinct(
     CASE WHEN target_name IS NULL THEN [lower(callee_name)] ELSE [lower(callee_name), lower(target_name)] END)) AS k
   FROM (SELECT c.*, t.name AS target_name FROM calls c LEFT JOIN symbols t ON t.symbol_id = c.target_symbol_id)),
-ref_heads AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path, start_line, call_id) AS path_rank FROM ref_keys),
-caller_heads AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY symbol_id) AS rank FROM (
-  SELECT DISTINCT lower(t.name) AS k, c.caller_symbol_id AS symbol_id FROM calls c
+ref_heads AS (SELECT *, row_number() OVER (PARTITION BY project_id, k ORDER BY path, start_line, call_id) AS path_rank FROM ref_keys),
+caller_heads AS (SELECT *, row_number() OVER (PARTITION BY project_id, k ORDER BY symbol_id) AS rank FROM (
+  SELECT DISTINCT t.project_id, lower(t.name) AS k, c.caller_symbol_id AS symbol_id FROM calls c
   JOIN symbols t ON t.symbol_id = c.target_symbol_id WHERE c.caller_symbol_id IS NOT NULL)),
-callee_heads AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY symbol_id) AS rank FROM (
-  SELECT DISTINCT lower(s.name) AS k, c.target_symbol_id AS symbol_id FROM calls c
+callee_heads AS (SELECT *, row_number() OVER (PARTITION BY project_id, k ORDER BY symbol_id) AS rank FROM (
+  SELECT DISTINCT s.project_id, lower(s.name) AS k, c.target_symbol_id AS symbol_id FROM calls c
   JOIN symbols s ON s.symbol_id = c.caller_symbol_id WHERE c.target_symbol_id IS NOT NULL))"""
 
 
 def sql_hybrid(limit: int) -> str:
     return f"""{SQL_BM25}, {sql_search_text(max(3 * limit, 20))}, {SQL_CANDIDATES},
-def_all AS (SELECT n.request_id, n.candidate, s.*, row_number() OVER (PARTITION BY n.request_id, n.candidate ORDER BY symbol_id) AS rank
-  FROM names n JOIN symbols s ON lower(s.name) = lower(n.name)),
+asked AS (SELECT n.*, r.project_id, r.current_file FROM names n JOIN requests r USING (request_id)),
+def_all AS (SELECT n.request_id, n.candidate, s.*, row_number() OVER (PARTITION BY n.request_id, n.candidate
+    ORDER BY coalesce(path <> current_file, true)::INT, symbol_id) AS rank
+  FROM asked n JOIN symbols s ON lower(s.name) = lower(n.name) AND s.project_id = n.project_id),
 defs AS (SELECT request_id, candidate, rank, path, start_line, end_line, 'definition' AS relation, name AS symbol,
          1.0::DOUBLE - least(rank - 1, 20) * 0.01::DOUBLE AS score FROM def_all WHERE rank <= 5),
-matched AS (SELECT DISTINCT n.* FROM names n JOIN defs d USING (request_id, candidate)),
-refs AS (SELECT request_id, candidate, path_rank AS rank, path, start_line, end_line, 'reference' AS relation,
-         coalesce(target_name, callee_name) AS symbol, 0.95::DOUBLE - least(path_rank - 1, 20) * 0.01::DOUBLE AS score
-  FROM matched JOIN ref_heads ON k = lower(name) WHERE path_rank <= 10),
+matched AS (SELECT DISTINCT n.* FROM asked n JOIN defs d USING (request_id, candidate)),
+refs AS (SELECT request_id, candidate, rank, path, start_line, end_line, 'reference' AS relation,
+         coalesce(target_name, callee_name) AS symbol, 0.95::DOUBLE - least(rank - 1, 20) * 0.01::DOUBLE AS score
+  FROM (SELECT m.request_id, m.candidate, h.*, row_number() OVER (PARTITION BY m.request_id, m.candidate ORDER BY
+      CASE WHEN lower(path) = lower(current_file) THEN 0 ELSE 1 END, lower(path), start_line, path_rank) AS rank
+    FROM matched m JOIN ref_heads h ON k = lower(name) AND h.project_id = m.project_id WHERE path_rank <= 20) WHERE rank <= 10),
 graph AS (SELECT request_id, candidate, h.rank, path, start_line, end_line, relation, s.name AS symbol,
          0.88::DOUBLE - least(h.rank - 1, 20) * 0.01::DOUBLE AS score
   FROM matched m JOIN (SELECT *, 'caller' AS relation FROM caller_heads UNION ALL
-                       SELECT *, 'callee' FROM callee_heads) h ON h.k = lower(m.name)
+                       SELECT *, 'callee' FROM callee_heads) h ON h.k = lower(m.name) AND h.project_id = m.project_id
   JOIN symbols s USING (symbol_id) WHERE h.rank <= 6),
 texts AS (SELECT request_id, 0 AS candidate, h.rank, path, start_line, end_line, 'text' AS relation, NULL::VARCHAR AS symbol,
          1.0::DOUBLE / (1.0::DOUBLE + abs(bm25_score)) AS score FROM hits h JOIN chunks USING (chunk_id)),

@@ -156,7 +156,7 @@ def sessions(spark, sf):
 
 
 @query("live_sessions", f"""WITH {SQL_SESSIONS} SELECT user_id, session_no, epoch_us(updated) AS updated_us FROM sess
-ORDER BY updated DESC, user_id, session_no DESC LIMIT 64""")
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated DESC, session_no DESC) <= 64""")
 def live_sessions(spark, sf):
     return ss.live_sessions(ss.sessions(load(spark, sf, "events"))).select(
         "user_id", "session_no", F.unix_micros("updated").alias("updated_us")
@@ -198,11 +198,11 @@ def checkpoint_summaries(spark, sf):
 
 
 @query("redacted_events", """SELECT conv_id, turn, CASE role WHEN 'system' THEN 'tool_result' ELSE role END AS kind,
-  CASE WHEN role <> 'system' THEN text END AS content, CASE WHEN role <> 'system' THEN left(text, 5) END AS items FROM conversations""")
+  CASE WHEN role <> 'system' THEN text END AS content, CASE WHEN role <> 'system' THEN text END AS items FROM conversations""")
 def redacted_events(spark, sf):
     rows = load(spark, sf, "conversations").select(
         "conv_id", "turn", F.when(F.col("role") == "system", "tool_result").otherwise(F.col("role")).alias("kind"),
-        F.col("text").alias("content"), F.substring("text", 1, 5).alias("items"),
+        F.col("text").alias("content"), F.col("text").alias("items"),
     )
     return ss.redact(rows)
 
@@ -265,7 +265,7 @@ def call_caps(spark, sf):
 @query("report_merge", f"""WITH r AS (SELECT event_type AS project_id, 'f' || user_id % 60 AS path, event_id AS ord, 'h' || {SQL_K} // 34 AS source_hash, 's' || {SQL_K} % 4 AS segment, props AS text FROM events),
 cur AS (SELECT project_id, path, arg_max(source_hash, ord) AS h, max(ord) AS last_ord FROM r GROUP BY ALL),
 brk AS (SELECT r.project_id, r.path, max(ord) AS b FROM r JOIN cur USING (project_id, path) WHERE source_hash <> h GROUP BY ALL),
-recent AS (SELECT project_id, path FROM cur ORDER BY last_ord DESC LIMIT 128)
+recent AS (SELECT project_id, path FROM cur QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY last_ord DESC, path) <= 128)
 SELECT r.project_id, r.path, source_hash, last_ord, segment, arg_max(text, ord) AS text FROM r JOIN cur c ON c.project_id = r.project_id AND c.path = r.path AND c.h = r.source_hash
   JOIN recent n ON n.project_id = r.project_id AND n.path = r.path
   LEFT JOIN brk b ON b.project_id = r.project_id AND b.path = r.path WHERE ord > coalesce(b.b, -1) GROUP BY ALL""")

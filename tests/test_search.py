@@ -15,8 +15,8 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def chunks(spark):
-    rows = [(i + 1, f"f{i}.py", 1, text) for i, text in enumerate(TEXTS)]
-    return spark.createDataFrame(rows, "chunk_id long, path string, start_line int, content string")
+    rows = [("p", i + 1, f"f{i}.py", 1, text) for i, text in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "project_id string, chunk_id long, path string, start_line int, content string")
 
 
 @pytest.mark.parametrize("question", ["load_user", "cafe deja", "user fetch", "load_user user the", "user user fetch", "missing"])
@@ -26,14 +26,14 @@ def test_bm25_equals_sqlite(spark, chunks, question):
     con.executemany("INSERT INTO t(rowid, content) VALUES (?, ?)", list(enumerate(TEXTS, 1)))
     match = " OR ".join(f'"{term}"' for term in question.split())
     expected = {i: round(s, 6) for i, s in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (match,))}
-    asked = spark.createDataFrame([(1, question)], "request_id long, question string")
+    asked = spark.createDataFrame([(1, "p", question)], "request_id long, project_id string, question string")
     found = {r.chunk_id: round(r.bm25_score, 6) for r in search.bm25_search(asked, chunks, 50).collect()}
     assert found == expected
 
 
 def test_literal_fallback_equals_like(spark, chunks):
     questions = ["load_user", "迁移", "ETCH", "r_u ser", "zzz"]
-    asked = spark.createDataFrame(list(enumerate(questions)), "request_id long, question string")
+    asked = spark.createDataFrame([(n, "p", q) for n, q in enumerate(questions)], "request_id long, project_id string, question string")
     found = {}
     for row in search.literal_search(asked, chunks, 3).orderBy("request_id", "rank").collect():
         found.setdefault(row.request_id, []).append(row.chunk_id)
