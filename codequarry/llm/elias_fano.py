@@ -28,6 +28,7 @@ class EliasFano:
         bits = np.unpackbits(data[24 + n * width : 24 + n * width + high_bytes], bitorder="little")
         # Select directory: where the ones are, less how many came before.
         self.high = (np.flatnonzero(bits)[:n] - np.arange(n)).astype(np.uint64)
+        self.decoded: np.ndarray | None = None
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -51,7 +52,15 @@ class EliasFano:
         return low if self.width == 8 else low | (self.high[at] << np.uint64(8 * self.width))
 
     def successor(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """First place in [low, high) whose value isn't below the one asked for; high if there is none."""
+        """First place in [low, high) whose value isn't below the one asked for; high if there is none.
+
+        Few values are searched in place. For many, the sequence is decoded once, front to back, and
+        searched as a whole; as it is sorted, the place within the range is the same.
+        """
+        if self.decoded is None and len(values) * 16 >= self.n:
+            self.decoded = self.get(np.arange(self.n))
+        if self.decoded is not None:
+            return np.clip(np.searchsorted(self.decoded, values), low, high)
         low, high = low.copy(), high.copy()
         while True:
             open_ = np.flatnonzero(low < high)

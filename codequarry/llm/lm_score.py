@@ -197,8 +197,8 @@ def _pack_pairs(word: np.ndarray, context: np.ndarray, doc: np.ndarray) -> bytes
     return b"".join(x.tobytes() for x in (head, word[pairs[firsts]], per_word.astype(np.uint32), contexts, per_pair.astype(wide), doc.astype(np.uint16)))
 
 
-def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per pair the word, the context and its number of tokens; per token the document with its training bit."""
+def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words and their numbers of pairs; per pair the context and its number of tokens; per token the document with its training bit."""
     n_words, n_pairs, n_tokens, width = np.frombuffer(data, np.int64, 4).tolist()
     at = 32
     word = np.frombuffer(data, np.uint64, n_words, at)
@@ -211,7 +211,7 @@ def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     at += n_pairs * size
     per_pair = np.frombuffer(data, np.uint16 if width == 2 else np.uint32, n_pairs, at).astype(np.int64)
     at += n_pairs * width
-    return np.repeat(word, per_word), full.view("<u8")[:, 0], per_pair, np.frombuffer(data, np.uint16, n_tokens, at)
+    return word, per_word, full.view("<u8")[:, 0], per_pair, np.frombuffer(data, np.uint16, n_tokens, at)
 
 
 @dataclass
@@ -327,9 +327,9 @@ def _route(rows: DataFrame, own) -> DataFrame:
 
 def _grow(blocks: list[tuple], stats: Statistics) -> bytes:
     """The trie of a shard from its training tokens."""
-    word = np.concatenate([b[0] for b in blocks]) if blocks else np.zeros(0, dtype=np.uint64)
-    context = np.concatenate([b[1] for b in blocks]) if blocks else np.zeros(0, dtype=np.uint64)
-    counts = [np.add.reduceat((b[3] & TRAIN_BIT) > 0, np.cumsum(b[2]) - b[2], dtype=np.int64) for b in blocks]
+    word = np.concatenate([np.repeat(b[0], b[1]) for b in blocks]) if blocks else np.zeros(0, dtype=np.uint64)
+    context = np.concatenate([b[2] for b in blocks]) if blocks else np.zeros(0, dtype=np.uint64)
+    counts = [np.add.reduceat((b[4] & TRAIN_BIT) > 0, np.cumsum(b[3]) - b[3], dtype=np.int64) for b in blocks]
     count = np.concatenate(counts) if blocks else np.zeros(0, dtype=np.int64)
     word, context, count = word[count > 0], context[count > 0], count[count > 0]
     order = np.lexsort((context, word))
@@ -353,7 +353,8 @@ def _look_up(blocks: list[tuple], chunks: list[int], trie: Trie, stats: Statisti
     hot = np.array(sorted(stats.hot), dtype=np.uint64)
     counts_of_hot = dict(zip(stats.hot, stats.hot_counts, strict=True))
     end = np.uint64(END)
-    for chunk, (word, context, per_pair, docs) in zip(chunks, blocks, strict=True):
+    for chunk, (word, per_word, context, per_pair, docs) in zip(chunks, blocks, strict=True):
+        # What depends on the word alone is found once per word of the block.
         ranks = trie.ranks(word)
         count = np.where(ranks >= 0, trie.counts(np.maximum(ranks, 0)) if trie.words.n else 0, 0)
         is_hot = np.isin(word, hot)
@@ -361,16 +362,20 @@ def _look_up(blocks: list[tuple], chunks: list[int], trie: Trie, stats: Statisti
         for i in np.flatnonzero(is_hot & (ranks < 0)):
             count[i] = counts_of_hot[int(word[i])]
         p1 = stats.unigram(count)
-        found, numerator = trie.numerators(ranks, context)
-        numerator = np.where(found, numerator, np.log10(stats.prior * p1))
         # A hot word's own parts were added where its block was made.
         rest = np.where(is_hot, 0.0, np.where(word == end, 0.0, -np.log10(count + stats.prior)))
         base = np.where(is_hot, 0.0, np.log10(p1))
         known = np.where(is_hot, False, count > 0)
+        found, numerator = trie.numerators(np.repeat(ranks, per_word), context)
+        numerator = np.where(found, numerator, np.repeat(np.log10(stats.prior * p1), per_word))
         doc = (docs & (TRAIN_BIT - 1)).astype(np.int64)
-        touched, local = np.unique(doc, return_inverse=True)
+        touched = np.flatnonzero(np.bincount(doc))
+        local = np.zeros(int(doc.max()) + 1, dtype=np.int64)
+        local[touched] = np.arange(len(touched))
         sums = _empty_sums(len(touched))
-        sums.add(local, np.repeat(numerator + rest, per_pair), np.repeat(base, per_pair), np.repeat(known, per_pair))
+        # The pairs of a word follow each other, and so do the tokens of a pair.
+        tokens = np.add.reduceat(per_pair, np.cumsum(per_word, dtype=np.int64) - per_word, dtype=np.int64)
+        sums.add(local[doc], np.repeat(numerator, per_pair) + np.repeat(rest, tokens), np.repeat(base, tokens), np.repeat(known, tokens))
         head = np.array([len(touched)], dtype=np.int64)
         yield chunk, b"".join(x.tobytes() for x in (head, sums.base, sums.score.astype(np.float32), sums.known.astype(np.uint32), touched.astype(np.uint16)))
 
