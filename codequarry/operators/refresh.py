@@ -18,36 +18,43 @@ def force_rehash(stored: DataFrame, paths: DataFrame) -> DataFrame:
     ).drop("_forced")
 
 
+# Columns that carry text; they stay out of the join of listing and store.
+TEXT_COLUMNS = ("content", "lines")
+
+
 def plan_refresh(listing: DataFrame, stored: DataFrame, hash_of: Column, options: Options = DEFAULTS) -> DataFrame:
     """Full outer join of the current listing and the stored files to one action per path.
 
     listing needs size, mtime_ns and whatever `hash_of` reads (null meaning undecodable); stored
-    needs size, mtime_ns and source_hash. Same size and time is reused without hashing.
+    needs size, mtime_ns and source_hash. Same size and time is reused without hashing. Only keys,
+    sizes and times meet in the outer join; texts are read and hashed for the paths it leaves open,
+    and aren't part of the result.
     """
-    now = listing.withColumn("_here", F.lit(True))
+    now = listing.drop(*TEXT_COLUMNS).withColumn("_here", F.lit(True))
+    if "source_hash" in now.columns:
+        now = now.drop("source_hash")
     old = stored.select(
         *KEYS, F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"),
         F.col("source_hash").alias("_hash"), F.lit(True).alias("_stored"),
     )
-    both = now.join(old, KEYS, "full_outer")
-    same = (F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime"))
-    hashed = both.withColumn(
-        "new_hash",
-        F.when(F.col("_here") & (F.col("size") <= options.max_file_bytes) & ~F.coalesce(same, F.lit(False)), hash_of),
-    )
+    same = F.coalesce((F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime")), F.lit(False))
+    fits = F.coalesce(F.col("size") <= options.max_file_bytes, F.lit(False))
+    both = now.join(old, KEYS, "full_outer").withColumn("_same", same).withColumn("_open", F.col("_here").isNotNull() & fits & ~same)
+    hashed = listing.join(both.filter("_open").select(*KEYS), KEYS, "left_semi").select(*KEYS, hash_of.alias("new_hash"))
+    known = both.join(hashed, KEYS, "left")
     kept = F.col("_stored").isNotNull()
     action = (
         F.when(F.col("_here").isNull(), F.lit("removed"))
         .when(F.col("size") > options.max_file_bytes, F.when(kept, F.lit("removed")).otherwise(F.lit("skipped")))
-        .when(F.coalesce(same, F.lit(False)), F.lit("reused"))
+        .when(F.col("_same"), F.lit("reused"))
         .when(F.col("new_hash").isNull(), F.when(kept, F.lit("removed")).otherwise(F.lit("skipped")))
         .when(F.col("new_hash") == F.col("_hash"), F.lit("confirmed"))
         .when(kept, F.lit("updated"))
         .otherwise(F.lit("added"))
     )
-    return hashed.withColumn("action", action).withColumn(
+    return known.withColumn("action", action).withColumn(
         "source_hash", F.coalesce("new_hash", "_hash")
-    ).drop("_here", "_size", "_mtime", "_hash", "_stored", "new_hash")
+    ).drop("_here", "_size", "_mtime", "_hash", "_stored", "_same", "_open", "new_hash")
 
 
 def refresh_summary(actions: DataFrame) -> DataFrame:

@@ -16,20 +16,20 @@ TERMINAL = ("complete", "done", "cancelled", "error")
 
 
 def envelope_gate(envelopes: DataFrame, slice_seconds: int = 3600) -> DataFrame:
-    """envelopes(request_id, arrived, job_id, seq, type) to those a client accepts.
+    """envelopes(request_id, arrived, job_id, seq, type, event_id) to those a client accepts.
 
     A request belongs to the job of its first envelope; later ones must have a growing seq, and
     nothing follows a terminal one. "Largest seq so far" is a prefix maximum, taken in two levels:
     within time slices, and over the slices' own maxima. A request with very many envelopes is
     thereby split over many tasks.
     """
-    owner = envelopes.groupBy("request_id").agg(F.min_by("job_id", F.struct("arrived", "seq")).alias("_job"))
+    owner = envelopes.groupBy("request_id").agg(F.min_by("job_id", F.struct("arrived", "seq", "event_id")).alias("_job"))
     own = envelopes.filter("seq >= 0").join(owner, "request_id").filter(F.col("job_id") == F.col("_job")).drop("_job")
     sliced = own.withColumn("_slice", F.floor(F.unix_seconds("arrived") / slice_seconds))
     peaks = sliced.groupBy("request_id", "_slice").agg(F.max("seq").alias("_peak"))
     over = Window.partitionBy("request_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = peaks.select("request_id", "_slice", F.max("_peak").over(over).alias("_carry"))
-    inside = Window.partitionBy("request_id", "_slice").orderBy("arrived", "seq").rowsBetween(
+    inside = Window.partitionBy("request_id", "_slice").orderBy("arrived", "seq", "event_id").rowsBetween(
         Window.unboundedPreceding, -1
     )
     rated = sliced.join(carried, ["request_id", "_slice"]).withColumn(
@@ -37,10 +37,10 @@ def envelope_gate(envelopes: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     )
     growing = rated.filter(F.col("seq") > F.col("_last")).drop("_slice", "_carry", "_last")
     ends = growing.filter(F.col("type").isin(*TERMINAL)).groupBy("request_id").agg(
-        F.min(F.struct("arrived", "seq")).alias("_end")
+        F.min(F.struct("arrived", "seq", "event_id")).alias("_end")
     )
     kept = growing.join(ends, "request_id", "left").filter(
-        F.col("_end").isNull() | (F.struct("arrived", "seq") <= F.col("_end"))
+        F.col("_end").isNull() | (F.struct("arrived", "seq", "event_id") <= F.col("_end"))
     )
     return kept.drop("_end")
 

@@ -143,17 +143,19 @@ def call_graph_reach(spark, sf):
 
 
 @query("transitive_file_dependencies", f"""WITH {SQL_DEPS},
-d1 AS (SELECT src AS start, dst AS node FROM deps),
+asked AS (SELECT 'sup/s_' || n_nationkey || '.py' AS src FROM nation),
+d1 AS (SELECT src AS start, dst AS node FROM deps JOIN asked USING (src)),
 d2 AS (SELECT DISTINCT d1.start, e.dst AS node FROM d1 JOIN deps e ON e.src = d1.node
    WHERE e.dst <> d1.start AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.start = d1.start AND x.node = e.dst))
 SELECT start AS request_id, node, 1 AS depth FROM d1 UNION ALL SELECT start, node, 2 FROM d2""")
 def transitive_file_dependencies(spark, sf):
-    # Files walk by number and get their paths back at the end.
+    # Requests name their start files. Files walk by number and get their paths back at the end.
     known = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("dst"))
     pairs = steps(spark, sf).select(F.col("src_supp").alias("src"), F.col("dst_supp").alias("dst")).filter(
         "src <> dst"
     ).distinct().join(known, "dst")
-    starts = pairs.select(F.col("src").alias("request_id"), F.col("src").alias("node")).distinct()
+    number = F.col("n_nationkey").cast("bigint")
+    starts = load(spark, sf, "nation").select(number.alias("request_id"), number.alias("node"))
 
     def path(number):
         return F.concat(F.lit("sup/s_"), number, F.lit(".py")).alias(number)

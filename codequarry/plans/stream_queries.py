@@ -16,7 +16,8 @@ from codequarry.streaming import runs, state
 
 @query("stream_envelope_gate", f"WITH {sq.SQL_ENVELOPES} SELECT event_id, request_id, job_id, seq, type FROM accepted")
 def stream_envelope_gate(spark, sf):
-    gated = state.gate_stream(sq.shape_envelopes(runs.table_stream(spark, sf, "events")))
+    # A stream drained to its end keeps its keys; expiry by processing time is for streams that go on.
+    gated = state.gate_stream(sq.shape_envelopes(runs.table_stream(spark, sf, "events")), ttl_minutes=None)
     return runs.drain(gated).select("event_id", "request_id", "job_id", "seq", "type")
 
 
@@ -32,14 +33,16 @@ def stream_sessions(spark, sf):
 
 @query("stream_citation_filter", """WITH frag AS (SELECT conv_id, turn * 2 + h AS seq, CASE h WHEN 0 THEN text || ' [E' ELSE turn || '] and [E1' || '] [Ex' END AS t FROM conversations, (VALUES (0), (1)) v(h)),
 whole AS (SELECT conv_id, string_agg(t, '' ORDER BY seq) AS t FROM frag GROUP BY 1)
-SELECT conv_id::VARCHAR AS request_id, regexp_replace(t, '\\[E(0|3|4|5|6|7|8|9)\\]', '', 'g') AS text FROM whole""")
+SELECT conv_id::VARCHAR AS request_id, CASE WHEN conv_id % 2 = 0 THEN regexp_replace(t, '\\[E(0|3|4|5|6|7|8|9)\\]', '', 'g')
+  ELSE regexp_replace(t, '\\[E(0|2|4|5|6|7|8|9)\\]', '', 'g') END AS text FROM whole""")
 def stream_citation_filter(spark, sf):
     said = runs.table_stream(spark, sf, "conversations")
     piece = F.when(F.col("h") == 0, F.concat("text", F.lit(" [E"))).otherwise(F.concat(F.col("turn").cast("string"), F.lit("] and [E1] [Ex")))
     fragments = said.withColumn("h", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        F.col("conv_id").cast("string").alias("request_id"), (F.col("turn") * 2 + F.col("h")).alias("seq"), piece.alias("text")
+        F.col("conv_id").cast("string").alias("request_id"), (F.col("turn") * 2 + F.col("h")).alias("seq"), piece.alias("text"),
+        F.array(F.lit("E1"), F.when(F.col("conv_id") % 2 == 0, F.lit("E2")).otherwise(F.lit("E3"))).alias("valid"),
     )
-    parts = runs.drain(state.filter_stream(fragments, {"E1", "E2"}))
+    parts = runs.drain(state.filter_stream(fragments, ttl_minutes=None))
     return parts.groupBy("request_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text")
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,9 @@ _ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows go to Python in batches of bounded size, so very long texts don't add up.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
@@ -30,16 +36,30 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> Spar
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the adaptive settings to a session somebody else built."""
+    """Apply the adaptive settings to a session somebody else built, and give its executors this package."""
     for key, value in _ADAPTIVE.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per Spark context: tasks import it by name."""
+    context = spark.sparkContext
+    if getattr(context, "_codequarry_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="spark-codequarry-"))
+    # Spark serves the archive to every executor from here on.
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+    context._codequarry_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's, or in local mode a scratch one where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -18,7 +18,8 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def spread(frame: DataFrame, key: str) -> DataFrame:
     """Use every core on an input with fewer splits than the cluster has cores.
 
-    A large table already has more splits than that and passes through without a shuffle.
+    A large table already has more splits than that and passes through without a shuffle. Files are
+    counted from the listing, so nothing is planned for it.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+    return frame.repartition(cores, key) if len(frame.inputFiles()) < cores else frame

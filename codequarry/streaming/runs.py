@@ -28,10 +28,10 @@ def drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One of the driver tables as a stream of files."""
+def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 64) -> DataFrame:
+    """One of the driver tables as a stream of files, so many of them in a micro-batch."""
     schema = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet").schema
-    frame = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    frame = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
     for field in schema.fields:
         if isinstance(field.dataType, T.TimestampNTZType):
             frame = frame.withColumn(field.name, F.col(field.name).cast("timestamp"))

@@ -7,15 +7,20 @@ and `operators.evidence`.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from codequarry.operators.sessions import TERMINAL
 from codequarry.options import DEFAULTS
 
+# The driver's own runner of stateful processors sees no shipped archive, so they travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ENVELOPE = "event_id bigint, request_id string, arrived timestamp, job_id string, seq int, type string, text string"
 _MARK = re.compile(r"\[(E\d+)\]")
 _OPEN_MARK = re.compile(r"\[(?:[Ee]\d*)?$")
@@ -24,18 +29,24 @@ OPEN_MARK_CHARS = 20
 
 
 def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """One key's rows of one micro-batch; the trigger bounds how many those are."""
+    """One key's rows of one micro-batch; the source's files or offsets per trigger bound how many those are."""
     return pd.concat(list(rows)).sort_values(by, kind="stable", ignore_index=True)
 
 
 class EnvelopeGate(StatefulProcessor):
-    """Binds a request to its first job and lets only growing seq through, up to a terminal envelope."""
+    """Binds a request to its first job and lets only growing seq through, up to a terminal envelope.
+
+    A request's state goes `ttl_minutes` after its last envelope; without a number it stays for ever.
+    """
+
+    def __init__(self, ttl_minutes: int | None = None):
+        self.ttl_ms = ttl_minutes * 60_000 if ttl_minutes else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "job_id string, last_seq int, done boolean")
+        self.state = handle.getValueState("gate", "job_id string, last_seq int, done boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        batch = _sorted(rows, ["arrived", "seq"])
+        batch = _sorted(rows, ["arrived", "seq", "event_id"])
         job, last, done = self.state.get() if self.state.exists() else (batch["job_id"].iloc[0], -1, False)
         if done:
             return
@@ -54,9 +65,9 @@ class EnvelopeGate(StatefulProcessor):
         pass
 
 
-def gate_stream(envelopes: DataFrame) -> DataFrame:
+def gate_stream(envelopes: DataFrame, ttl_minutes: int | None = DEFAULTS.session_ttl_minutes) -> DataFrame:
     return envelopes.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=EnvelopeGate(), outputStructType=ENVELOPE, outputMode="Append", timeMode="None"
+        statefulProcessor=EnvelopeGate(ttl_minutes), outputStructType=ENVELOPE, outputMode="Append", timeMode="ProcessingTime" if ttl_minutes else "None"
     )
 
 
@@ -71,22 +82,25 @@ def feed(held: str, chunk: str, valid: set[str]) -> tuple[str, str, list[str]]:
 
 
 class CitationFilter(StatefulProcessor):
-    """Drops unknown [E#] marks even when a fragment ends inside one. A null text ends the stream."""
+    """Drops unknown [E#] marks even when a fragment ends inside one. A null text ends the stream.
 
-    def __init__(self, valid: set[str]):
-        self.valid = valid
+    Every fragment brings the ids that are valid for its request.
+    """
+
+    def __init__(self, ttl_minutes: int | None = None):
+        self.ttl_ms = ttl_minutes * 60_000 if ttl_minutes else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "text string")
+        self.state = handle.getValueState("held", "text string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         held = self.state.get()[0] if self.state.exists() else ""
         out = []
-        for seq, text in _sorted(rows, ["seq"])[["seq", "text"]].itertuples(index=False):
+        for seq, text, valid in _sorted(rows, ["seq"])[["seq", "text", "valid"]].itertuples(index=False):
             if text is None:
                 emitted, held, unknown = held, "", []
             else:
-                emitted, held, unknown = feed(held, text, self.valid)
+                emitted, held, unknown = feed(held, text, set(valid))
             out.append((key[0], seq, emitted, ",".join(unknown)))
         self.state.update((held,))
         yield pd.DataFrame(out, columns=["request_id", "seq", "text", "unknown"])
@@ -95,10 +109,11 @@ class CitationFilter(StatefulProcessor):
         pass
 
 
-def filter_stream(fragments: DataFrame, valid: set[str]) -> DataFrame:
+def filter_stream(fragments: DataFrame, ttl_minutes: int | None = DEFAULTS.session_ttl_minutes) -> DataFrame:
+    """fragments(request_id, seq, text, valid ARRAY<STRING>) to their text without unknown marks."""
     return fragments.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=CitationFilter(valid), outputStructType="request_id string, seq bigint, text string, unknown string",
-        outputMode="Append", timeMode="None",
+        statefulProcessor=CitationFilter(ttl_minutes), outputStructType="request_id string, seq bigint, text string, unknown string",
+        outputMode="Append", timeMode="ProcessingTime" if ttl_minutes else "None",
     )
 
 
