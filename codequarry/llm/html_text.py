@@ -42,10 +42,12 @@ FURNITURE = set(["nav", "header", "footer", "aside", "form", "menu", "dialog"])
 ARTICLE = set(["article", "main"])
 RAW = set(["script", "style", "textarea", "title"])
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|byline|comment\w*|consent|cookies?|disclaimer|disqus|dropdown|foot|footer|gdpr|head|header|hidden|login|masthead|menu|meta|modal"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adsbygoogle|adslot|alert|breadcrumbs?|byline|comment\w*|consent|cookies?|copyright|disclaimer|disqus|dropdown|foot|footer|gdpr|hidden|login|menu|meta|modal"
     r"|nav|navbar|navigation|newsletter|notice|overlay|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
+# These name a page's head, but inside an article its own.
+_HEAD = re.compile(r"(?:^|[\s_-])(?:banner|head|header|masthead)(?:$|[\s_-])", re.I)
 _ROLES = set([
     "navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "toolbar",
 ])
@@ -121,7 +123,9 @@ class _Flat:
                 invisible = True
         inside = name in ARTICLE or article or roles in ("main", "article")
         # A heading group inside an article belongs to it; a header or footer around pages doesn't.
-        own = name in FURNITURE and not (name == "header" and article) or roles in _ROLES or bool(names and name not in ("html", "body", *ARTICLE) and _NAMED.search(names))
+        own = name in FURNITURE and not (name == "header" and article) or roles in _ROLES or bool(
+            names and name not in ("html", "body", *ARTICLE) and (_NAMED.search(names) or not inside and _HEAD.search(names))
+        )
         self.open.append((name, hidden or name in HIDDEN or invisible, furniture or own, inside, link or name == "a"))
 
     def _close_open(self, names: set[str], stop: set[str]) -> None:

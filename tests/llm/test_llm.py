@@ -220,6 +220,14 @@ def test_html_tree_without_article_element():
     assert text.split("\n") == [passage(i, 40) for i in range(4)]
 
 
+def test_html_heads_inside_and_outside_articles():
+    page = (
+        "<div class='site-header'>Brand</div><article><div class='entry-header'><h1>Title</h1></div><p>Some words of the text.</p>"
+        "<div class='ad-slot'>Buy</div><section id='comments'>Nice</section></article><div class='cookie-banner'>We use cookies</div>"
+    )
+    assert html_text.main_text(page, html_text.train()) == "Title\nSome words of the text."
+
+
 def test_decision_tree_learns_its_table():
     table = np.array(html_text.LABELLED, dtype=float)
     assert (html_text.classify(html_text.train(), table[:, :-1]) == table[:, -1].astype(bool)).all()
