@@ -9,10 +9,13 @@ from codequarry.session import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours are linked to the smallest node of its neighbourhood."""
+    """Every node's larger neighbours are linked to the smallest node of its neighbourhood.
+
+    Each edge makes one row at most, so equal rows can wait for the next star to merge them.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(smallest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(smallest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
