@@ -102,9 +102,9 @@ def _read_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ignore_rules(listing: DataFrame, names: tuple[str, ...] = (".gitignore",)) -> DataFrame:
-    """Ordered rules per root, from its ignore files; their size is bounded by the file cap."""
+    """Ordered rules per root, from its ignore files. These are read whatever their size: a rule left out lets files in."""
     order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path"))
-    files = listing.filter(F.col("path").isin(*names) & (F.col("size") <= DEFAULTS.max_file_bytes))
+    files = listing.filter(F.col("path").isin(*names))
     texts = files.select("project_id", "root", "path", "size", "mtime_ns", F.lit(None).cast("string").alias("language")).mapInArrow(_read_bodies, _BODY)
     lines = texts.select("root", order.alias("file_no"), F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"))
     rules = lines.select("root", "file_no", "line_no", px.parse_ignore_rule(F.col("line")).alias("rule")).filter("rule IS NOT NULL")
