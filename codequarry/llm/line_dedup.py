@@ -90,7 +90,7 @@ def runs_of(texts: list[str | None], run_words: int = RUN_WORDS) -> Runs:
     n = len(bare)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(b) for b in bare), dtype=np.uint64, count=n)
-    upto = np.concatenate([[0], np.cumsum(np.fromiter((b.count(" ") + 1 for b in bare), dtype=np.int64, count=n))])
+    upto = np.concatenate([[0], np.cumsum(np.fromiter((len(b.encode("utf-8", "surrogatepass").split()) for b in bare), dtype=np.int64, count=n))])
     text = np.repeat(np.arange(len(texts)), sizes)
     end = np.repeat(np.cumsum(sizes), sizes)
     stop = np.searchsorted(upto, upto[:-1] + run_words, side="left")

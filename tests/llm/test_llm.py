@@ -98,6 +98,18 @@ def test_line_dedup_odd_rows(spark, odd):
     assert all(r["stop"] > r["start"] for r in runs)
 
 
+def test_line_dedup_counts_words_not_spaces(spark):
+    padded = "total" + " " * 40 + "12\n"
+    words = [f"{c}{i}" for i in range(30) for c in "uv"]
+    tabs, mixed = "\t".join(words) + "\n", "\v".join(words[::-1]) + "\r\f" + "\f".join(words) + "\n"
+    rows = [(1, passage(21, 40) + "\n" + padded), (2, padded + passage(22, 40)), (3, tabs + passage(23, 20)), (4, passage(24, 20) + "\n" + tabs), (5, mixed), (6, mixed)]
+    got = {r["doc_id"]: r for r in line_dedup.report(frame(spark, rows)).collect()}
+    # Two words are no run, however wide the gap between them; sixty are one, whatever parts them.
+    assert [got[i]["text"] for i in (1, 2, 3, 5)] == [rows[k][1] for k in (0, 1, 2, 4)]
+    assert got[4]["text"].startswith(passage(24, 20) + "\n")
+    assert got[4]["gone_words"] > 50 and got[6]["gone_words"] > 110
+
+
 def test_pieces_add_up():
     for text in ("", "\n", "a, b. c\n\nd", "x" * 500, passage(3, 400), "a  b ,c\r\nd\n e", "。、x"):
         assert "".join(line_dedup.pieces(text)) == text
