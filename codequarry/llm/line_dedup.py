@@ -1,22 +1,23 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing over word hashes.
 
-A text is cut into line pieces: at line breaks, after sentence and clause marks, and inside a long
-piece without marks after words that a hash picks, so that equal passages are cut alike wherever they
-stand in a line. Every run of pieces with at least `run_words` words is compared; the smallest piece
-hash of a run is its fingerprint (winnowing: a repeated run always repeats its fingerprint).
+A text is cut into words, each with the white space after it up to its line's end. Every run of
+`run_words` words is compared, wherever it begins or ends in a line; white space around a word doesn't
+count. The smallest hash of a few successive words of a run is its fingerprint (winnowing: a repeated
+run always repeats its fingerprint, and neighbouring runs mostly share theirs).
 
  1. Each task hashes the runs of its documents and keeps the first of equal ones; the others are
-    repeats already. So a passage that a third of all documents share is one row per task.
- 2. The fingerprint names the shard of a run. Runs that could be equal meet there, once: the first in
-    the order of documents is the source, all others are repeats of it. Every occurrence meets one
+    repeats already. So a passage that a third of all documents share is sent once per task.
+ 2. The fingerprint names the shard of a run; neighbouring runs with one fingerprint travel together, so
+    a run costs 8 bytes and a share of their head. Runs that could be equal meet there, once: the first
+    in the order of documents is the source, all others are repeats of it. Every occurrence meets one
     source, never all other occurrences.
- 3. A repeat is extended both ways by the neighbouring runs that also repeat; the union is deleted.
+ 3. Neighbouring runs that repeat are one interval; the union of the intervals is deleted.
 
-So a piece goes exactly if it lies in a run of at least `run_words` words that stands in an earlier
+So a word goes exactly if it lies in a run of at least `run_words` words that stands in an earlier
 document, or earlier in the same one. Documents are ordered by id, nulls last.
 
 Defined results: null texts stay null, empty ones empty; rows equal in id and text are one document
-and keep the same pieces; a document whose every piece repeats becomes the empty text; columns other
+and keep the same words; a document whose every word repeats becomes the empty text; columns other
 than `text` and its length stay as they are; an empty table gives an empty result.
 """
 
@@ -25,7 +26,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,185 +36,225 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import Carried, pick, row_key
 from codequarry.session import cut
 
-#: Words of whole pieces that make a repeat. Cutting a passage of 50 words loses less than 20 at its two ends.
+#: Words that make a repeat.
 RUN_WORDS = 30
-#: Pieces longer than this are cut further, after words whose checksum is a multiple of PICK.
-LONG_PIECE = 120
-PICK = 4
+#: Successive words whose hash can be a fingerprint; single words would crowd the shards of frequent ones.
+GRAM = 8
 
-_PIECE = re.compile(r"[^\n]*?[.!?,;:|…。，、；：！？]+[ \t]+|[^\n]*\n|[^\n]+")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+")
+_PIECE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*\n?|[\x20\x09\x0B-\x0D]*\n|[\x20\x09\x0B-\x0D]+")
+_BLANK = " \t\n\v\f\r"
 
 
 def pieces(text: str) -> list[str]:
-    """Line pieces that add up to the text."""
-    whole = []
-    for piece in _PIECE.findall(text):
-        if len(piece) <= LONG_PIECE:
-            whole.append(piece)
-            continue
-        part = []
-        for word in _WORD.findall(piece):
-            part.append(word)
-            if crc32(word.strip().encode("utf-8", "surrogatepass")) % PICK == 0:
-                whole.append("".join(part))
-                part = []
-        if part:
-            whole.append("".join(part))
-    return whole
+    """Words with the white space after them, and blank pieces, that add up to the text."""
+    return _PIECE.findall(text)
+
+
+class _Hashes(dict):
+    """Hashes of pieces without the white space around them, 0 for blank ones."""
+
+    def __missing__(self, piece: str) -> int:
+        bare = piece.strip()
+        value = (xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass")) or 1) if bare else 0
+        if len(piece) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[piece] = value
+        return value
+
+    def words(self, text: str | None) -> np.ndarray:
+        """Hashes of a text's words, in order."""
+        own = pieces(text or "")
+        found = np.fromiter(map(self.__getitem__, own), dtype=np.uint64, count=len(own))
+        return found if found.all() else found[found != 0]
 
 
 @dataclass
 class Runs:
-    """Runs of the texts of one block: text, first piece, last + 1, hash, and the hash of the fingerprint."""
+    """Runs of the texts of one block: text, first word, hash, and the hash of the fingerprint."""
 
     text: np.ndarray
     start: np.ndarray
-    stop: np.ndarray
     run: np.ndarray
     fingerprint: np.ndarray
 
 
-def runs_of(texts: list[str | None], run_words: int = RUN_WORDS) -> Runs:
-    """All runs of a block of texts, in order. A run starts at every piece that isn't blank and has words enough after it."""
-    bare: list[str] = []
-    place: list[int] = []
-    sizes = np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        # White space around a piece doesn't count, so a passage is found at a line's end as in its middle.
-        own = [p.strip() for p in pieces(text or "")]
-        kept = [k for k, b in enumerate(own) if b]
-        bare += [own[k] for k in kept]
-        place += kept
-        sizes[i] = len(kept)
-    n = len(bare)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b) for b in bare), dtype=np.uint64, count=n)
-    upto = np.concatenate([[0], np.cumsum(np.fromiter((len(b.encode("utf-8", "surrogatepass").split()) for b in bare), dtype=np.int64, count=n))])
-    text = np.repeat(np.arange(len(texts)), sizes)
-    end = np.repeat(np.cumsum(sizes), sizes)
-    stop = np.searchsorted(upto, upto[:-1] + run_words, side="left")
-    start = np.flatnonzero(stop <= end)
-    stop = stop[start]
-    # Hash of pieces [start, stop): differences of a running sum in powers of an odd number, brought to power zero.
+def _mix(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def runs_of(words: list[np.ndarray], run_words: int = RUN_WORDS) -> Runs:
+    """All runs of a block of texts, given by the hashes of their words, in order."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    n = int(sizes.sum())
+    hashes = np.concatenate(words) if n else np.zeros(0, dtype=np.uint64)
+    text = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes)
+    start = np.flatnonzero(np.arange(n) + run_words <= np.repeat(ends, sizes))
+    if not len(start):
+        none = np.zeros(0, dtype=np.uint64)
+        return Runs(start, start, none, none)
+    # Hash of words [i, i + k): differences of a running sum in powers of an odd number, brought to power zero.
     base = np.uint64(0x9E3779B97F4A7C15)
     back = np.uint64(pow(int(base), -1, 1 << 64))
-    power = np.cumprod(np.full(n, base, dtype=np.uint64), dtype=np.uint64)
     inverse = np.cumprod(np.full(n, back, dtype=np.uint64), dtype=np.uint64)
-    summed = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power, dtype=np.uint64)])
-    mixed = (summed[stop] - summed[start]) * inverse[start] if n else np.zeros(0, dtype=np.uint64)
-    run = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    smallest = np.full(len(start), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for d in range(int((stop - start).max()) if len(start) else 0):
-        inside = start + d < stop
-        smallest[inside] = np.minimum(smallest[inside], hashes[start[inside] + d])
-    at = np.array(place, dtype=np.int64)
-    return Runs(text[start], at[start], at[stop - 1] + 1, run ^ (run >> np.uint64(32)), smallest)
+    summed = np.cumprod(np.full(n, base, dtype=np.uint64), dtype=np.uint64)
+    summed *= hashes
+    summed = np.concatenate([[np.uint64(0)], np.cumsum(summed, dtype=np.uint64)])
+    run = _mix((summed[run_words:] - summed[:-run_words])[start] * inverse[start])
+    gram = min(GRAM, run_words)
+    smallest = _mix((summed[gram:] - summed[:-gram]) * inverse[: n - gram + 1])
+    # Smallest of `width` neighbours, doubling.
+    width, have = run_words - gram + 1, 1
+    while have < width:
+        step = min(have, width - have)
+        smallest = np.minimum(smallest[:-step], smallest[step:])
+        have += step
+    own = text[start]
+    return Runs(own, start - (ends - sizes)[own], run, smallest[start])
 
 
 #: Characters of text in one block, which bounds a task's memory.
-BLOCK_CHARS = 16_000_000
-_RUN = np.dtype([("run", "<u8"), ("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("length", "<u4"), ("no_id", "u1")])
+BLOCK_CHARS = 8_000_000
+#: Neighbouring runs of one shard: their document, its id, the first word of the first and how many there are.
+_HEAD = np.dtype([("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u4"), ("no_id", "u1")])
+_RUN = np.dtype([("run", "<u8"), ("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("no_id", "u1")])
 _REPEAT = "rid bigint, doc_id bigint, start bigint, stop bigint, source_rid bigint, source_doc_id bigint, source_start bigint"
 
 
-def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted rows and, for each, where the first row with its run is: the source."""
-    rows = rows[np.lexsort((rows["start"], rows["rid"], rows["doc"], rows["no_id"], rows["run"]))]
-    heads = np.flatnonzero(np.append(True, rows["run"][1:] != rows["run"][:-1])[: len(rows)])
-    return rows, np.repeat(heads, np.diff(np.append(heads, len(rows))))
-
-
-def _repeats(rows: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """Which rows repeat another one: those of equal documents at the same place are the source itself."""
-    return (rows["rid"] != rows["rid"][source]) | (rows["start"] != rows["start"][source])
-
-
-def _found(rows: np.ndarray, source: np.ndarray) -> dict[str, pa.Array]:
-    """Columns of the repeats among the rows."""
-    mine = _repeats(rows, source)
-    rows, first = rows[mine], rows[source[mine]]
+def _found(rows: np.ndarray, first: np.ndarray, run_words: int) -> pa.Table:
+    """Repeats, given each run and its source: neighbouring runs whose sources are neighbours are one interval."""
+    mine = (rows["rid"] != first["rid"]) | (rows["start"] != first["start"])
+    rows, first = rows[mine], first[mine]
+    order = np.lexsort((rows["start"], rows["rid"]))
+    rows, first = rows[order], first[order]
+    # A document that several blocks hold gives each of its runs several times.
+    again = (rows["rid"][1:] == rows["rid"][:-1]) & (rows["start"][1:] == rows["start"][:-1])
+    fresh = np.append(True, ~again)[: len(rows)]
+    rows, first = rows[fresh], first[fresh]
+    along = lambda r: (r["rid"][1:] == r["rid"][:-1]) & (r["start"][1:].astype(np.int64) == r["start"][:-1].astype(np.int64) + 1)
+    heads = np.flatnonzero(np.append(True, ~(along(rows) & along(first)))[: len(rows)])
+    lasts = np.append(heads[1:], len(rows))[: len(heads)] - 1
     ids = lambda r: pa.array(r["doc"], mask=r["no_id"] == 1)
-    start = rows["start"].astype(np.int64)
-    return {
-        "rid": pa.array(rows["rid"]), "doc_id": ids(rows), "start": pa.array(start), "stop": pa.array(start + rows["length"]),
+    stop = rows["start"][lasts].astype(np.int64) + run_words
+    rows, first = rows[heads], first[heads]
+    return pa.table({
+        "rid": pa.array(rows["rid"]), "doc_id": ids(rows), "start": pa.array(rows["start"].astype(np.int64)), "stop": pa.array(stop),
         "source_rid": pa.array(first["rid"]), "source_doc_id": ids(first), "source_start": pa.array(first["start"].astype(np.int64)),
-    }
+    })
 
 
 def _blocks(plain: DataFrame, run_words: int, shards: int) -> DataFrame:
     """Per block and shard the first occurrences of its runs, packed; repeats within a block as rows of a stream."""
 
-    def packed(rids: list[int], ids: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
-        found = runs_of(texts, run_words)
-        rows = np.zeros(len(found.run), dtype=_RUN)
-        rows["run"], rows["start"], rows["length"] = found.run, found.start, found.stop - found.start
-        rows["rid"] = np.array(rids, dtype=np.int64)[found.text]
-        rows["no_id"] = np.array([i is None for i in ids], dtype=np.uint8)[found.text]
-        rows["doc"] = np.array([i or 0 for i in ids], dtype=np.int64)[found.text]
-        shard_of = (found.fingerprint % np.uint64(shards)).astype(np.int64)
-        # The shard is a function of the run, so sorting by run keeps it at hand.
-        order = np.lexsort((rows["start"], rows["rid"], rows["doc"], rows["no_id"], rows["run"]))
-        rows, shard_of = rows[order], shard_of[order]
-        rows, source = _first(rows)
-        sink = pa.BufferOutputStream()
-        table = pa.table(_found(rows, source))
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        heads = np.unique(source)
-        rows, shard_of = rows[heads], shard_of[heads]
-        rows, shard_of = rows[(o := np.argsort(shard_of, kind="stable"))], shard_of[o]
-        cuts = np.flatnonzero(np.append(True, shard_of[1:] != shard_of[:-1])[: len(rows)])
-        ends = np.append(cuts[1:], len(rows))
-        data = [rows[a:b].tobytes() for a, b in zip(cuts, ends[: len(cuts)], strict=True)]
-        own = [int(shard_of[a]) for a in cuts]
-        kinds = [False] * len(own)
+    def packed(docs: dict[int, tuple[bool, int, np.ndarray]]) -> pa.RecordBatch:
+        # In the order of documents, so the first of equal runs is the source.
+        rids = sorted(docs, key=lambda r: (docs[r][0], docs[r][1], r))
+        found = runs_of([docs[r][2] for r in rids], run_words)
+        rid = np.array(rids, dtype=np.int64)
+        no_id = np.array([docs[r][0] for r in rids], dtype=np.uint8)
+        doc = np.array([docs[r][1] for r in rids], dtype=np.int64)
+
+        def rows_at(at: np.ndarray) -> np.ndarray:
+            rows = np.zeros(len(at), dtype=_RUN)
+            own = found.text[at]
+            rows["rid"], rows["doc"], rows["no_id"], rows["start"] = rid[own], doc[own], no_id[own], found.start[at]
+            return rows
+
+        n = len(found.run)
+        order = np.argsort(found.run, kind="stable")
+        same = found.run[order[1:]] == found.run[order[:-1]]
+        heads = np.flatnonzero(np.append(True, ~same)[:n])
+        source = np.repeat(order[heads], np.diff(np.append(heads, n)))
+        later = source != order
+        table = _found(rows_at(order[later]), rows_at(source[later]), run_words)
+        kept = np.sort(order[heads])
+        shard_of = (found.fingerprint[kept] % np.uint64(shards)).astype(np.int64)
+        text = found.text[kept]
+        fresh = np.append(True, (kept[1:] != kept[:-1] + 1) | (shard_of[1:] != shard_of[:-1]) | (text[1:] != text[:-1]))[: len(kept)]
+        at = np.flatnonzero(fresh)
+        together = np.zeros(len(at), dtype=_HEAD)
+        for name in ("rid", "doc", "no_id", "start"):
+            together[name] = rows_at(kept[at])[name]
+        together["count"] = np.diff(np.append(at, len(kept)))
+        own = shard_of[at]
+        dealt = np.argsort(own, kind="stable")
+        runs = found.run[kept][np.argsort(shard_of, kind="stable")]
+        together, own = together[dealt], own[dealt]
+        cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+        stops = np.append(cuts[1:], len(own))[: len(cuts)]
+        upto = np.concatenate([[0], np.cumsum(together["count"], dtype=np.int64)])
+        data = [np.int64(b - a).tobytes() + together[a:b].tobytes() + runs[upto[a] : upto[b]].tobytes() for a, b in zip(cuts, stops, strict=True)]
+        names = [int(own[a]) for a in cuts]
+        kinds = [False] * len(names)
         if table.num_rows:
-            data, own, kinds = [*data, sink.getvalue().to_pybytes()], [*own, int(rids[0]) % shards], [*kinds, True]
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(data, pa.binary())], ["shard", "done", "data"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            data, names, kinds = [*data, sink.getvalue().to_pybytes()], [*names, int(rids[0]) % shards], [*kinds, True]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(data, pa.binary())], ["shard", "done", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rids, ids, texts, size = [], [], [], 0
+        docs, size, hashes = {}, 0, _Hashes()
         for batch in batches:
             for rid, doc_id, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if rid in docs:
+                    continue
                 text = item.as_py()
-                rids.append(rid)
-                ids.append(doc_id)
-                texts.append(text)
+                docs[rid] = (doc_id is None, doc_id or 0, hashes.words(text))
                 size += len(text or "")
                 if size >= BLOCK_CHARS:
-                    yield packed(rids, ids, texts)
-                    rids, ids, texts, size = [], [], [], 0
-        if rids:
-            yield packed(rids, ids, texts)
+                    yield packed(docs)
+                    docs, size = {}, 0
+        if docs:
+            yield packed(docs)
 
     return plain.mapInArrow(run, "shard bigint, done boolean, data binary")
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(table: pa.Table, run_words: int) -> pa.Table:
     """All repeats of one shard: those found within blocks, and those between them."""
-    parts, passed = [], []
+    heads, runs, passed = [], [], []
     for done, item in zip(table.column("done").to_pylist(), table.column("data"), strict=True):
         data = item.as_py()
         if done:
             passed.append(pa.ipc.open_stream(data).read_all())
         else:
-            parts.append(np.frombuffer(data, dtype=_RUN))
-    rows = np.concatenate(parts) if parts else np.zeros(0, dtype=_RUN)
+            n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
+            heads.append(np.frombuffer(data, dtype=_HEAD, count=n, offset=8))
+            runs.append(np.frombuffer(data, dtype=np.uint64, offset=8 + n * _HEAD.itemsize))
+    head = np.concatenate(heads) if heads else np.zeros(0, dtype=_HEAD)
+    run = np.concatenate(runs) if runs else np.zeros(0, dtype=np.uint64)
+    upto = np.concatenate([[0], np.cumsum(head["count"], dtype=np.int64)])
     # Most runs are found once; only the others are put in order.
-    _, inverse, counts = np.unique(rows["run"], return_inverse=True, return_counts=True)
-    return pa.concat_tables([*passed, pa.table(_found(*_first(rows[counts[inverse] > 1])))])
+    order = np.argsort(run)
+    same = run[order[1:]] == run[order[:-1]]
+    at = order[(np.append(False, same) | np.append(same, False))[: len(order)]]
+    own = np.searchsorted(upto, at, side="right") - 1
+    rows = np.zeros(len(at), dtype=_RUN)
+    rows["run"], rows["start"] = run[at], head["start"][own] + (at - upto[own])
+    for name in ("rid", "doc", "no_id"):
+        rows[name] = head[name][own]
+    rows = rows[np.lexsort((rows["start"], rows["rid"], rows["doc"], rows["no_id"], rows["run"]))]
+    firsts = np.flatnonzero(np.append(True, rows["run"][1:] != rows["run"][:-1])[: len(rows)])
+    source = np.repeat(firsts, np.diff(np.append(firsts, len(rows))))
+    return pa.concat_tables([*passed, _found(rows, rows[source], run_words)])
 
 
 def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Every later occurrence of a run: rid, doc_id, pieces start..stop, and its source's rid, doc_id and start."""
+    """Every later occurrence of runs: rid, doc_id, words start..stop, and its source's rid, doc_id and start."""
     plain = pick(docs, "doc_id", "text").select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.col("doc_id").cast("bigint"), "text")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _blocks(plain, run_words, shards).groupBy("shard").applyInArrow(_meet, _REPEAT)
+
+    def meet(table: pa.Table) -> pa.Table:
+        return _meet(table, run_words)
+
+    return _blocks(plain, run_words, shards).groupBy("shard").applyInArrow(meet, _REPEAT)
 
 
 def matches(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Repeats extended both ways: (doc_id, start, stop) in pieces and the source, one row per diagonal run."""
+    """Repeats extended both ways: (doc_id, start, stop) in words and the source, one row per diagonal run."""
     found = repeats(docs, run_words).distinct().withColumn("diagonal", F.col("start") - F.col("source_start"))
     line = Window.partitionBy("rid", "source_rid", "diagonal").orderBy("start")
     apart = (F.col("start") > F.coalesce(F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
@@ -234,13 +274,14 @@ def _cut_pieces(texts: pa.Array, gone: pa.Array) -> tuple[list, list, list]:
             gone_words.append(0)
             continue
         parts = pieces(whole or "")
+        words = [k for k, p in enumerate(parts) if p.strip()]
         flags = np.zeros(len(parts), dtype=bool)
         for interval in drop:
-            flags[interval["start"] : interval["stop"]] = True
-        kept = [p for p, flag in zip(parts, flags, strict=True) if not flag]
+            flags[words[interval["start"]] : words[interval["stop"] - 1] + 1] = True
+        kept = [p for p, flag in zip(parts, flags.tolist(), strict=True) if not flag]
         out.append("".join(kept) if any(p.strip() for p in kept) else "")
         n_gone.append(int(flags.sum()))
-        gone_words.append(sum(len(p.encode("utf-8", "surrogatepass").split()) for p, flag in zip(parts, flags, strict=True) if flag))
+        gone_words.append(sum(p[0] not in _BLANK for p, flag in zip(parts, flags.tolist(), strict=True) if flag))
     return out, n_gone, gone_words
 
 

@@ -101,7 +101,7 @@ def test_line_dedup_odd_rows(spark, odd):
 def test_line_dedup_counts_words_not_spaces(spark):
     padded = "total" + " " * 40 + "12\n"
     words = [f"{c}{i}" for i in range(30) for c in "uv"]
-    tabs, mixed = "\t".join(words) + "\n", "\v".join(words[::-1]) + "\r\f" + "\f".join(words) + "\n"
+    tabs, mixed = "\t".join(words) + "\n", "\v".join(words[::-1]) + "\r\f" + "\f".join(w + "z" for w in words) + "\n"
     rows = [(1, passage(21, 40) + "\n" + padded), (2, padded + passage(22, 40)), (3, tabs + passage(23, 20)), (4, passage(24, 20) + "\n" + tabs), (5, mixed), (6, mixed)]
     got = {r["doc_id"]: r for r in line_dedup.report(frame(spark, rows)).collect()}
     # Two words are no run, however wide the gap between them; sixty are one, whatever parts them.
@@ -110,6 +110,21 @@ def test_line_dedup_counts_words_not_spaces(spark):
     assert got[4]["gone_words"] > 50 and got[6]["gone_words"] > 110
 
 
+def test_line_dedup_finds_every_passage_inside_lines(spark):
+    """Passages of 51 to 80 words planted mid-line go whole, but for nothing else than their later copy."""
+    rng = random.Random(77)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    # Clauses of up to 120 characters, so a passage begins and ends far from any mark.
+    prose = lambda n: " ".join(word(5) + ("," if rng.random() < 0.06 else "") for _ in range(n))
+    rows, want = [], {}
+    for k in range(300):
+        shared, before, after = prose(51 + k % 30), prose(25), prose(25)
+        rows += [(2 * k, f"{prose(25)} {shared} {prose(25)}"), (2 * k + 1, f"{before} {shared} {after}")]
+        want |= {2 * k: rows[-2][1], 2 * k + 1: f"{before} {after}"}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.report(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_pieces_add_up():
     for text in ("", "\n", "a, b. c\n\nd", "x" * 500, passage(3, 400), "a  b ,c\r\nd\n e", "。、x"):
         assert "".join(line_dedup.pieces(text)) == text
