@@ -117,6 +117,8 @@ def runs_of(words: list[np.ndarray], run_words: int = RUN_WORDS) -> Runs:
 
 #: Characters of text in one block, which bounds a task's memory.
 BLOCK_CHARS = 8_000_000
+#: Bytes of text whose runs make one shard, which is held whole in a task.
+SHARD_BYTES = 16_000_000
 #: Neighbouring runs of one shard: their document, its id, the first word of the first and how many there are.
 _HEAD = np.dtype([("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("count", "<u4"), ("no_id", "u1")])
 _RUN = np.dtype([("run", "<u8"), ("rid", "<i8"), ("doc", "<i8"), ("start", "<u4"), ("no_id", "u1")])
@@ -242,10 +244,16 @@ def _meet(table: pa.Table, run_words: int) -> pa.Table:
     return pa.concat_tables([*passed, _found(rows, rows[source], run_words)])
 
 
+def _shards(plain: DataFrame) -> int:
+    """As many shards as the texts' size asks for; a task takes one after the other."""
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
 def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Every later occurrence of runs: rid, doc_id, words start..stop, and its source's rid, doc_id and start."""
     plain = pick(docs, "doc_id", "text").select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.col("doc_id").cast("bigint"), "text")
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = _shards(plain)
 
     def meet(table: pa.Table) -> pa.Table:
         return _meet(table, run_words)

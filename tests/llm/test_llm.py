@@ -125,6 +125,18 @@ def test_line_dedup_finds_every_passage_inside_lines(spark):
     assert got == want
 
 
+def test_line_dedup_shards_grow_with_the_texts(spark, monkeypatch):
+    rows = [(k, passage(500 + k % 40, 120)) for k in range(80)]
+    docs = frame(spark, rows)
+    asked = []
+    blocks = line_dedup._blocks
+    monkeypatch.setattr(line_dedup, "_blocks", lambda plain, run_words, shards: asked.append(shards) or blocks(plain, run_words, shards))
+    monkeypatch.setattr(line_dedup, "SHARD_BYTES", 200)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.report(docs).collect()}
+    assert asked == [-(-sum(len(t) for _, t in rows) // 200)]
+    assert got == {k: t if k < 40 else "" for k, t in rows}
+
+
 def test_pieces_add_up():
     for text in ("", "\n", "a, b. c\n\nd", "x" * 500, passage(3, 400), "a  b ,c\r\nd\n e", "。、x"):
         assert "".join(line_dedup.pieces(text)) == text
