@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontaminate, html_text, language_id, line_dedup, lm_score, mixing, pii, quality_rules, simhash, token_counts
-from codequarry.llm.sql import DECONTAMINATE, MIX, QUALITY
+from codequarry.llm import (
+    centroid_clustering, decontaminate, html_text, language_id, line_dedup, lm_score, minhash, mixing, pii, quality_rules, simhash, spelling, token_counts,
+)
+from codequarry.llm.sql import DECONTAMINATE, MINHASH, MIX, QUALITY, cluster_sql
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -75,13 +77,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.with_inertia(centroid_clustering.cluster(_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Job]:
     jobs = (
         op1_quality_rules, op2_line_dedup, op3_decontamination, op4_mixing, op5_pii,
         op6_html_text, op7_lm_score, op8_token_counts, op9_language_id, op10_simhash,
+        op11_spelling_variants, op12_minhash, op13_centroid_clustering,
     )
     return {job.__name__: job for job in jobs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY, "op3_decontamination": DECONTAMINATE, "op4_mixing": MIX}
+    return {"op1_quality_rules": QUALITY, "op3_decontamination": DECONTAMINATE, "op4_mixing": MIX, "op12_minhash": MINHASH, "op13_centroid_clustering": cluster_sql()}

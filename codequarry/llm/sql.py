@@ -130,3 +130,63 @@ taken AS (SELECT source, ratio, id, digest FROM running WHERE upto * 2 - words <
 SELECT p.doc_id, p.size, p.source_size::BIGINT AS source_size, p.target, ((p.whole + CASE WHEN t.id IS NULL THEN 0 ELSE 1 END) * p.size)::BIGINT AS taken
 FROM placed p LEFT JOIN taken t ON p.source IS NOT DISTINCT FROM t.source AND p.ratio = t.ratio AND p.id = t.id AND p.digest = t.digest
 """
+
+def cluster_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Lloyd's rounds over whole numbers: assign to the nearest, floor the means, and assign once more."""
+    assigned = """a{r} AS MATERIALIZED (
+    SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, j := j)) AS best FROM (
+        SELECT rid, vec_id, v, j, list_sum(list_transform(range(1, {dims} + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM v CROSS JOIN c{r}
+    ) GROUP BY rid
+)"""
+    moved = """s{r} AS (
+    SELECT j, list(CASE WHEN s < 0 THEN -((-s + n - 1) // n) ELSE s // n END ORDER BY i) AS c FROM (
+        SELECT best.j AS j, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, {dims} + 1) t(i) GROUP BY best.j, i
+    ) GROUP BY j
+),
+c{next} AS MATERIALIZED (SELECT c{r}.j, coalesce(list_transform(s{r}.c, lambda x: x::BIGINT), c{r}.c) AS c FROM c{r} LEFT JOIN s{r} USING (j))"""
+    steps = [part.format(r=r, next=r + 1, dims=dims) for r in range(rounds) for part in (assigned, moved)]
+    steps.append(assigned.format(r=rounds, dims=dims))
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id,
+        list_transform(embedding, lambda x: greatest(least(floor(256.0::DOUBLE * x::DOUBLE), 134217728), -134217728)::BIGINT) AS v
+    FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+),
+c0 AS MATERIALIZED (
+    SELECT (row_number() OVER (ORDER BY h NULLS LAST, v) - 1)::INTEGER AS j, v AS c
+    FROM (SELECT sha256('2:' || vec_id::VARCHAR) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT {k})
+),
+{",".join(chr(10) + step for step in steps).strip()},
+named AS (SELECT j, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, best.j::INTEGER AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.j))::BIGINT AS cluster_inertia,
+    (sum(best.d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN named ON best.j = named.j
+"""
+
+
+MINHASH = r"""
+WITH RECURSIVE worded AS (
+    SELECT row_number() OVER () AS rid, doc_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda w: w <> '') AS w
+    FROM documents
+),
+shingled AS MATERIALIZED (
+    SELECT rid, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+    FROM worded
+),
+keyed AS MATERIALIZED (SELECT rid, doc_id, s, len(s) AS n, sha256(array_to_string(list_sort(s), '|')) AS key FROM shingled),
+sets AS MATERIALIZED (SELECT key, any_value(n) AS n, min(doc_id) AS first_id, any_value(s) AS s FROM keyed WHERE n > 0 GROUP BY key),
+items AS MATERIALIZED (SELECT key, n, unnest(s) AS x FROM sets),
+shared AS (
+    SELECT a.key AS a, b.key AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+    FROM items a JOIN items b ON a.x = b.x AND a.key <> b.key AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.key, b.key
+),
+linked AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * i >= 85 * (na + nb - i)),
+reach AS (SELECT key AS start, key AS node FROM sets UNION SELECT r.start, l.b FROM reach r JOIN linked l ON l.a = r.node),
+rooted AS (SELECT start, min(first_id) AS component_id FROM reach JOIN sets ON node = key GROUP BY start)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, CASE WHEN k.n = 0 THEN k.doc_id ELSE r.component_id END AS component_id,
+    k.doc_id IS NOT DISTINCT FROM CASE WHEN k.n = 0 THEN k.doc_id ELSE r.component_id END AS kept
+FROM keyed k LEFT JOIN rooted r ON k.key = r.start AND k.n > 0
+"""
