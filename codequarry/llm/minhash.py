@@ -9,10 +9,12 @@ set sizes alone keep them under it, go; every link among the rest is confirmed o
 
 Only distinct sets are compared: copies share one digest of 128 bits and cost one row per task.
 
- 1. Star: under every band key the member with the smallest digest meets each other one.
- 2. Under keys whose members still lie in more than one component, members of different components
-    meet in tiles of bounded size, a crowded key in as many tiles as it needs. Members of one component
-    never meet: their links can't change the result.
+ 1. Under every band key the estimates join candidates to clumps; a task returns a spanning forest of a
+    key's members, never their pairs. Linked texts lie in one clump.
+ 2. Every member of a clump meets the others once, with its full set, which is inverted within the task.
+    What is connected already isn't looked at again; a task returns a spanning forest of the confirmed links.
+
+Crowded keys and clumps are dealt in parts of bounded number and size; every two parts meet in a tile.
 
 Two texts of similarity s share no band with probability (1 - s^5)^32: 7e-9 at 0.85, less above. The
 estimate rejects a pair of similarity 0.85 with a probability of about 2e-8. Nothing else is lost.
@@ -49,8 +51,9 @@ FIELDS = 64 // BITS
 WORDS = HASHES // FIELDS
 #: Six standard errors of the estimate at the limit, sqrt(p (1 - p) / HASHES) / (1 - 2^-BITS) with p the share of equal fields.
 LEAST = 0.65
-#: Members that meet in one tile of a crowded key.
+#: Members, and shingles of full sets, that a part of a crowded key or clump holds on average.
 TILE = 2048
+TILE_SHINGLES = 1 << 20
 CACHE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY = np.array([xxhash.xxh64_intdigest(b"multiply %d" % i) | 1 for i in range(HASHES)], dtype=np.uint64)[:, None]
@@ -154,133 +157,166 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
 
 
-def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and estimate allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            likely = estimates(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")))
-            keep = near_enough(likely, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    of = lambda side: nodes.select(F.col("digest").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a binary, b binary")
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the labels of a[i] and b[i] have become one for all i: the smaller one."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, each with where its groups begin and end; rows come sorted by the names."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        keys = [rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in names]
+        starts = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in keys])))
+        if len(starts) > 1:
+            yield rows.slice(0, int(starts[-1])), starts
+        # The last group may go on in the next batch.
+        held = rows.slice(int(starts[-1]))
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _in_tiles(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with `parts`, dealt to all pairs (lo, hi) of parts of their key that take in their own part."""
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("lo"), F.greatest("part", j).alias("hi")))
+    dealt = placed.withColumn("t", F.explode(pairs)).withColumns({"lo": F.col("t.lo"), "hi": F.col("t.hi")}).drop("t", "parts")
+    return dealt.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def _sides(rows: pa.Table, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of both parts of one tile; the same rows twice where a part meets itself."""
+    part = rows.column("part").to_numpy()[start:stop]
+    lo, hi = rows.column("lo")[start].as_py(), rows.column("hi")[start].as_py()
+    return start + np.flatnonzero(part == lo), start + np.flatnonzero(part == hi)
+
+
+def candidate_labels(sig: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels after all promising pairs of left[i] and right[j] have been joined; tiles are compared in strips."""
+    strip = max(1, (1 << 20) // (WORDS * max(1, len(right))))
+    for at in range(0, len(left), strip):
+        x, y = np.nonzero(label[left[at : at + strip]][:, None] != label[right][None, :])
+        if len(x):
+            x, y = left[at : at + strip][x], right[y]
+            keep = near_enough(estimates(sig[x], sig[y]), n[x], n[y])
+            label = _merged(label, x[keep], y[keep])
+    return label
 
 
-def _sets(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """digest and the full set, as bytes, of the rows named."""
-    plain = pick(docs, "doc_id", "text")
-    keyed = plain.select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), "text").join(rids, "rid", "left_semi").select("text")
+def _candidates(members: DataFrame) -> DataFrame:
+    """(a, b) per key a spanning forest of its promising pairs, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in batches:
-            found = [shingles(text.as_py(), hashes).tobytes() for text in batch.column(0)]
-            digests = [xxhash.xxh128_digest(one) for one in found]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(found, pa.binary())], ["digest", "members"])
-
-    return keyed.mapInArrow(run, "digest binary, members binary").dropDuplicates(["digest"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+        for rows, starts in _whole_groups(batches, ["key", "lo", "hi"]):
+            sig, n, label = _matrix(rows.column("sig")), rows.column("n").to_numpy(), np.arange(rows.num_rows)
+            # Groups of two are most of all: one comparison each, all at once.
+            two = starts[:-1][np.diff(starts) == 2]
+            close = two[near_enough(estimates(sig[two], sig[two + 1]), n[two], n[two + 1])]
+            label[close + 1] = close
+            for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if stop - start > 2:
+                    own = candidate_labels(sig[start:stop], n[start:stop], *(side - start for side in _sides(rows, start, stop)), np.arange(stop - start))
+                    label[start:stop] = start + own
+            other = np.flatnonzero(label != np.arange(len(label)))
+            digest = rows.column("digest").combine_chunks()
+            yield pa.RecordBatch.from_arrays([digest.take(pa.array(label[other])), digest.take(pa.array(other))], ["a", "b"])
+
+    return members.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def confirmed_forest(sets: list[np.ndarray], sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links, confirmed on full sets, that connect what all links between left[i] and right[j] connect.
+
+    The sets of the right side are inverted once; a set of the left side then counts its shared members
+    with all of them at a time, unless everything promising is connected with it already.
+    """
+    n = np.array([len(one) for one in sets])
+    # A part may have no members.
+    held = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in right.tolist()]])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], np.repeat(np.arange(len(right)), n[right])[order]
+    label, found_x, found_y = np.arange(len(sets)), [], []
+    for x in left.tolist():
+        apart = np.flatnonzero(label[right] != label[x])
+        apart = apart[near_enough(estimates(sig[x], sig[right[apart]]), n[x], n[right[apart]])]
+        if not len(apart):
+            continue
+        first, stop = np.searchsorted(held, sets[x], "left"), np.searchsorted(held, sets[x], "right")
+        sizes = stop - first
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        shared = np.bincount(owner[at], minlength=len(right))[apart]
+        linked = right[apart[100 * shared >= SIMILARITY * (n[x] + n[right[apart]] - shared)]]
+        _, once = np.unique(label[linked], return_index=True)
+        linked = linked[once]
+        found_x += [x] * len(linked)
+        found_y += linked.tolist()
+        label = _merged(label, np.full(len(linked), x), linked)
+    return np.array(found_x, dtype=np.int64), np.array(found_y, dtype=np.int64)
+
+
+def _with_sets(docs: DataFrame, clumped: DataFrame) -> DataFrame:
+    """Rows of clumped (rid, digest, sig, clump, parts) with their full sets, as bytes."""
+    keyed = pick(docs, "doc_id", "text").select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= SIMILARITY * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = [shingles(text.as_py(), hashes).tobytes() for text in batch.column("text")]
+            # Row keys have 64 bits: a text of another set with the same one isn't meant.
+            same = [xxhash.xxh128_digest(one) == digest for one, digest in zip(found, batch.column("digest").to_pylist(), strict=True)]
+            kept = [batch.column(c) for c in ("clump", "parts", "digest", "sig")]
+            whole = pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], ["clump", "parts", "digest", "sig", "members"])
+            yield whole.filter(pa.array(same, pa.bool_()))
 
-    of = lambda side: sets.select(F.col("digest").alias(side), F.col("members").alias(f"members_{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a binary, b binary")
+    return keyed.join(clumped.select("rid", "digest", "sig", "clump", "parts"), "rid").mapInArrow(run, "clump binary, parts int, digest binary, sig binary, members binary")
 
 
-def tile_pairs(sig: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Promising pairs of members (left[i], right[j]) with different labels; the tiles are compared in strips."""
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    strip = max(1, (1 << 20) // (WORDS * max(1, len(right))))
-    for at in range(0, len(left), strip):
-        a = left[at : at + strip]
-        x, y = np.nonzero(label[a][:, None] != label[right][None, :])
-        if len(x):
-            x, y = a[x], right[y]
-            keep = near_enough(estimates(sig[x], sig[y]), n[x], n[y])
-            found_a.append(x[keep])
-            found_b.append(y[keep])
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, tile: int) -> DataFrame:
-    """Promising pairs (a, b) under keys with members of several components, which the stars didn't compare."""
-    labelled = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    labelled = cut(labelled.select("key", "head", "size", "digest", F.coalesce("root", "digest").alias("label")))
-    # Two members under a key have met in its star.
-    split = labelled.filter("size > 2").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    open_rows = labelled.join(split.select("key"), "key", "left_semi").join(nodes.select("digest", "n", "sig"), "digest")
-    parts = F.ceil(F.col("size") / F.lit(tile)).cast("int")
-    placed = open_rows.withColumn("part", F.pmod(F.xxhash64("digest"), parts).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least("part", j).alias("lo"), F.greatest("part", j).alias("hi")))
-    dealt = placed.select("key", "head", "digest", "label", "n", "sig", "part", F.explode(others).alias("t"))
-    dealt = dealt.select("key", "t.lo", "t.hi", "part", "head", "digest", "label", "n", "sig")
+def _confirmed(tiles: DataFrame) -> DataFrame:
+    """(a, b) confirmed links of every tile of every clump, a spanning forest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def meet(rows: pa.Table) -> pa.RecordBatch:
-            digest = rows.column("digest").combine_chunks()
-            label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-            part, lo, hi = rows.column("part").to_numpy(), rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-            # The head has met everyone under its key.
-            plain = digest.to_numpy(zero_copy_only=False) != rows.column("head")[0].as_py()
-            left, right = np.flatnonzero(plain & (part == lo)), np.flatnonzero(plain & (part == hi))
-            a, b = tile_pairs(_matrix(rows.column("sig")), rows.column("n").to_numpy(), label, left, right)
-            if lo == hi:
-                a, b = a[a < b], b[a < b]
-            return pa.RecordBatch.from_arrays([digest.take(pa.array(a)), digest.take(pa.array(b))], ["a", "b"])
-
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            names = [rows.column(c).to_numpy() for c in ("key", "lo", "hi")]
-            starts = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in names])))
+        for rows, starts in _whole_groups(batches, ["clump", "lo", "hi"]):
+            digest, members = rows.column("digest").combine_chunks(), rows.column("members").combine_chunks()
+            sig = _matrix(rows.column("sig"))
+            found_a, found_b = [], []
             for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                yield meet(rows.slice(start, stop - start))
-            # The last tile may go on in the next batch.
-            held = rows.slice(int(starts[-1]))
-        if held is not None:
-            yield meet(held)
+                sets = [np.frombuffer(members[i].as_buffer(), np.uint64) for i in range(start, stop)]
+                a, b = confirmed_forest(sets, sig[start:stop], *(side - start for side in _sides(rows, start, stop)))
+                found_a.append(a + start)
+                found_b.append(b + start)
+            yield pa.RecordBatch.from_arrays([digest.take(pa.array(np.concatenate(side))) for side in (found_a, found_b)], ["a", "b"])
 
-    arranged = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = arranged.mapInArrow(run, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return tiles.mapInArrow(run, "a binary, b binary")
 
 
-def links(docs: DataFrame, printed: DataFrame, tile: int = TILE) -> DataFrame:
+def links(docs: DataFrame, printed: DataFrame, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """(a, b) confirmed links between digests of sets; they connect whatever all links connect."""
     nodes = cut(printed.filter("digest IS NOT NULL").select("digest", "rid", "n", "sig", "bands").dropDuplicates(["digest"]))
     dealt = nodes.select("digest", F.explode("bands").alias("key"))
-    keys = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("digest").alias("head")).filter("size > 1")
-    members = cut(dealt.join(keys, "key"))
-    star = cut(_promising(members.filter("digest != head").select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct(), nodes))
-
-    def full(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "digest")
-        return cut(_sets(docs, nodes.join(wanted, "digest", "left_semi").select("rid")))
-
-    first = cut(_confirmed(star, full(star)))
-    across = cut(_across(members, components(first), nodes, tile))
-    return first if across.isEmpty() else first.union(cut(_confirmed(across, full(across))))
+    keys = dealt.groupBy("key").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("parts"), F.count("*").alias("size")).filter("size > 1")
+    members = dealt.join(keys.select("key", "parts"), "key").join(nodes.select("digest", "n", "sig"), "digest")
+    clumps = cut(components(_candidates(_in_tiles(members, "key"))).select(F.col("node").alias("digest"), F.col("root").alias("clump")))
+    named = clumps.join(nodes.select("digest", "rid", "n", "sig"), "digest")
+    sizes = named.groupBy("clump").agg(F.ceil(F.greatest(F.count("*") / F.lit(tile), F.sum("n") / F.lit(tile_shingles))).cast("int").alias("parts"))
+    return cut(_confirmed(_in_tiles(_with_sets(docs, cut(named.join(sizes, "clump"))), "clump")))
 
 
-def classes(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def classes(docs: DataFrame, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component) and kept (its own smallest) of every row."""
     printed = cut(prints(docs))
-    roots = components(links(docs, printed, tile)).withColumnRenamed("node", "digest")
+    roots = components(links(docs, printed, tile, tile_shingles)).withColumnRenamed("node", "digest")
     # Smallest ids are combined per set before the roots are looked up.
     first = printed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     rooted = cut(first.join(roots, "digest", "left").select("digest", "first_id", F.coalesce("root", "digest").alias("root")))
