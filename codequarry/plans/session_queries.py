@@ -349,14 +349,18 @@ SELECT task, count(*) AS count, round_even(count(*) FILTER (cache_hit) / count(*
   round_even(median(output_tokens), 2) AS median_output_tokens,
   coalesce(round_even(median(CASE WHEN NOT cache_hit AND duration_ms > 0 THEN output_tokens / (duration_ms / 1000) END), 2), 0) AS median_tokens_per_second FROM last GROUP BY 1""")
 def generation_metrics(spark, sf):
+    recent = metrics.rolling(generation_samples(load(spark, sf, "events")), ["task"], [F.col("ts").desc(), F.col("event_id").desc()])
+    return metrics.generation_metrics(recent, ["task"])
+
+
+def generation_samples(events):
+    """events as samples of generations; the same for a table and a stream."""
     k = k_of(F.col("props"))
-    samples = load(spark, sf, "events").select(
+    return events.select(
         F.col("event_type").alias("task"), "ts", "event_id", F.col("value").alias("queue_ms"), (F.col("value") * 2).alias("ttft_ms"),
         F.when(F.col("user_id") % 10 == 0, 0.0).otherwise(F.col("value") * 10).alias("duration_ms"),
         k.alias("output_tokens"), (k * 7).alias("context_tokens"), (k % 4 == 0).alias("cache_hit"),
     )
-    recent = metrics.rolling(samples, ["task"], [F.col("ts").desc(), F.col("event_id").desc()])
-    return metrics.generation_metrics(recent, ["task"])
 
 
 @query("index_metrics", f"""WITH g AS (SELECT user_id % 5 AS host, ts, event_id, value AS duration_ms, {SQL_K} AS files, ({SQL_K} % 6 = 0)::INT AS failed FROM events),
