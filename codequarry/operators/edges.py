@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
-from codequarry.operators.lookup import containing
+from codequarry.operators.lookup import containing, containing_in
 from codequarry.operators.topk import top_k
 from codequarry.session import cut
 
@@ -43,9 +43,11 @@ def trace(requests: DataFrame, calls: DataFrame, symbols: DataFrame, direction:
     return top_k(found, ["request_id"], order, limit).drop("_anchor")
 
 
-def search_symbols(requests: DataFrame, symbols: DataFrame, limit: int) -> DataFrame:
+def search_symbols(requests: DataFrame, symbols: DataFrame, limit: int, grams: DataFrame | None = None) -> DataFrame:
     """requests(request_id, project_id, needle, current_file): exact, then prefix, then substring matches.
 
+    grams(gram, word) are the stored grams of the folded names; without them the names' are exploded.
+
     Needles meet the distinct names, not the symbols; each name then offers its first rows of the
     project and its first rows in the current file, which together hold all the ranking can pick.
     """
@@ -53,7 +55,11 @@ def search_symbols(requests: DataFrame, symbols: DataFrame, limit: int) -> DataF
         "needle <> ''"
     )
     named = symbols.withColumn("low", tx.ascii_lower(F.col("name")))
-    pairs = containing(asked.select("needle").distinct(), named.select("low").distinct(), "needle", "low")
+    needles = asked.select("needle").distinct()
+    if grams is None:
+        pairs = containing(needles, named.select("low").distinct(), "needle", "low")
+    else:
+        pairs = containing_in(cut(needles), grams.withColumnRenamed("word", "low"), "needle", "low")
     rating = F.when(F.col("low") == F.col("needle"), 0).when(F.startswith("low", "needle"), 1).otherwise(2)
     rated = cut(pairs.withColumn("_class", rating))
     by_id = [F.col("symbol_id")]

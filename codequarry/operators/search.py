@@ -1,4 +1,4 @@
-"""Full-text search over chunks: BM25 over phrases, and the literal fallback.
+"""Full-text search over chunks or their stored index: BM25 over phrases, and the literal fallback.
 
 Chunks need chunk_id, project_id, content, path, start_line; requests need project_id. Statistics
 cover every chunk given, candidates and cuts only the request's own project. For statistics of one
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
-from codequarry.operators.lookup import containing
+from codequarry.operators.lookup import containing, containing_in
+from codequarry.operators.text_index import TextIndex
 from codequarry.operators.topk import top_k
 from codequarry.session import cut
 
@@ -19,6 +20,8 @@ from codequarry.session import cut
 K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
+# Sums of doubles in another order differ by less than this.
+SCORE_SLACK = 1e-8
 # Fixed value: the score literal hits carry.
 LITERAL_SCORE = 1000.0
 
@@ -72,26 +75,82 @@ def bm25_search(requests: DataFrame, chunks: DataFrame, limit: int, text: str =
     phrases = cut(request_phrases(requests, text))
     counts = cut(phrase_counts(chunks, phrases))
     stats = counts.filter("phrase = ''").agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    return _ranked(phrases, counts.filter("phrase <> ''"), stats, limit)
+
+
+def indexed_search(requests: DataFrame, index: TextIndex, limit: int, text: str = "question") -> DataFrame:
+    """The same answer from the stored index: only the postings of the asked terms are read."""
+    phrases = cut(request_phrases(requests, text))
+    stats = index.stats.agg(F.sum("chunks").cast("double").alias("n"), (F.sum("tokens") / F.sum("chunks")).alias("avgdl"))
+    return _ranked(phrases, cut(indexed_counts(index, phrases)), stats, limit)
+
+
+def indexed_counts(index: TextIndex, phrases: DataFrame) -> DataFrame:
+    """(phrase, project_id, chunk_id, dl, tf) of the distinct phrases asked. Words of longer ones meet by their positions."""
+    wanted = cut(phrases.select("phrase", "parts").distinct())
+    columns = ["phrase", "project_id", "chunk_id", "dl", "tf"]
+    ones = index.postings.join(wanted.filter(F.size("parts") == 1).select("phrase", F.col("phrase").alias("term")), "term").select(*columns)
+    longer = wanted.filter(F.size("parts") > 1)
+    if longer.isEmpty():
+        return ones
+    words = longer.select("phrase", F.size("parts").alias("words"), F.posexplode("parts").alias("offset", "term"))
+    placed = index.postings.join(words, "term").select(
+        "phrase", "words", "project_id", "chunk_id", "dl", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start")
+    )
+    starts = placed.groupBy("phrase", "words", "project_id", "chunk_id", "dl", "start").agg(F.count("*").alias("hits"))
+    many = starts.filter("hits = words").groupBy("phrase", "project_id", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    return ones.unionByName(many.select(*columns))
+
+
+def _ranked(phrases: DataFrame, matched: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
+    """The best chunks of every request, given what its phrases match and one row of corpus statistics.
+
+    A phrase in half of all chunks or more has the floor idf. Its matches are most of all, and each adds
+    less than its worth times K1 + 1. So the other phrases are summed first, and only chunks that could
+    still reach the request's last place are looked up in the common phrases' matches. A request whose
+    other phrases leave places free takes all of them.
+    """
     total, mean_length = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    matched = counts.filter("phrase <> ''")
     spread = matched.groupBy("phrase").agg(F.count("*").alias("df"))
     raw_idf = F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw_idf <= 0, F.lit(IDF_FLOOR)).otherwise(raw_idf)
     # Weight and idf meet on the small side, before the join multiplies the rows.
     asked = cut(
         phrases.select("request_id", "project_id", "phrase", "weight").join(spread, "phrase").select(
-            "request_id", "project_id", "phrase", (F.col("weight") * idf).alias("worth")
+            "request_id", "project_id", "phrase", (F.col("weight") * idf).alias("worth"), (raw_idf <= 0).alias("common")
         )
     )
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
     weighed = matched.select("phrase", "project_id", "chunk_id", saturation.alias("part"))
-    scores = weighed.join(asked, ["project_id", "phrase"]).groupBy("request_id", "chunk_id").agg(
-        F.round(F.sum(F.col("worth") * F.col("part")), 9).alias("_score")
-    )
-    best = top_k(scores, ["request_id"], [F.col("_score").desc(), F.col("chunk_id")], limit)
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("request_id", "chunk_id").agg(F.sum(F.col("worth") * F.col("part")).alias("_sum"))
+
+    common = asked.filter("common")
+    scores = summed(weighed.join(asked.filter("NOT common"), ["project_id", "phrase"]))
+    if not common.isEmpty():
+        rare = cut(scores)
+        last = top_k(rare, ["request_id"], [F.col("_sum").desc()], limit, "_n").filter(F.col("_n") == limit).select("request_id", F.col("_sum").alias("_edge"))
+        most = common.groupBy("request_id").agg((F.sum("worth") * (K1 + 1)).alias("_most"))
+        edges = cut(last.join(most, "request_id", "left").select("request_id", (F.col("_edge") - F.coalesce("_most", F.lit(0.0)) - SCORE_SLACK).alias("_edge")))
+        alive = cut(rare.join(edges, "request_id", "left").filter(F.col("_edge").isNull() | (F.col("_sum") >= F.col("_edge"))).drop("_edge"))
+        closed = common.join(edges.select("request_id"), "request_id", "left_semi").join(alive.select("request_id", "chunk_id"), "request_id")
+        inside = summed(weighed.join(closed, ["project_id", "phrase", "chunk_id"]))
+        anywhere = summed(weighed.join(common.join(edges.select("request_id"), "request_id", "left_anti"), ["project_id", "phrase"]))
+        scores = alive.unionByName(inside).unionByName(anywhere).groupBy("request_id", "chunk_id").agg(F.sum("_sum").alias("_sum"))
+    rounded = scores.select("request_id", "chunk_id", F.round("_sum", 9).alias("_score"))
+    best = top_k(rounded, ["request_id"], [F.col("_score").desc(), F.col("chunk_id")], limit)
     return best.select("request_id", "chunk_id", (-F.col("_score")).alias("bm25_score"), "rank")
 
 
+def _literals(requests: DataFrame, text: str) -> DataFrame:
+    return cut(
+        requests.select("request_id", "project_id", F.explode(tx.literal_terms(F.col(text))).alias("literal")).select(
+            "request_id", "project_id", tx.ascii_lower(F.col("literal")).alias("literal")
+        ).distinct()
+    )
+
+
 def literal_search(requests: DataFrame, chunks: DataFrame, limit: int, text: str = "question") -> DataFrame:
     """First `limit` chunks by (path, start_line) containing any literal of the request.
 
@@ -99,27 +158,42 @@ def literal_search(requests: DataFrame, chunks: DataFrame, limit: int, text: str
     characters. It is therefore matched against the distinct runs of the asked projects, and only
     the first `limit` chunks of a project's run can matter to the answer.
     """
-    literals = cut(
-        requests.select("request_id", "project_id", F.explode(tx.literal_terms(F.col(text))).alias("literal")).select(
-            "request_id", "project_id", tx.ascii_lower(F.col("literal")).alias("literal")
-        ).distinct()
-    )
+    literals = _literals(requests, text)
     runs = F.array_distinct(F.regexp_extract_all(tx.ascii_lower(F.col("content")), F.lit(tx.WORD_RUN), 0))
     wanted = literals.select("project_id").distinct()
     flat = chunks.join(wanted, "project_id", "left_semi").select("project_id", "chunk_id", "path", "start_line", F.explode(runs).alias("run"))
-    place = [F.col("path"), F.col("start_line")]
-    heads = cut(top_k(flat, ["project_id", "run"], place, limit, "_n").drop("_n"))
+    heads = cut(_run_heads(flat, limit))
     pairs = cut(containing(literals.select("literal").distinct(), heads.select("run").distinct(), "literal", "run"))
+    return _literal_hits(literals, pairs, heads, limit)
+
+
+def indexed_literals(requests: DataFrame, index: TextIndex, limit: int, text: str = "question") -> DataFrame:
+    """The same answer from the stored runs and grams."""
+    literals = _literals(requests, text)
+    pairs = cut(containing_in(cut(literals.select("literal").distinct()), index.grams.withColumnRenamed("word", "run"), "literal", "run"))
+    # Runs come first, then projects: a table of few rows each time.
+    held = index.runs.join(cut(pairs.select("run").distinct()), "run", "left_semi").join(literals.select("project_id").distinct(), "project_id", "left_semi")
+    return _literal_hits(literals, pairs, cut(_run_heads(held, limit)), limit)
+
+
+def _run_heads(runs: DataFrame, limit: int) -> DataFrame:
+    held = runs.select("project_id", "chunk_id", "path", "start_line", "run")
+    return top_k(held, ["project_id", "run"], [F.col("path"), F.col("start_line")], limit, "_n").drop("_n")
+
+
+def _literal_hits(literals: DataFrame, pairs: DataFrame, heads: DataFrame, limit: int) -> DataFrame:
+    place = [F.col("path"), F.col("start_line")]
     hits = pairs.join(heads, "run").select("project_id", "literal", "chunk_id", "path", "start_line").distinct()
     per_literal = top_k(hits, ["project_id", "literal"], place, limit, "_n").drop("_n")
     found = literals.join(per_literal, ["project_id", "literal"]).select("request_id", "chunk_id", "path", "start_line").distinct()
     return top_k(found, ["request_id"], place, limit).select("request_id", "chunk_id", "rank")
 
 
-def search_text(requests: DataFrame, chunks: DataFrame, limit: int, text: str = "question") -> DataFrame:
-    """BM25 hits, filled up with literal hits not among them: chunk_id, bm25_score, rank."""
-    ranked = bm25_search(requests, chunks, limit, text).withColumn("_fallback", F.lit(0))
-    literal = literal_search(requests, chunks, limit, text).join(
+def search_text(requests: DataFrame, chunks: DataFrame | TextIndex, limit: int, text: str = "question") -> DataFrame:
+    """BM25 hits, filled up with literal hits not among them: chunk_id, bm25_score, rank. Chunks, or their stored index."""
+    stored = isinstance(chunks, TextIndex)
+    ranked = (indexed_search if stored else bm25_search)(requests, chunks, limit, text).withColumn("_fallback", F.lit(0))
+    literal = (indexed_literals if stored else literal_search)(requests, chunks, limit, text).join(
         ranked.select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_anti"
     ).select(
         "request_id", "chunk_id", F.lit(LITERAL_SCORE).alias("bm25_score"), "rank", F.lit(1).alias("_fallback")

@@ -307,7 +307,7 @@ def snapshot_pair(spark, sf):
         "project_id", F.when(kind == 4, F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"),
         F.octet_length(edited).cast("long").alias("size"),
         F.when(kind.isin(2, 3), F.col("mtime_ns") - 1).otherwise(F.col("mtime_ns")).alias("mtime_ns"),
-        F.sha2(edited, 256).alias("source_hash"),
+        F.sha2(edited, 256).alias("source_hash"), edited.alias("content"),
     )
     return files, stored
 

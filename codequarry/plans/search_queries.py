@@ -8,6 +8,7 @@ from codequarry.functions import text as tx
 from codequarry.operators import chunks as ck
 from codequarry.operators import fusion, lookup, search
 from codequarry.plans import corpora as co
+from codequarry.plans import stored
 from codequarry.plans.registry import query
 
 
@@ -16,6 +17,16 @@ def chunk_rows(spark, sf):
     return rows.withColumn("chunk_id", F.col("file_id") * co.LINE_STRIDE + F.col("start_line"))
 
 
+def index(spark, sf):
+    """The stored index, built by the first query that asks for it."""
+    return stored.texts(spark, sf, lambda: chunk_rows(spark, sf))
+
+
+def chunk_places(spark, sf):
+    """Where chunks stand, without their text."""
+    return index(spark, sf).places
+
+
 SQL_CHUNKS = f"""{co.SQL_LINED},
 chunks AS (
   SELECT file_id * {co.LINE_STRIDE} + s + 1 AS chunk_id, project_id, file_id, path, language, source_hash,
@@ -52,7 +63,7 @@ def token_counts(spark, sf):
 @query("inverted_index", f"""WITH {SQL_CHUNKS}, {SQL_POSTINGS}
 SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS occurrences, max(tf) AS most FROM postings GROUP BY term""")
 def inverted_index(spark, sf):
-    return search.postings(chunk_rows(spark, sf)).groupBy("term").agg(
+    return index(spark, sf).postings.groupBy("term").agg(
         F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most")
     )
 
@@ -81,9 +92,8 @@ SELECT request_id, rank, path, start_line, end_line, round(bm25_score, 6) AS bm2
        round(1.0 / (1.0 + abs(bm25_score)), 6) AS score
 FROM ranked JOIN chunks USING (chunk_id)""")
 def text_search_bm25(spark, sf):
-    chunks = chunk_rows(spark, sf)
-    hits = search.bm25_search(co.requests(spark, sf), chunks, 20)
-    return hits.join(chunks.select("chunk_id", "path", "start_line", "end_line"), "chunk_id").select(
+    hits = search.indexed_search(co.requests(spark, sf), index(spark, sf), 20)
+    return hits.join(chunk_places(spark, sf), "chunk_id").select(
         "request_id", "rank", "path", "start_line", "end_line", F.round("bm25_score", 6).alias("bm25_score"),
         F.round(search.text_score(F.col("bm25_score")), 6).alias("score"),
     )
@@ -113,9 +123,8 @@ literal_hits AS (SELECT request_id, chunk_id, rank FROM (
 @query("literal_search", f"""WITH {SQL_CHUNKS}, {co.SQL_REQUESTS}, {sql_literal_top(20)}
 SELECT request_id, rank, path, start_line FROM literal_hits JOIN chunks USING (chunk_id)""")
 def literal_search(spark, sf):
-    chunks = chunk_rows(spark, sf)
-    hits = search.literal_search(co.requests(spark, sf), chunks, 20)
-    return hits.join(chunks.select("chunk_id", "path", "start_line"), "chunk_id").select(
+    hits = search.indexed_literals(co.requests(spark, sf), index(spark, sf), 20)
+    return hits.join(chunk_places(spark, sf), "chunk_id").select(
         "request_id", "rank", "path", "start_line"
     )
 
@@ -140,7 +149,7 @@ SELECT request_id, count(*) AS hits, count(*) FILTER (bm25_score = 1000.0) AS li
        round(min(bm25_score), 6) AS best, max(rank) AS last_rank, sum(rank * (chunk_id % 997))::BIGINT AS order_check
 FROM hits GROUP BY request_id""")
 def text_search_with_fallback(spark, sf):
-    hits = search.search_text(co.requests(spark, sf), chunk_rows(spark, sf), _FILL)
+    hits = search.search_text(co.requests(spark, sf), index(spark, sf), _FILL)
     return hits.groupBy("request_id").agg(
         F.count("*").alias("hits"), F.count_if(F.col("bm25_score") == 1000.0).alias("literal_only"),
         F.round(F.min("bm25_score"), 6).alias("best"), F.max("rank").alias("last_rank"),
@@ -211,7 +220,7 @@ retrieved AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
 SELECT request_id, rank, path, start_line, end_line, relation, coalesce(symbol, '') AS symbol,
        round(score, 6) AS score, round(rrf_score, 9) AS rrf_score, sources FROM retrieved WHERE rank <= 12""")
 def hybrid_retrieve(spark, sf):
-    rows = fusion.hybrid_retrieve(co.requests(spark, sf), *co.stored_outline(spark, sf), chunk_rows(spark, sf))
+    rows = fusion.hybrid_retrieve(co.requests(spark, sf), *co.stored_outline(spark, sf), chunk_places(spark, sf), index=index(spark, sf))
     return rows.select(
         "request_id", "rank", "path", "start_line", "end_line", "relation", F.coalesce("symbol", F.lit("")).alias("symbol"),
         F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), "sources",

@@ -11,7 +11,7 @@ from codequarry.plans import session_queries as sq
 from codequarry.plans.corpus_queries import snapshot_pair
 from codequarry.plans.registry import entries, query
 from codequarry.session import shared_dir
-from codequarry.sources.store import FactStore
+from codequarry.sources.store import FactStore, build_facts, refresh_facts
 from codequarry.streaming import runs, state
 
 
@@ -72,10 +72,11 @@ def stream_citation_filter(spark, sf):
     )
 
 
-@query("stored_facts_refresh", "SELECT source AS project_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, sha256(text) AS source_hash FROM documents")
+@query("stored_facts_refresh", "SELECT source AS project_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, sha256(text) AS source_hash, sha256(text) AS content_hash FROM documents")
 def stored_facts_refresh(spark, sf):
+    """An older store, texts and all, brought up to the listing."""
     files, stored = snapshot_pair(spark, sf)
     store = FactStore(spark, f"{shared_dir(spark).rstrip('/')}/codequarry-store-{uuid.uuid4().hex}", buckets=2)
-    store.create("files", stored)
-    runs.apply_listing(store, "files", files, F.sha2("content", 256))
-    return store.read("files").select("project_id", "path", "source_hash")
+    build_facts(store, stored, {})
+    refresh_facts(store, files, F.sha2("content", 256))
+    return store.read("files").select("project_id", "path", "source_hash", F.sha2("content", 256).alias("content_hash"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from codequarry.operators import refresh
 from codequarry.session import cut, shared_dir
-from codequarry.sources.store import FactStore
+from codequarry.sources.store import Derive, FactStore, apply_actions
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -38,30 +38,18 @@ def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigg
     return frame
 
 
-def apply_listing(store: FactStore, table: str, listing: DataFrame, hash_of: Column) -> DataFrame:
-    """Bring a stored file table up to a full listing; returns the action taken per path."""
-    actions = cut(refresh.plan_refresh(listing, store.read(table), hash_of).select(*refresh.KEYS, "size", "mtime_ns", "source_hash", "action"))
-    store.replace_files(table, _new_rows(store, table, listing, actions), actions.filter("action NOT IN ('reused', 'skipped')"))
-    return actions
+def refresh_from_feed(feed: DataFrame, store: FactStore, hash_of: Column, checkpoint: str, derive: dict[str, Derive] | None = None):
+    """Apply a stream of changed files batch by batch. A batch redone after a failure changes nothing.
 
-
-def _new_rows(store: FactStore, table: str, listing: DataFrame, actions: DataFrame) -> DataFrame:
-    """What the table stores of the paths that came or changed: texts meet their keys only here."""
-    changed = actions.filter(F.col("action").isin("added", "updated", "confirmed")).select(*refresh.KEYS, "source_hash")
-    named = listing.drop("source_hash").join(changed, refresh.KEYS)
-    return named.select(*store.read(table).columns)
-
-
-def refresh_from_feed(feed: DataFrame, store: FactStore, table: str, hash_of: Column, checkpoint: str):
-    """Apply a stream of changed files batch by batch. A batch redone after a failure changes nothing."""
+    A feed only brings files: one that is now too large or binary leaves the store.
+    """
 
     def one_batch(batch: DataFrame, _number: int) -> None:
         latest = cut(batch.groupBy(*refresh.KEYS).agg(
             F.max_by(F.struct(*[c for c in batch.columns if c not in refresh.KEYS]), "mtime_ns").alias("r")
         ).select(*refresh.KEYS, "r.*"))
-        known = store.read(table).join(latest.select(*refresh.KEYS), refresh.KEYS, "left_semi")
-        actions = cut(refresh.plan_refresh(latest, known, hash_of).select(*refresh.KEYS, "size", "mtime_ns", "source_hash", "action"))
-        # A feed only brings files: one that is now too large or binary leaves the table.
-        store.replace_files(table, _new_rows(store, table, latest, actions), actions.filter("action NOT IN ('reused', 'skipped')"))
+        known = store.read("files").join(latest.select(*refresh.KEYS), refresh.KEYS, "left_semi")
+        actions = refresh.plan_refresh(latest, known, hash_of).select(*refresh.KEYS, "size", "mtime_ns", "source_hash", "action")
+        apply_actions(store, latest, cut(actions), derive or {})
 
     return feed.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from codequarry.operators import evidence as ev
 from codequarry.operators import graph, intervals, packing, sessions
 from codequarry.sources import code_tree
 from codequarry.sources.event_log import parse
-from codequarry.sources.store import FactStore
+from codequarry.sources.store import FactStore, refresh_facts
 from codequarry.streaming import runs, state
 
 ITEM = "request_id long, ord int, path string, start_line int, end_line int, content string, relation string, symbol string, score double"
@@ -159,10 +159,10 @@ def test_store_follows_a_feed(spark, tmp_path):
     edited = [("p", "f1.py", 4, 2, "new!"), ("p", "f2.py", 4, 2, "v002"), ("p", "g.py", 3, 2, "add")]
     spark.createDataFrame(edited, columns).coalesce(1).write.parquet(str(tmp_path / "feed"))
     feed = spark.readStream.schema(columns).parquet(str(tmp_path / "feed"))
-    runs.refresh_from_feed(feed, store, "files", F.sha2("content", 256), str(tmp_path / "cp")).awaitTermination()
+    runs.refresh_from_feed(feed, store, F.sha2("content", 256), str(tmp_path / "cp")).awaitTermination()
     now = {r.path: r.content for r in store.read("files").collect()}
     assert len(now) == 13 and now["f1.py"] == "new!" and now["g.py"] == "add" and now["f3.py"] == "v003"
     listing = spark.createDataFrame([("p", "g.py", 3, 2, "add")], columns)
-    actions = {r.path: r.action for r in runs.apply_listing(store, "files", listing, F.sha2("content", 256)).collect()}
+    actions = {r.path: r.action for r in refresh_facts(store, listing, F.sha2("content", 256)).collect()}
     assert actions.pop("g.py") == "reused" and set(actions.values()) == {"removed"}
     assert [r.path for r in store.read("files").collect()] == ["g.py"]
