@@ -22,6 +22,8 @@ B = 0.75
 IDF_FLOOR = 1e-6
 # Sums of doubles in another order differ by less than this.
 SCORE_SLACK = 1e-8
+# So many times the chunks that are wanted are asked before the rest of a project.
+FRONT = 3
 # Fixed value: the score literal hits carry.
 LITERAL_SCORE = 1000.0
 
@@ -168,12 +170,26 @@ def literal_search(requests: DataFrame, chunks: DataFrame, limit: int, text: str
 
 
 def indexed_literals(requests: DataFrame, index: TextIndex, limit: int, text: str = "question") -> DataFrame:
-    """The same answer from the stored runs and grams."""
+    """The same answer from the stored places, runs and grams.
+
+    A literal of a few letters lies in most runs and finds its first chunks at once, among the first ones
+    of the project. So these are asked first; only literals that they don't fill meet all runs, through the
+    stored grams.
+    """
     literals = _literals(requests, text)
-    pairs = cut(containing_in(cut(literals.select("literal").distinct()), index.grams.withColumnRenamed("word", "run"), "literal", "run"))
-    # Runs come first, then projects: a table of few rows each time.
-    held = index.runs.join(cut(pairs.select("run").distinct()), "run", "left_semi").join(literals.select("project_id").distinct(), "project_id", "left_semi")
-    return _literal_hits(literals, pairs, cut(_run_heads(held, limit)), limit)
+    place = [F.col("path"), F.col("start_line")]
+    keys = cut(literals.select("project_id", "literal").distinct())
+    asked = index.places.join(keys.select("project_id").distinct(), "project_id", "left_semi")
+    front = cut(top_k(asked, ["project_id"], place, FRONT * limit, "_n").select("project_id", "path", "chunk_id"))
+    near = cut(index.runs.join(front, ["project_id", "path", "chunk_id"], "left_semi").select("project_id", "chunk_id", "path", "start_line", "run"))
+    first = containing(keys.select("literal").distinct(), near.select("run").distinct(), "literal", "run").join(near, "run").join(keys, ["project_id", "literal"])
+    found = cut(top_k(first.select("project_id", "literal", "chunk_id", "path", "start_line").distinct(), ["project_id", "literal"], place, limit, "_n"))
+    unfilled = cut(keys.join(found.filter(F.col("_n") == limit), ["project_id", "literal"], "left_anti"))
+    pairs = cut(containing_in(unfilled.select("literal").distinct(), index.grams.withColumnRenamed("word", "run"), "literal", "run"))
+    held = index.runs.join(pairs.select("run").distinct(), "run", "left_semi").join(unfilled.select("project_id").distinct(), "project_id", "left_semi")
+    rest = pairs.join(_run_heads(held, limit), "run").join(unfilled, ["project_id", "literal"])
+    hits = found.drop("_n").unionByName(rest.select("project_id", "literal", "chunk_id", "path", "start_line")).distinct()
+    return _first_chunks(literals, hits, limit)
 
 
 def _run_heads(runs: DataFrame, limit: int) -> DataFrame:
@@ -182,8 +198,12 @@ def _run_heads(runs: DataFrame, limit: int) -> DataFrame:
 
 
 def _literal_hits(literals: DataFrame, pairs: DataFrame, heads: DataFrame, limit: int) -> DataFrame:
+    return _first_chunks(literals, pairs.join(heads, "run").select("project_id", "literal", "chunk_id", "path", "start_line").distinct(), limit)
+
+
+def _first_chunks(literals: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
+    """The first chunks of every request, given at least the first ones of each of its literals."""
     place = [F.col("path"), F.col("start_line")]
-    hits = pairs.join(heads, "run").select("project_id", "literal", "chunk_id", "path", "start_line").distinct()
     per_literal = top_k(hits, ["project_id", "literal"], place, limit, "_n").drop("_n")
     found = literals.join(per_literal, ["project_id", "literal"]).select("request_id", "chunk_id", "path", "start_line").distinct()
     return top_k(found, ["request_id"], place, limit).select("request_id", "chunk_id", "rank")

@@ -22,11 +22,6 @@ def index(spark, sf):
     return stored.texts(spark, sf, lambda: chunk_rows(spark, sf))
 
 
-def chunk_places(spark, sf):
-    """Where chunks stand, without their text."""
-    return index(spark, sf).places
-
-
 SQL_CHUNKS = f"""{co.SQL_LINED},
 chunks AS (
   SELECT file_id * {co.LINE_STRIDE} + s + 1 AS chunk_id, project_id, file_id, path, language, source_hash,
@@ -92,8 +87,9 @@ SELECT request_id, rank, path, start_line, end_line, round(bm25_score, 6) AS bm2
        round(1.0 / (1.0 + abs(bm25_score)), 6) AS score
 FROM ranked JOIN chunks USING (chunk_id)""")
 def text_search_bm25(spark, sf):
-    hits = search.indexed_search(co.requests(spark, sf), index(spark, sf), 20)
-    return hits.join(chunk_places(spark, sf), "chunk_id").select(
+    stored_index = index(spark, sf)
+    hits = search.indexed_search(co.requests(spark, sf), stored_index, 20)
+    return hits.join(stored_index.places, "chunk_id").select(
         "request_id", "rank", "path", "start_line", "end_line", F.round("bm25_score", 6).alias("bm25_score"),
         F.round(search.text_score(F.col("bm25_score")), 6).alias("score"),
     )
@@ -123,8 +119,9 @@ literal_hits AS (SELECT request_id, chunk_id, rank FROM (
 @query("literal_search", f"""WITH {SQL_CHUNKS}, {co.SQL_REQUESTS}, {sql_literal_top(20)}
 SELECT request_id, rank, path, start_line FROM literal_hits JOIN chunks USING (chunk_id)""")
 def literal_search(spark, sf):
-    hits = search.indexed_literals(co.requests(spark, sf), index(spark, sf), 20)
-    return hits.join(chunk_places(spark, sf), "chunk_id").select(
+    stored_index = index(spark, sf)
+    hits = search.indexed_literals(co.requests(spark, sf), stored_index, 20)
+    return hits.join(stored_index.places, "chunk_id").select(
         "request_id", "rank", "path", "start_line"
     )
 
@@ -220,7 +217,8 @@ retrieved AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY
 SELECT request_id, rank, path, start_line, end_line, relation, coalesce(symbol, '') AS symbol,
        round(score, 6) AS score, round(rrf_score, 9) AS rrf_score, sources FROM retrieved WHERE rank <= 12""")
 def hybrid_retrieve(spark, sf):
-    rows = fusion.hybrid_retrieve(co.requests(spark, sf), *co.stored_outline(spark, sf), chunk_places(spark, sf), index=index(spark, sf))
+    stored_index = index(spark, sf)
+    rows = fusion.hybrid_retrieve(co.requests(spark, sf), *co.stored_outline(spark, sf), stored_index.places, index=stored_index)
     return rows.select(
         "request_id", "rank", "path", "start_line", "end_line", "relation", F.coalesce("symbol", F.lit("")).alias("symbol"),
         F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), "sources",

@@ -23,6 +23,18 @@ BUCKET_BYTES = 32 << 20
 MAX_BUCKETS = 4096
 
 
+#: Tables that this session has opened, by session and place: opening lists their files and reads a footer each.
+_OPENED: dict[tuple[str, str], object] = {}
+
+
+def _opened(spark: SparkSession, sf: str, kind: str, build: Callable[[FactStore], None], open_tables: Callable[[FactStore], object]) -> object:
+    store = _store(spark, sf, kind, build)
+    key = (spark.sparkContext.applicationId, store.location(""))
+    if key not in _OPENED:
+        _OPENED[key] = open_tables(store)
+    return _OPENED[key]
+
+
 def _store(spark: SparkSession, sf: str, kind: str, build: Callable[[FactStore], None]) -> FactStore:
     base = sf.rstrip("/")
     seen = spark.read.parquet(f"{base}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
@@ -39,7 +51,7 @@ def _store(spark: SparkSession, sf: str, kind: str, build: Callable[[FactStore],
 
 def texts(spark: SparkSession, sf: str, chunks: Callable[[], DataFrame]) -> TextIndex:
     """The text index of the documents' chunks."""
-    return text_index.opened(_store(spark, sf, "texts", lambda store: text_index.build(store, chunks())))
+    return _opened(spark, sf, "texts", lambda store: text_index.build(store, chunks()), text_index.opened)
 
 
 def names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -50,5 +62,4 @@ def names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         store.extend("name_grams", text_index.grams_of(store.read("symbols").select(co.tx.ascii_lower(F.col("name")).alias("word")).distinct()))
         store.publish()
 
-    store = _store(spark, sf, "names", build)
-    return store.read("symbols"), store.whole("name_grams").filter("gram <> ''")
+    return _opened(spark, sf, "names", build, lambda store: (store.read("symbols"), store.whole("name_grams").filter("gram <> ''")))
