@@ -50,23 +50,16 @@ def pieces(text: str) -> list[str]:
     return _PIECE.findall(text)
 
 
-class _Hashes(dict):
-    """Hashes of pieces without the white space around them, 0 for blank ones."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, in order."""
+    # Splitting bytes uses exactly the six white-space bytes of the word rule.
+    own = (text or "").encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own))
 
-    def __missing__(self, piece: str) -> int:
-        bare = piece.strip()
-        value = (xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass")) or 1) if bare else 0
-        if len(piece) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[piece] = value
-        return value
 
-    def words(self, text: str | None) -> np.ndarray:
-        """Hashes of a text's words, in order."""
-        own = pieces(text or "")
-        found = np.fromiter(map(self.__getitem__, own), dtype=np.uint64, count=len(own))
-        return found if found.all() else found[found != 0]
+def is_word(piece: str) -> bool:
+    """A piece begins with its word, if it has one."""
+    return piece[0] not in _BLANK
 
 
 @dataclass
@@ -165,13 +158,14 @@ def _blocks(plain: DataFrame, run_words: int, shards: int) -> DataFrame:
             return rows
 
         n = len(found.run)
-        order = np.argsort(found.run, kind="stable")
+        order = np.argsort(found.run)
         same = found.run[order[1:]] == found.run[order[:-1]]
         heads = np.flatnonzero(np.append(True, ~same)[:n])
-        source = np.repeat(order[heads], np.diff(np.append(heads, n)))
+        # Of equal runs the first is the source, in whatever order they came.
+        source = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, n))) if n else order
         later = source != order
         table = _found(rows_at(order[later]), rows_at(source[later]), run_words)
-        kept = np.sort(order[heads])
+        kept = np.sort(source[heads])
         shard_of = (found.fingerprint[kept] % np.uint64(shards)).astype(np.int64)
         text = found.text[kept]
         fresh = np.append(True, (kept[1:] != kept[:-1] + 1) | (shard_of[1:] != shard_of[:-1]) | (text[1:] != text[:-1]))[: len(kept)]
@@ -198,13 +192,13 @@ def _blocks(plain: DataFrame, run_words: int, shards: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(data, pa.binary())], ["shard", "done", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, size, hashes = {}, 0, _Hashes()
+        docs, size = {}, 0
         for batch in batches:
             for rid, doc_id, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if rid in docs:
                     continue
                 text = item.as_py()
-                docs[rid] = (doc_id is None, doc_id or 0, hashes.words(text))
+                docs[rid] = (doc_id is None, doc_id or 0, word_hashes(text))
                 size += len(text or "")
                 if size >= BLOCK_CHARS:
                     yield packed(docs)
@@ -282,14 +276,14 @@ def _cut_pieces(texts: pa.Array, gone: pa.Array) -> tuple[list, list, list]:
             gone_words.append(0)
             continue
         parts = pieces(whole or "")
-        words = [k for k, p in enumerate(parts) if p.strip()]
+        words = [k for k, p in enumerate(parts) if is_word(p)]
         flags = np.zeros(len(parts), dtype=bool)
         for interval in drop:
             flags[words[interval["start"]] : words[interval["stop"] - 1] + 1] = True
         kept = [p for p, flag in zip(parts, flags.tolist(), strict=True) if not flag]
-        out.append("".join(kept) if any(p.strip() for p in kept) else "")
+        out.append("".join(kept) if any(map(is_word, kept)) else "")
         n_gone.append(int(flags.sum()))
-        gone_words.append(sum(p[0] not in _BLANK for p, flag in zip(parts, flags.tolist(), strict=True) if flag))
+        gone_words.append(sum(is_word(p) for p, flag in zip(parts, flags.tolist(), strict=True) if flag))
     return out, n_gone, gone_words
 
 

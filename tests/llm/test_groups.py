@@ -18,7 +18,7 @@ from twins import compare
 from codequarry.llm import centroid_clustering, minhash, queries, spelling
 
 DOCS = "doc_id bigint, text string, TEXT string, word string, n bigint, digest string"
-EMPTY = [(None, None), (None, ""), (7001, None), (7002, ""), (7003, " \t\n\v\f\r "), (7004, " "), (7005, "ok")]
+EMPTY = [(None, None), (None, ""), (7001, None), (7002, ""), (7003, " \t\n\v\f\r "), (7004, "\u00a0"), (7005, "ok")]
 
 
 def frame(spark, rows):
@@ -291,3 +291,15 @@ def test_sql_of_the_clustering(spark, tmp_path):
     for name in "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split():
         pa.parquet.write_table(pa.table({"x": [1]}), tmp_path / f"{name}.parquet")
     assert compare(spark, queries.op13_centroid_clustering, sql, str(tmp_path)) == []
+
+
+def test_line_dedup_goes_by_ascii_white_space_alone(spark):
+    """U+00A0, U+0085 and U+2003 belong to words: 10 and 10 with one of them differ, and alone they are words."""
+    from codequarry.llm import line_dedup
+
+    plain = [f"w{i}" for i in range(40)]
+    odd = [w + "\u00a0" if i % 9 == 4 else w for i, w in enumerate(plain)]
+    spaced = [x for w in plain[:20] for x in (w, "\u00a0")]
+    rows = [(1, " ".join(plain)), (2, " ".join(odd)), (3, "\t\v".join(plain)), (4, " ".join(spaced)), (5, "\u0085 ".join(plain)), (6, "  ".join(spaced) + "\n")]
+    got = {row["doc_id"]: row["text"] for row in line_dedup.report(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "", 4: rows[3][1], 5: rows[4][1], 6: ""}
