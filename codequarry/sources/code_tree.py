@@ -39,8 +39,13 @@ def decode(data: bytes) -> str | None:
     return data.decode("utf-8", errors="replace")
 
 
-def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _listed(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of a listing; sizes and times stay whole numbers beside those of directories, which have none."""
     columns = ["project_id", "root", "path", "is_dir", "size", "mtime_ns", "problem"]
+    return pd.DataFrame(rows, columns=columns, dtype=object).astype({"size": "Int64", "mtime_ns": "Int64"})
+
+
+def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for project, root, path in zip(batch["project_id"], batch["root"], batch["path"]):
             rows = []
@@ -55,12 +60,12 @@ def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             stat = entry.stat()
                             rows.append((project, root, inner, False, stat.st_size, stat.st_mtime_ns, None))
                         if len(rows) >= 10_000:
-                            yield pd.DataFrame(rows, columns=columns)
+                            yield _listed(rows)
                             rows = []
             except OSError as exc:
                 rows.append((project, root, path, False, None, None, type(exc).__name__))
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield _listed(rows)
 
 
 def list_tree(spark: SparkSession, roots: DataFrame) -> DataFrame:
