@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +49,34 @@ def rendered() -> Column:
     )
 
 
+def _counted(counter: Callable[[str], int], available: int) -> Callable[[Column], Column]:
+    """Greedy choice with a tokenizer, whose counts don't add up: every candidate text is counted as a whole."""
+
+    @F.pandas_udf("kept array<int>, tokens int")
+    def choose(lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for blocks in lists:
+            text, kept = "", []
+            for i, block in enumerate(blocks):
+                candidate = f"{text}\n\n{block}" if kept else block
+                if counter(candidate) <= available:
+                    text = candidate
+                    kept.append(i)
+            rows.append((kept, min(available, max(0, counter(text)))))
+        return pd.DataFrame(rows, columns=["kept", "tokens"])
+
+    return choose
+
+
 def pack(
     evidence: DataFrame, window_tokens: int, output_reserve: int, system_reserve: int, history_reserve: int,
-    chars_per_token: int = 3,
+    chars_per_token: int = 3, counter: Callable[[str], int] | None = None,
 ) -> DataFrame:
     """Greedy packing per request: a block that no longer fits is left out and the next one is tried.
 
     That choice depends on all earlier ones, so it is a fold over the request's ordered array; the
-    state is one length and the kept places, not the text.
+    state is one length and the kept places, not the text. With a `counter`, which the tasks call, real
+    tokens count instead of the estimate by length.
     """
     requested = output_reserve + system_reserve + history_reserve
     reserved, available = min(window_tokens, requested), max(0, window_tokens - requested)
@@ -73,10 +96,15 @@ def pack(
             F.when(fits, F.concat(state["kept"], F.array(state["seen"]))).otherwise(state["kept"]).alias("kept"),
         )
 
-    folded = lists.withColumn("_state", F.aggregate("items", start, step))
+    if counter is None:
+        folded = lists.withColumn("_state", F.aggregate("items", start, step))
+        spent = F.greatest(F.lit(1), F.floor(F.col("_state.used") / chars_per_token)).cast("int")
+    else:
+        folded = lists.withColumn("_state", _counted(counter, available)(F.transform("items", lambda x: x["block"])))
+        spent = F.col("_state.tokens")
     kept = F.transform(F.col("_state.kept"), lambda i: F.get("items", i))
     omitted = F.size("items") - F.size("_state.kept")
-    tokens = F.least(F.lit(available), F.greatest(F.lit(1), F.floor(F.col("_state.used") / chars_per_token)).cast("int"))
+    tokens = F.least(F.lit(available), spent)
     exhausted = F.when(F.lit(requested >= window_tokens), F.lit("系统、历史与输出预留已耗尽上下文预算"))
     short = F.when(omitted > 0, F.concat(F.lit("受 token 预算限制，已省略 "), omitted, F.lit(" 条证据")))
     return folded.select(

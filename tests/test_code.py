@@ -165,3 +165,22 @@ def test_related_sources_reach_two_hops(spark):
     assert "class Service" in full and "第 1 层依赖" in full and "class User" in full and "上游调用方" in full
     short = project_map.related_sources(asked, rows, files, max_symbols=8, max_chars=150).first().sources
     assert len(short) <= 160 and "—— 定义于" in short
+
+
+def test_reexports_through_a_ladder_of_diamonds(spark):
+    """Each rung has two ways on, so there are 2^20 paths; every (module, name) is visited once."""
+    rungs = 20
+    bindings = []
+    for i in range(rungs):
+        for side in "ab":
+            bindings += [("p", f"m{i}", "", f"n{side}", f"{side}{i}", f"n{side}", False), ("p", f"m{i}", "", "n", f"{side}{i}", "n", False)]
+            bindings.append(("p", f"{side}{i}", "", "n", f"m{i + 1}", "n", False))
+    # A circle on the way, and a name that leads nowhere.
+    bindings += [("p", "a3", "", "n", "m2", "n", False), ("p", "m0", "", "lost", "m0", "lost", False)]
+    imports = spark.createDataFrame(
+        bindings, "project_id string, module string, binding_scope string, local_name string, target_module string, imported_name string, is_star boolean"
+    )
+    symbols = spark.createDataFrame([("p", f"m{rungs}", "n", "n", 7), ("q", "m5", "n", "n", 8)], "project_id string, module string, qualified_name string, name string, symbol_id long")
+    keys = spark.createDataFrame([("p", "m0", "n"), ("p", "M3", "N"), ("p", "m0", "lost"), ("q", "m0", "n")], "project_id string, module string, name string")
+    found = {(r.project_id, r.root_m, r.root_n, r.symbol_id) for r in resolve.exported(keys, symbols, imports).collect()}
+    assert found == {("p", "m0", "n", 7), ("p", "m3", "n", 7)}

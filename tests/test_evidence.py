@@ -1,6 +1,7 @@
 """Packing, intervals, streams, the tree reader and the store."""
 
 import random
+import re
 import time
 from pathlib import Path
 
@@ -35,6 +36,39 @@ def test_packing_never_exceeds_the_window(spark):
             assert not row.kept or len(row.text) // 3 <= row.available_tokens
 
 
+def plain_packing(rows, window, reserves, counter):
+    """Blocks in order, each kept if the text with it still fits."""
+    tiers = ["definition", "reference", "caller", "callee", "text"]
+    blocks, kept, left_out = [], [], []
+    available = max(0, window - reserves)
+    for row in sorted(rows, key=lambda r: (tiers.index(r[6]), -r[8], r[2].lower(), r[3], r[1])):
+        block = f"[{row[6]}] {row[2]}:{row[3]}-{row[4]}" + (f" · {row[7]}" if row[7] else "") + f"\n{row[5]}"
+        if counter("\n\n".join([*blocks, block])) <= available:
+            blocks.append(block)
+            kept.append(row[1])
+        else:
+            left_out.append(row[1])
+    return kept, left_out, "\n\n".join(blocks), min(available, counter("\n\n".join(blocks)))
+
+
+def test_packing_by_either_counter_equals_the_plain_rule(spark):
+    rng = random.Random(8)
+    words = ["def", "load", "user_name", "é", "数据", "()", "x", "\n"]
+    rows = [(r, i, f"p{i % 4}.py", i + 1, i + 2, " ".join(rng.choices(words, k=rng.randint(0, 90))),
+             rng.choice(["definition", "reference", "caller", "callee", "text"]), rng.choice([None, "s"]), rng.random())
+            for r in range(12) for i in range(rng.randint(1, 14))]
+    frame = spark.createDataFrame(rows, ITEM)
+    # Counts of joined texts aren't sums: neighbours merge, as with real tokenizers.
+    by_words = lambda text: len(re.findall(r"\w+|[^\w\s]", text)) - text.count("x x") // 2
+    by_length = lambda text: max(1, len(text) // 3)
+    for window in (40, 130, 400):
+        for counter, plain in ((by_words, by_words), (None, by_length)):
+            for got in packing.pack(frame, window, 10, 15, 5, counter=counter).collect():
+                want = plain_packing([r for r in rows if r[0] == got.request_id], window, 30, plain)
+                assert (got.kept, got.omitted, got.text) == want[:3]
+                assert got.evidence_tokens == want[3] and got.used_tokens == min(window, 30 + want[3])
+
+
 def test_long_spans_become_fragments(spark):
     content = "\n".join(str(i) for i in range(250))
     rows = [(1, 0, "a.py", 11, 260, content, "definition", "f", 0.9), (1, 1, "b.py", 1, 300, "short", "text", None, 0.5)]
