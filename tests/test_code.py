@@ -184,3 +184,48 @@ def test_reexports_through_a_ladder_of_diamonds(spark):
     keys = spark.createDataFrame([("p", "m0", "n"), ("p", "M3", "N"), ("p", "m0", "lost"), ("q", "m0", "n")], "project_id string, module string, name string")
     found = {(r.project_id, r.root_m, r.root_n, r.symbol_id) for r in resolve.exported(keys, symbols, imports).collect()}
     assert found == {("p", "m0", "n", 7), ("p", "m3", "n", 7)}
+
+
+PLACED = {
+    "core/base.py": '"""Shared ground."""\n\ndef root():\n    pass\n\nclass Base:\n    def run(self):\n        return root()\n',
+    "core/mid.py": '"""Between."""\nfrom core.base import Base, root\n\nclass Mid(Base):\n    def go(self):\n        return root()\n\ndef build():\n    return Mid()\n',
+    "top.py": "from core.mid import build\nimport core.base\n\ndef start():\n    build()\n    return core.base.root()\n",
+    "other.py": "from core.mid import build, Mid\n\ndef again():\n    build()\n    build()\n\nclass User:\n    def use(self):\n        return build()\n",
+    "alone.py": "x = 1\n",
+}
+
+
+def placed(spark, opened):
+    files = [(project, i, path, path[:-3].replace("/", "."), text) for project in ("p", "q") for i, (path, text) in enumerate(PLACED.items())]
+    rows = project_map.extract_entries(spark.createDataFrame(files, "project_id string, file_id long, path string, module string, content string")).cache()
+    asked = spark.createDataFrame(opened, "project_id string, path string")
+    found = {}
+    for row in project_map.position(rows, asked).orderBy("project_id", "line_no", "part").collect():
+        found.setdefault(row.project_id, []).append(row.line)
+    return rows, asked, found
+
+
+def test_place_of_the_open_file(spark):
+    """Two projects hold the same files; each is told of its own open one."""
+    rows, asked, found = placed(spark, [("p", "core/mid.py"), ("q", "top.py")])
+    assert found["p"] == [
+        "## 当前文件在项目中的位置", "- 当前文件：core/mid.py（模块 core.mid）", "- 模块职责：Between.", "- 对外定义：Mid、build", "- 项目内依赖链：",
+        "  - 第 1 层依赖 core/base.py（Shared ground.）", "- 被以下文件引用：other.py、top.py", "- 已识别的上游调用：",
+        "  - core/mid.py 中的 函数 build 调用当前文件的 类 Mid", "  - other.py 中的 函数 again 调用当前文件的 函数 build",
+        # A class calls what its methods call.
+        "  - other.py 中的 类 User 调用当前文件的 函数 build", "  - other.py 中的 类 User 的方法 use 调用当前文件的 函数 build",
+        "  - top.py 中的 函数 start 调用当前文件的 函数 build",
+    ]
+    assert found["q"] == [
+        "## 当前文件在项目中的位置", "- 当前文件：top.py（模块 top）", "- 对外定义：start", "- 项目内依赖链：",
+        # `import core.base` binds `core`, which is no file here.
+        "  - 第 1 层依赖 core/mid.py（Between.）", "  - 第 2 层依赖 core/base.py（Shared ground.）",
+    ]
+    texts = {r.project_id: r.text for r in project_map.overview_text(rows, asked, 4500).collect()}
+    assert texts["p"].endswith("\n".join(found["p"])) and texts["p"].startswith("- 项目包含 5 个")
+    short = {r.project_id: r.text for r in project_map.overview_text(rows, asked, 120).collect()}
+    assert all(len(t) == 120 and texts[p].startswith(t[:60]) and t.endswith("已省略较低优先级文件）") for p, t in short.items())
+
+
+def test_place_of_a_file_that_is_not_there(spark):
+    assert placed(spark, [("p", "missing.py"), ("q", "alone.py")])[2] == {"q": ["## 当前文件在项目中的位置", "- 当前文件：alone.py（模块 alone）"]}
