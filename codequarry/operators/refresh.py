@@ -69,5 +69,14 @@ def refresh_summary(actions: DataFrame) -> DataFrame:
     return counted.withColumn("generation_step", changed.cast("int"))
 
 
+def with_parse_errors(summary: DataFrame, errors: DataFrame) -> DataFrame:
+    """The counters with `parse_error_files`, from the stored table errors(project_id, path, parse_error).
+
+    The messages stay rows of that table: a project may have any number of them.
+    """
+    counted = errors.filter("parse_error <> ''").groupBy("project_id").agg(F.countDistinct("path").alias("parse_error_files"))
+    return summary.join(counted, "project_id", "left").na.fill(0, ["parse_error_files"])
+
+
 def removed_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return stored.join(seen.select(*KEYS), KEYS, "left_anti")

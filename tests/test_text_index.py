@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
 from codequarry.operators import chunks as ck
-from codequarry.operators import facts, search, text_index
+from codequarry.operators import facts, refresh, search, text_index
 from codequarry.sources.store import FactStore, build_facts, refresh_facts
 
 CHUNK = "project_id string, path string, chunk_id long, start_line int, content string"
@@ -149,3 +149,16 @@ def test_pointer_chooses_the_version(spark, tmp_path):
     assert FactStore.current(spark, base).read("facts").first()["n"] == 2
     one.publish()
     assert FactStore.current(spark, base).version == "one"
+
+
+def test_status_counts_parse_errors(spark, tmp_path):
+    """The table of errors is replaced with its files like any other; the status counts what it holds."""
+    derive = {"errors": python_facts(facts.parse_errors)}
+    files = {("p", "a.py"): (1, "def f(:\n"), ("p", "b.py"): (1, "x = 1\n"), ("q", "c.py"): (1, "y = 1\n")}
+    store = FactStore(spark, str(tmp_path / "store"), "a", 2)
+    hash_of = F.sha2("content", 256)
+    build_facts(store, listing(spark, files).withColumn("source_hash", hash_of), derive)
+    files |= {("p", "a.py"): (2, "def f():\n    pass\n"), ("p", "b.py"): (2, "x = (\n"), ("p", "d.py"): (2, "class\n")}
+    actions = refresh_facts(store, listing(spark, files), hash_of, derive)
+    status = refresh.with_parse_errors(refresh.refresh_summary(actions), store.read("errors"))
+    assert {r.project_id: (r.updated_files, r.added_files, r.parse_error_files) for r in status.collect()} == {"p": (2, 1, 2), "q": (0, 0, 0)}
