@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import xxhash
 
@@ -46,6 +47,14 @@ def decontaminate(texts, items, window=10):
     return out
 
 
+def article_text(html):
+    """The text of the article element of a page as the driver writes them: nothing but paragraphs, headings and inline tags inside."""
+    inside = re.search(r"<article>(.*)</article>", html or "", re.S)
+    parts = re.split(r"</?(?:p|div|h[1-6]|ul|ol|li|blockquote|section)\b[^>]*>", re.sub(r"<!--.*?-->", "", inside[1], flags=re.S)) if inside else []
+    inline = (re.sub(r"</?(?:a|b|i|em|strong|span)\b[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", part)) for part in parts)
+    return "\n".join(t for t in (" ".join(unescape(part).split()) for part in inline) if t)
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):

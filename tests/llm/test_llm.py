@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import sys
 from pathlib import Path
 
@@ -267,6 +268,44 @@ def test_html_heads_inside_and_outside_articles():
     assert html_text.main_text(page, html_text.train()) == "Title\nSome words of the text."
 
 
+def test_html_deep_elements_end_where_they_end():
+    page = "<article><p>First.</p><div class=ad><p>" + "<b><i>" * 200 + "Buy now</p></div><p>Second <a>one <a>two</a> three.</p></article>"
+    assert html_text.main_text(page, html_text.train()) == "First.\nSecond one two three."
+    # An inline element that ends below an open block leaves the block and what encloses it as they are.
+    flat = html_text.blocks("<a><div>in link</a> after</div> outside <b><p>x</b>y</p>")
+    assert [(b.text, b.linked) for b in flat] == [("in link after", 2), ("outside", 0), ("xy", 0)]
+    assert [(b.text, b.furniture) for b in html_text.blocks("<span class=ad><div>a</span>b</div>c")] == [("ab", True), ("c", False)]
+
+
+def test_html_tags_without_an_end_are_text():
+    assert html_text.main_text('<p>a <b c="d e</p>', html_text.train()) == 'a <b c="d e'
+    assert html_text.main_text("<p>a <b x='\">'>bold</b> <i y", html_text.train()) == "a bold <i y"
+    assert html_text.main_text("<p>&#65; &#" + "0" * 9000 + "66; &#" + "9" * 9000 + ";c</p>", html_text.train()) == "A B \ufffdc"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 100_000, '<a" <b\' ' * 60_000, "<a<" * 100_000, "<b></x>" * 60_000, "<span>" * 40_000 + "</b>" * 40_000, "<b>" * 40_000 + "<div>" * 40_000 + "</b>" * 40_000,
+     "<div>" * 40_000 + "<p>x" * 40_000, '<p class="' * 50_000, "<!-- " * 60_000, "&#" * 100_000],
+)
+def test_html_time_grows_in_proportion(page):
+    tree = html_text.train()
+
+    def seconds(html):
+        begin = time.process_time()
+        html_text.main_text(html, tree)
+        return time.process_time() - begin
+
+    # Quadratic work would take 64 times as long; the absolute bound is far above what a linear scan needs.
+    eighth = page[: len(page) // 8]
+    assert seconds(page) < max(24 * seconds(eighth), 4.0)
+
+
+def test_html_words_and_links_decide_without_article():
+    page = "<body><p><a>one two three four five six seven</a> eight</p><p>a plain line of eleven words that stands all on its own</p></body>"
+    assert html_text.main_text(page, html_text.train()) == "a plain line of eleven words that stands all on its own"
+
+
 def test_decision_tree_learns_its_table():
     table = np.array(html_text.LABELLED, dtype=float)
     assert (html_text.classify(html_text.train(), table[:, :-1]) == table[:, -1].astype(bool)).all()
