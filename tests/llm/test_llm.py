@@ -166,6 +166,72 @@ def test_longest_matches(spark):
     assert by == {1: [("4", 1, 0, 50)], 2: [("4", 0, 5, 25)]}
 
 
+def _shard(texts, suffixes):
+    rows = [suffixes.number(decontaminate.words(t)) for t in texts]
+    begins = np.cumsum([0, *[len(r) + 1 for r in rows]])
+    text = np.zeros(begins[-1] + suffixes.window, dtype=np.int64)
+    for row, begin in zip(rows, begins, strict=False):
+        text[begin : begin + len(row)] = row
+    return text, np.repeat(np.arange(len(rows)), np.diff(begins)), begins
+
+
+def _shared(text, items, window):
+    """Most words every place of a text shares with any item, where they are a window at least."""
+    own = [t.split() for t in items]
+    out = {}
+    for x in range(len(text)):
+        longest = 0
+        for words in own:
+            for y in range(len(words)):
+                n = 0
+                while x + n < len(text) and y + n < len(words) and text[x + n] == words[y + n]:
+                    n += 1
+                longest = max(longest, n)
+        if longest >= window:
+            out[x] = longest
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_longest_matches_against_brute_force(seed):
+    rng = random.Random(seed)
+    window, letters = rng.choice([3, 4, 10]), "abcdefghijklmnopqrstuvwxyz"[: rng.choice([1, 2, 3, 8, 26])]
+
+    def some(n):
+        return " ".join(rng.choice(letters) for _ in range(n))
+
+    items = [some(rng.randrange(25)) for _ in range(rng.randrange(1, 6))]
+    texts = [some(rng.randrange(40)) for _ in range(4)] + [f"{some(5)} {rng.choice(items)} {some(4)} {rng.choice(items)}" for _ in range(2)]
+    suffixes = decontaminate.Suffixes([(str(i), t) for i, t in enumerate(items)], window)
+    text, doc_of, begins = _shard(texts, suffixes)
+    doc, item, place, at, words, hit, met = decontaminate.matches(text, doc_of, suffixes)
+    for d, (_, n_hit, names) in enumerate(brute.decontaminate(texts, [(str(i), t) for i, t in enumerate(items)], window)):
+        assert hit[begins[d] : begins[d + 1]].sum() == n_hit
+        assert sorted({suffixes.names[i] for k, s in met.tolist() if k == d for i in suffixes.sets[s]}) == names
+        shared = _shared(texts[d].split(), items, window)
+        want = {(x, n) for x, n in shared.items() if shared.get(x - 1) != n + 1}
+        assert {(p, n) for p, n in zip((place - begins[doc])[doc == d].tolist(), words[doc == d].tolist(), strict=True) if n >= window} == want
+    for d, i, p, q, n in zip(doc.tolist(), item.tolist(), (place - begins[doc]).tolist(), at.tolist(), words.tolist(), strict=True):
+        assert texts[d].split()[p : p + n] == items[i].split()[q : q + n]
+
+
+def test_repeated_words_are_not_expanded_into_pairs():
+    suffixes = decontaminate.Suffixes([("x", "w " * 1000), ("y", "w " * 1000), ("z", "w " * 30)])
+    text, doc_of, _ = _shard(["w " * 100_000], suffixes)
+    begin = time.process_time()
+    doc, item, place, at, words, hit, met = decontaminate.matches(text, doc_of, suffixes)
+    assert time.process_time() - begin < 10
+    assert len(suffixes.start) == 1 and len(place) == 99_001 and words.max() == 1000 and hit.sum() == 100_000 and len(met) == 1
+
+
+def test_frequent_preface_of_many_items(spark):
+    preface = "these ten words stand before every item of the benchmark"
+    items = spark.createDataFrame([(i, f"{preface} {i} " + passage(i, 20)) for i in range(3000)], "item_id bigint, text string")
+    docs = frame(spark, [(i, f"so {preface} and so on {i}") for i in range(40)] + [(99, "nothing of it")])
+    got = decontaminate.report(docs, items).collect()
+    assert [(r["n_hit"], len(r["items"]), r["longest"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(10, 3000, 10)] * 40 + [(0, 0, 0)]
+
+
 def test_mixing_targets_and_words(spark):
     rng = random.Random(5)
     rows = [(i, passage(i, rng.randrange(1, 60)), None, rng.choice(["a", "a", "a", "b", "c", "ä", None])) for i in range(600)]
