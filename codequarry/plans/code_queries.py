@@ -85,13 +85,16 @@ def reexport_closure(spark, sf):
 
 
 @query("lexical_scope_lookup", f"""WITH {mc.SQL_MODULES}
-SELECT 'make_' || p AS caller, 'shop.parts.p_' || b || ':make_' || p || '.inner' AS symbol_key FROM gparts""")
+SELECT v.* FROM gparts, LATERAL (VALUES
+  ('make_' || p, 'inner', 'shop.parts.p_' || b || ':make_' || p || '.inner'), ('make_' || p, 'Part' || p, 'shop.parts.p_' || b || ':Part' || p),
+  ('make_' || p || '.inner', 'Part' || p, 'shop.parts.p_' || b || ':Part' || p)) v(caller, expr, symbol_key)""")
 def lexical_scope_lookup(spark, sf):
     stored = mc.stored_facts(spark, sf)
     symbols = fa.symbols(stored)
-    shapes = fa.calls(stored).filter("callee_name = 'inner'").withColumn("shape_id", F.col("call_id"))
+    shapes = fa.calls(stored).withColumn("shape_id", F.col("call_id"))
     found = resolve.lexical_targets(shapes, symbols).join(symbols.select("symbol_id", "symbol_key"), "symbol_id")
-    return found.join(shapes.select("shape_id", F.col("caller_qualified").alias("caller")), "shape_id").select("caller", "symbol_key")
+    asked = shapes.select("shape_id", F.col("caller_qualified").alias("caller"), F.col("callee_expr").alias("expr"))
+    return found.join(asked, "shape_id").select("caller", "expr", "symbol_key")
 
 
 @query("inherited_method_lookup", f"""WITH {mc.SQL_MODULES}
@@ -119,27 +122,35 @@ def enclosing_symbol(spark, sf):
 
 
 @query("resolve_expression", f"""WITH {mc.SQL_MODULES},
-asked AS (SELECT path, line, expr, callee, target, p, n % 5 AS shape FROM (
-   SELECT c.*, split_part(target, 'make_', 2) AS p, TRY_CAST(regexp_extract(split_part(expr, '.', 1), '_(\\d+)$', 1) AS INT) AS n FROM gcall c
-   WHERE path LIKE 'shop/orders/%' AND status <> 'unresolved')),
+asked AS (SELECT path, line, expr, split_part(expr, '.', 1) AS first, string_split(expr, '.')[-1] AS name FROM gcall),
 bound AS (SELECT 'shop/orders/o_' || f.ob || '.py' AS path, CASE n % 5 WHEN 1 THEN 'go_' ELSE 'm_' END || n AS local, arg_min(g.p, f.s) AS first_p, arg_min(g.b, f.s) AS first_b
-   FROM gsites g JOIN gfine f USING (o) WHERE n % 5 IN (1, 2) GROUP BY ALL)
-SELECT a.path, line, expr, CASE WHEN first_p IS NOT NULL AND (expr LIKE 'go%' OR p::BIGINT // {mc.PART_BLOCK} = first_b) THEN 1 ELSE 2 END AS source,
-  CASE WHEN callee = 'price' THEN '*' WHEN expr LIKE 'go%' THEN 'make_' || first_p ELSE 'make_' || p END AS qualified_name
-FROM asked a LEFT JOIN bound b ON b.path = a.path AND b.local = split_part(expr, '.', 1) WHERE expr NOT LIKE 're\\_%' ESCAPE '\\'""")
+   FROM gsites g JOIN gfine f USING (o) WHERE n % 5 IN (1, 2) GROUP BY ALL),
+heads AS (SELECT *, module || ':' || qualified_name AS symbol_key, row_number() OVER (PARTITION BY name ORDER BY blk, start_line) AS k, row_number() OVER (PARTITION BY name, path ORDER BY start_line) AS own
+   FROM (SELECT *, regexp_extract(path, '_(\\d+)[.]py$', 1)::BIGINT AS blk FROM gsym) QUALIFY k <= 8 OR own <= 8),
+imported AS (SELECT a.*, symbol_key FROM asked a JOIN bound b ON b.path = a.path AND b.local = a.first
+   JOIN heads s ON s.module = 'shop.parts.p_' || first_b AND s.name = CASE WHEN a.first LIKE 'go%' THEN 'make_' || first_p ELSE a.name END),
+anywhere AS (SELECT a.*, symbol_key, row_number() OVER (PARTITION BY a.path, line, expr ORDER BY s.path <> a.path, blk, start_line) AS rank
+   FROM asked a ANTI JOIN imported i USING (path, line, expr) JOIN heads s ON s.name = a.name AND (k <= 8 OR s.path = a.path) QUALIFY rank <= 8),
+spans AS (SELECT a.path, line, expr, module || ':' || qualified_name AS symbol_key, row_number() OVER (PARTITION BY a.path, line, expr ORDER BY end_line - start_line, start_line) AS rank
+   FROM asked a JOIN gsym s ON s.path = a.path AND line BETWEEN start_line AND end_line QUALIFY rank <= 8)
+SELECT path, line, expr, 'name' AS asked_by, 1 AS source, 1 AS rank, symbol_key FROM imported
+UNION ALL SELECT path, line, expr, 'name', 2, rank, symbol_key FROM anywhere
+UNION ALL SELECT path, line, expr, 'place', 0, rank, symbol_key FROM spans""")
 def resolve_expression(spark, sf):
+    """Every call asked twice, by its expression alone and by its place, with all answers."""
     stored = mc.stored_facts(spark, sf)
     symbols = fa.symbols(stored)
-    asked = fa.calls(stored).filter("path LIKE 'shop/orders/%'").select(
-        F.col("call_id").alias("request_id"), "project_id", "path", F.lit(None).cast("int").alias("line"),
-        F.col("callee_expr").alias("expression"), "start_line",
+    calls = fa.calls(stored).select("call_id", "project_id", "path", "start_line", F.col("callee_expr").alias("expression"))
+    by = F.explode(F.array(F.lit("name"), F.lit("place"))).alias("asked_by")
+    asked = calls.select("*", by).select(
+        F.concat_ws(":", "asked_by", "call_id").alias("request_id"), "project_id", "path", "expression", "start_line", "asked_by",
+        F.when(F.col("asked_by") == "place", F.col("start_line")).alias("line"),
     )
-    answers = resolve.resolve_expressions(asked, symbols, fa.imports(stored), 8)
-    first = answers.filter("rank = 1").join(symbols.select("symbol_id", "qualified_name", "name"), "symbol_id")
-    return first.join(asked.select("request_id", F.col("expression").alias("expr"), "path", "start_line"), "request_id").select(
-        "path", F.col("start_line").alias("line"), "expr", "source",
-        F.when(F.col("name") == "price", "*").otherwise(F.col("qualified_name")).alias("qualified_name"),
+    answers = resolve.resolve_expressions(asked.drop("start_line", "asked_by"), symbols, fa.imports(stored), 8)
+    found = answers.join(symbols.select("symbol_id", "symbol_key"), "symbol_id").join(
+        asked.select("request_id", "path", F.col("start_line").alias("line"), F.col("expression").alias("expr"), "asked_by"), "request_id"
     )
+    return found.select("path", "line", "expr", "asked_by", "source", "rank", "symbol_key")
 
 
 @query("module_dependencies", f"""WITH {mc.SQL_MODULES}
