@@ -200,17 +200,24 @@ def python_outline(spark, sf):
 @query("skeleton_text", f"""WITH {mc.SQL_MODULES},
 gcode AS (SELECT f.ob, f.o, string_agg(c, chr(10) ORDER BY n) AS body FROM gspans f LEFT JOIN (SELECT o, n, CASE n % 5
    WHEN 1 THEN '    from shop.parts.p_' || b || ' import make_' || p || ' as go_' || n WHEN 2 THEN '    import shop.parts.p_' || b || ' as m_' || n
-   WHEN 3 THEN '    item.make_' || p || '()' WHEN 4 THEN '    item.price()' ELSE '    from shop.api_' || b || ' import make_' || p || ' as re_' || n END AS c FROM gsites) s USING (o) GROUP BY ALL)
-SELECT 'shop/orders/o_' || f.ob || '.py' AS path, 'order_' || f.o || '()' AS symbol, 'def order_' || f.o || '(item):' || chr(10) ||
-   coalesce(split_part(g.body, chr(10), 1), '    return missing_' || f.o || '()') || chr(10) || '    # …（共 ' || (f.body + 2) || ' 行，实现省略）' AS skeleton
-FROM gspans f JOIN gcode g USING (o)""")
+   WHEN 3 THEN '    item.make_' || p || '()' WHEN 4 THEN '    item.price()' ELSE '    from shop.api_' || b || ' import make_' || p || ' as re_' || n END AS c FROM gsites) s USING (o) GROUP BY ALL),
+heads AS (SELECT 'shop/orders/o_' || f.ob || '.py' AS path, '函数 order_' || f.o || '()' AS title, 'def order_' || f.o || '(item):' || chr(10) ||
+     coalesce(split_part(g.body, chr(10), 1), '    return missing_' || f.o || '()') AS code, f.body + 2 AS n FROM gspans f JOIN gcode g USING (o)
+  UNION ALL SELECT DISTINCT 'shop/orders/o_' || ob || '.py', '函数 broken()', 'def broken(:', 1 FROM gspans WHERE ob % 7 = 3
+  UNION ALL SELECT DISTINCT 'shop/orders/o_' || ob || '.py', '文件头部', '\"\"\"Orders block ' || ob || '.\"\"\"', 1 FROM gspans WHERE ob % 7 = 3
+  UNION ALL SELECT DISTINCT 'shop/parts/p_' || b || '.py', '类 Base' || b, 'class Base' || b || ':' || chr(10) || '    def audit(self):', 3 FROM gparts
+  UNION ALL SELECT 'shop/parts/p_' || b || '.py', v.* FROM gparts, LATERAL (VALUES
+    ('类 Part' || p, 'class Part' || p || '(Base' || b || '):' || chr(10) || '    def price(self):', 12),
+    ('函数 make_' || p || '()', 'def make_' || p || '():' || chr(10) || '    def inner():', 6)) v(title, code, n))
+SELECT path, title, code || chr(10) || '    # …（共 ' || n || ' 行，实现省略）' AS skeleton FROM heads
+UNION ALL SELECT DISTINCT 'shop/orders/o_' || ob || '.py', '模块说明', '\"\"\"Orders block ' || ob || '.\"\"\"' FROM gspans WHERE ob % 7 <> 3
+UNION ALL SELECT DISTINCT 'shop/parts/p_' || b || '.py', '模块说明', '\"\"\"Parts block ' || b || '.\"\"\"' FROM gparts
+UNION ALL SELECT 'shop/api_' || b || '.py', '导入依赖', string_agg('from .parts.p_' || b || ' import make_' || p, chr(10) ORDER BY p) FILTER (WHERE k <= 40) || CASE WHEN count(*) > 40 THEN chr(10) || '# …' ELSE '' END
+  FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p) AS k FROM gparts) GROUP BY b""")
 def skeleton_text(spark, sf):
-    files = mc.modules(spark, sf).filter("path LIKE 'shop/orders/%'")
-    pieces = segments.with_code(segments.file_segments(files, F.lit(True)), files).filter("title LIKE '函数 order_%'")
-    return pieces.select(
-        "path", F.substring_index("title", " ", -1).alias("symbol"),
-        ck.skeleton_part(F.col("kind"), tx.lines_of(F.col("code"))).alias("skeleton"),
-    )
+    files = mc.modules(spark, sf)
+    pieces = segments.with_code(segments.file_segments(files, F.lit(True)), files)
+    return pieces.select("path", "title", ck.skeleton_part(F.col("kind"), tx.lines_of(F.col("code"))).alias("skeleton"))
 
 
 # --- whole-project view -----------------------------------------------------------------------
