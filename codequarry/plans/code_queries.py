@@ -243,10 +243,13 @@ def entry_references(spark, sf):
 @query("distinct_references", f"""WITH {SQL_ENTRIES},
 refs AS (SELECT 'shop/parts/p_' || b || '.py' AS path, v.* FROM gparts, LATERAL (VALUES
    ('Part' || p, 'self', 'audit'), ('Part' || p, '', 'audit'), ('Part' || p, '', 'super'), ('price', 'self', 'audit'), ('total', '', 'audit'), ('total', '', 'super'),
-   ('make_' || p, '', 'Part' || p), ('make_' || p, 'item', 'price'), ('make_' || p, '', 'inner')) v(owner, receiver, name))
+   ('make_' || p, '', 'Part' || p), ('make_' || p, 'item', 'price'), ('make_' || p, '', 'inner')) v(owner, receiver, name)
+  UNION ALL SELECT DISTINCT 'shop/orders/o_' || f.ob || '.py', 'order_' || g.o, CASE n % 5 WHEN 2 THEN 'm_' || n WHEN 3 THEN 'item' WHEN 4 THEN 'item' ELSE '' END,
+   CASE n % 5 WHEN 1 THEN 'go_' || n WHEN 4 THEN 'price' WHEN 0 THEN 're_' || n ELSE 'make_' || p END FROM gsites g JOIN gfine f USING (o)
+  UNION ALL SELECT 'shop/orders/o_' || ob || '.py', 'order_' || o, '', 'missing_' || o FROM gfine)
 SELECT path, owner, receiver, name, count(*) AS owners FROM refs GROUP BY ALL""")
 def distinct_references(spark, sf):
-    rows = cut(project_map.extract_entries(mc.modules(spark, sf).filter("path LIKE 'shop/parts/%'")), ["fact"])
+    rows = cut(project_map.extract_entries(mc.modules(spark, sf)), ["fact"])
     owners = project_map.entries(rows).select("path", "owner", F.col("name").alias("owner_name"))
     refs = rows.filter("fact = 'reference'").select("path", "owner", "receiver", "name")
     return refs.join(owners, ["path", "owner"]).groupBy("path", F.col("owner_name").alias("owner"), "receiver", "name").agg(
@@ -289,14 +292,17 @@ def entry_points_and_tests(spark, sf):
 
 
 @query("segment_table_function", f"""WITH {mc.SQL_MODULES}
-SELECT 'shop/parts/p_' || b || '.py' AS path, 2 + 2 * count(*) AS segments, 4 + {mc.PART_LINES} * count(*) AS last_line FROM gparts GROUP BY b""")
+SELECT 'shop/parts/p_' || b || '.py' AS path, 2 + 2 * count(*) AS segments, 4 + {mc.PART_LINES} * count(*) AS last_line FROM gparts GROUP BY b
+UNION ALL SELECT 'shop/api_' || b || '.py', 1, count(*) FROM gparts GROUP BY b
+UNION ALL SELECT 'shop/orders/o_' || ob || '.py', count(*) + 1, max(s + body + 1) FROM gfine GROUP BY ob""")
 def segment_table_function(spark, sf):
+    """Segments of every module that parses; the table function has no rows for the others."""
     from codequarry.functions import sql
 
     sql.register(spark)
-    mc.modules(spark, sf).filter("path LIKE 'shop/parts/%'").createOrReplaceTempView("part_modules")
+    mc.modules(spark, sf).createOrReplaceTempView("code_modules")
     return spark.sql(
-        "SELECT path, count(*) AS segments, max(end_line) AS last_line FROM part_modules, LATERAL code_segments(content, 'py') GROUP BY path"
+        "SELECT path, count(*) AS segments, max(end_line) AS last_line FROM code_modules, LATERAL code_segments(content, 'py') GROUP BY path"
     )
 
 
