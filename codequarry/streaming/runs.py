@@ -29,9 +29,11 @@ def drain(stream: DataFrame) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """One of the driver tables as a stream of files, so many of them in a micro-batch."""
-    schema = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet").schema
-    frame = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    """One of the driver tables, a file or a folder of files, as a stream of files, so many of them in a micro-batch."""
+    place = f"{directory.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(place).schema
+    # A stream takes a file only by a pattern; this one matches nothing but the table.
+    frame = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{place[:-1]}[t]")
     for field in schema.fields:
         if isinstance(field.dataType, T.TimestampNTZType):
             frame = frame.withColumn(field.name, F.col(field.name).cast("timestamp"))

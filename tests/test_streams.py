@@ -107,3 +107,11 @@ def test_rolling_metrics_equal_batch_after_every_batch(spark, tmp_path):
         upto = frame.filter((F.col("ord") <= row.last_ord) & (F.col("task") == row.key))
         batch = metrics.generation_metrics(metrics.rolling(upto, ["task"], [F.col("ord").desc()], 120), ["task"]).first()
         assert [row[name] for name in state.METRICS] == pytest.approx([batch[name] for name in state.METRICS], abs=0.0101), row
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_that_is_a_folder_of_files_streams_whole(spark, tmp_path, files):
+    rows = spark.range(50).withColumn("text", F.concat(F.lit("t"), "id"))
+    rows.repartition(files).write.parquet(str(tmp_path / "said.parquet"))
+    rows.write.parquet(str(tmp_path / "other.parquet"))
+    assert {tuple(r) for r in runs.drain(runs.table_stream(spark, str(tmp_path), "said", 2)).collect()} == {tuple(r) for r in rows.collect()}
