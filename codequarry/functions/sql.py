@@ -15,12 +15,20 @@ RETURN concat('(?s)^', replace(replace(replace(regexp_replace(g, '([.\\\\+^$(){}
 class CodeSegments:
     """code_segments(text, extension): raw segments of one file; gaps are not filled."""
 
-    def eval(self, text: str, extension: str):
+    def __init__(self):
+        from codequarry.operators.apart import Apart
         from codequarry.operators.segments import python_structure
 
+        self.parsed = Apart(python_structure)
+
+    def terminate(self):
+        self.parsed.close()
+        yield from ()
+
+    def eval(self, text: str, extension: str):
         if text is None or (extension or "").lower().lstrip(".") not in ("py", "pyw"):
             return
-        for row in python_structure(text):
+        for row in self.parsed(text, len(text)):
             if row["fact"] == "segment":
                 yield row["kind"], row["title"], row["start_line"], row["end_line"], row["strategy"]
 

@@ -75,10 +75,11 @@ def locator(with_id: bool = True) -> Column:
     return F.concat(where, F.lit(" ["), "evidence_id", F.lit("]")) if with_id else where
 
 
-def joined(text: Column, order: Column, separator: str) -> Column:
-    """Texts of a bounded group in order, as one string."""
+def joined(text: Column, order: Column, separator: str, where: Column | None = None) -> Column:
+    """Texts of a bounded group in order, as one string; only those of rows `where` says so."""
+    held = F.struct(order.alias("o"), text.alias("t"))
     return F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]),
+        F.transform(F.array_sort(F.collect_list(held if where is None else F.when(where, held))), lambda x: x["t"]),
         separator,
     )
 

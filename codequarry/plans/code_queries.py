@@ -20,7 +20,7 @@ from codequarry.sources.tables import load
 @query("python_symbols", f"""WITH {mc.SQL_MODULES}
 SELECT path, qualified_name, module || ':' || qualified_name AS symbol_key, name, kind, start_line, end_line, signature, doc, parent, bases FROM gsym""")
 def python_symbols(spark, sf):
-    return fa.symbols(mc.facts(spark, sf)).select(
+    return fa.symbols(mc.facts(spark, sf, "symbol")).select(
         "path", "qualified_name", "symbol_key", "name", "kind", "start_line", "end_line", "signature", "doc", "parent",
         F.array_join("bases", ",").alias("bases"),
     )
@@ -34,7 +34,7 @@ UNION ALL SELECT 'shop/orders/o_' || f.ob || '.py', 'order_' || g.o, CASE n % 5
    f.s + (SELECT coalesce(sum(CASE WHEN x.n % 5 IN (3, 4) THEN 1 ELSE 2 END), 0) FROM gsites x WHERE x.o = g.o AND x.n < g.n)::BIGINT + 1
  FROM gsites g JOIN gfine f USING (o) WHERE n % 5 IN (0, 1, 2)""")
 def python_imports(spark, sf):
-    return fa.imports(mc.facts(spark, sf)).select(
+    return fa.imports(mc.facts(spark, sf, "import")).select(
         "path", "binding_scope", F.col("target_module").alias("module"), "imported_name", "local_name", "level", "start_line"
     )
 
@@ -42,7 +42,7 @@ def python_imports(spark, sf):
 @query("python_calls", f"""WITH {mc.SQL_MODULES}
 SELECT path, line, caller, callee, expr, target_module, target_qualified FROM gcall""")
 def python_calls(spark, sf):
-    return fa.calls(mc.facts(spark, sf)).select(
+    return fa.calls(mc.facts(spark, sf, "call")).select(
         "path", F.col("start_line").alias("line"), F.col("caller_qualified").alias("caller"), F.col("callee_name").alias("callee"),
         F.col("callee_expr").alias("expr"), "target_module", "target_qualified",
     )
@@ -51,7 +51,7 @@ def python_calls(spark, sf):
 @query("parse_error_listing", f"""WITH {mc.SQL_MODULES}
 SELECT DISTINCT 'shop/orders/o_' || ob || '.py' AS path, 'SyntaxError' AS error FROM gspans WHERE ob % 7 = 3""")
 def parse_error_listing(spark, sf):
-    return fa.parse_errors(mc.facts(spark, sf)).select("path", F.split("parse_error", ":")[0].alias("error"))
+    return fa.parse_errors(mc.facts(spark, sf, "error")).select("path", F.split("parse_error", ":")[0].alias("error"))
 
 
 @query("call_resolution", f"""WITH {mc.SQL_MODULES} SELECT path, line, caller, expr, target, status, confidence FROM gcall""")
@@ -159,8 +159,8 @@ UNION SELECT DISTINCT 'shop/orders/o_' || f.ob || '.py', CASE n % 5 WHEN 0 THEN
 def module_dependencies(spark, sf):
     from codequarry.operators import edges
 
-    modules = mc.modules(spark, sf).select("module", F.col("path").alias("dst"))
-    imports = fa.imports(mc.facts(spark, sf)).select(F.col("path").alias("src"), F.col("target_module").alias("module"))
+    modules = mc.paths(spark, sf).select("module", F.col("path").alias("dst"))
+    imports = fa.imports(mc.facts(spark, sf, "import")).select(F.col("path").alias("src"), F.col("target_module").alias("module"))
     return edges.dependency_edges(imports, modules)
 
 

@@ -62,32 +62,57 @@ def modules(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("b") * 3 + 1).alias("file_id"), F.concat(F.lit("shop/api_"), b, F.lit(".py")).alias("path"),
         F.concat("body", F.lit("\n")).alias("content"),
     )
-    calls = sites(spark, sf).select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("part").alias("p"))
-    bodies = calls.withColumn("code", _call_code()).groupBy("o").agg(joined(F.col("code"), F.col("n"), "\n").alias("code"))
-    functions = load(spark, sf, "orders").select(F.col("o_orderkey").alias("o")).join(bodies, "o", "left").select(
-        "o", F.floor(F.col("o") / ORDER_BLOCK).alias("ob"),
-        F.concat_ws(
-            "\n", F.concat(F.lit("def order_"), "o", F.lit("(item):")), "code", F.concat(F.lit("    return missing_"), "o", F.lit("()"))
-        ).alias("code"),
+    tree = part_files.unionByName(api_files).repartition(_width(spark, sf), "file_id").unionByName(_order_files(spark, sf))
+    return tree.select(F.lit(PROJECT).alias("project_id"), "file_id", "path", _module().alias("module"), "content")
+
+
+def _module():
+    return F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit("."))
+
+
+def _width(spark: SparkSession, sf: str) -> int:
+    """Partitions to parse in, which costs far more than its bytes suggest: by the input, not left to coalescing."""
+    read = load(spark, sf, "lineitem").rdd.getNumPartitions()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, 8 * read)
+
+
+def _order_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One module per block of orders. Orders and sites meet by block, as numbers; texts are made there and stay."""
+    nothing = F.lit(None).cast("bigint")
+    calls = sites(spark, sf).filter("l_orderkey IS NOT NULL").select(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("part").alias("p"), F.lit(0).alias("copies")
+    )
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("o"), nothing.alias("n"), nothing.alias("p"), F.lit(1).alias("copies"))
+    both = calls.unionByName(orders).withColumn("ob", F.floor(F.col("o") / ORDER_BLOCK)).repartition(_width(spark, sf), "ob")
+    site = F.col("copies") == 0
+    functions = both.withColumn("code", F.when(site, _call_code())).groupBy("ob", "o").agg(
+        joined(F.col("code"), F.col("n"), "\n", site).alias("code"), F.count(F.when(site, 1)).alias("calls"), F.sum("copies").cast("int").alias("copies")
+    ).filter("copies > 0").select(
+        "ob", "o", F.explode(F.array_repeat(F.concat_ws(
+            "\n", F.concat(F.lit("def order_"), "o", F.lit("(item):")), F.when(F.col("calls") > 0, F.col("code")),
+            F.concat(F.lit("    return missing_"), "o", F.lit("()")),
+        ), F.col("copies"))).alias("code"),
     )
     ob = F.col("ob").cast("string")
-    order_files = functions.groupBy("ob").agg(joined(F.col("code"), F.col("o"), "\n").alias("body")).select(
+    return functions.groupBy("ob").agg(joined(F.col("code"), F.col("o"), "\n").alias("body")).select(
         (F.col("ob") * 3 + 2).alias("file_id"), F.concat(F.lit("shop/orders/o_"), ob, F.lit(".py")).alias("path"),
         F.concat(
             F.lit('"""Orders block '), ob, F.lit('."""\n'), "body", F.when(F.col("ob") % 7 == 3, "\ndef broken(:\n").otherwise("\n")
         ).alias("content"),
     )
-    every = part_files.unionByName(api_files).unionByName(order_files)
-    # Parsing costs far more than its bytes suggest, so the width is fixed and not left to coalescing.
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return every.repartition(width, "file_id").select(
-        F.lit(PROJECT).alias("project_id"), "file_id", "path",
-        F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("module"), "content",
-    )
 
 
-def facts(spark: SparkSession, sf: str) -> DataFrame:
-    return fa.extract_facts(modules(spark, sf))
+def paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Path and module of every file, without its text."""
+    parts = load(spark, sf, "part").select(F.floor(F.col("p_partkey") / PART_BLOCK).cast("string").alias("b")).distinct()
+    orders = load(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / ORDER_BLOCK).cast("string").alias("b")).distinct()
+    named = [(parts, "shop/parts/p_"), (parts, "shop/api_"), (orders, "shop/orders/o_")]
+    every = [blocks.select(F.concat(F.lit(start), "b", F.lit(".py")).alias("path")) for blocks, start in named]
+    return every[0].unionByName(every[1]).unionByName(every[2]).withColumn("module", _module())
+
+
+def facts(spark: SparkSession, sf: str, only: str | None = None) -> DataFrame:
+    return fa.extract_facts(modules(spark, sf), only)
 
 
 def stored_facts(spark: SparkSession, sf: str) -> DataFrame:
