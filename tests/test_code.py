@@ -229,3 +229,14 @@ def test_place_of_the_open_file(spark):
 
 def test_place_of_a_file_that_is_not_there(spark):
     assert placed(spark, [("p", "missing.py"), ("q", "alone.py")])[2] == {"q": ["## 当前文件在项目中的位置", "- 当前文件：alone.py（模块 alone）"]}
+
+
+def test_resolved_calls_bring_their_target_and_take_the_innermost_scope(spark):
+    """No join on the target afterwards, and no key wider than the call's number."""
+    tree = {"n.py": "def f():\n    return 0\ndef outer():\n    def f():\n        return 1\n    def mid():\n        def g():\n            return 2\n        def low():\n            return g()\n        return low()\n    return mid()\n"}
+    facts = fa.extract_facts(corpus(spark, tree))
+    symbols = fa.symbols(facts)
+    done = resolve.resolve_calls(fa.calls(facts), symbols, fa.imports(facts), ("symbol_key",))
+    assert "sha2" not in done._jdf.queryExecution().toString()
+    found = {r.start_line: (r.target_symbol_key, r.resolution_status, r.confidence) for r in done.collect()}
+    assert found == {10: ("n:outer.mid.g", "resolved", 0.9), 11: ("n:outer.mid.low", "resolved", 0.9), 12: ("n:outer.mid", "resolved", 0.9)}
