@@ -240,3 +240,19 @@ def test_resolved_calls_bring_their_target_and_take_the_innermost_scope(spark):
     assert "sha2" not in done._jdf.queryExecution().toString()
     found = {r.start_line: (r.target_symbol_key, r.resolution_status, r.confidence) for r in done.collect()}
     assert found == {10: ("n:outer.mid.g", "resolved", 0.9), 11: ("n:outer.mid.low", "resolved", 0.9), 12: ("n:outer.mid", "resolved", 0.9)}
+
+
+def test_later_sources_are_asked_only_what_is_open(spark, monkeypatch):
+    from codequarry.operators import lookup
+
+    tree = {"a.py": "def f():\n    return 0\n", "b.py": "from a import f\ndef g():\n    return f()\n"}
+    facts = fa.extract_facts(corpus(spark, tree))
+    asked = spark.createDataFrame(
+        [(1, "p", "b.py", 3, "f"), (2, "p", "b.py", None, "f"), (3, "p", "b.py", None, "g")], "request_id long, project_id string, path string, line int, expression string"
+    )
+    reached, plain = [], lookup.definitions
+    monkeypatch.setattr(lookup, "definitions", lambda requests, *rest: (reached.extend(r.request_id for r in requests.collect()), plain(requests, *rest))[1])
+    found = resolve.resolve_expressions(asked, fa.symbols(facts), fa.imports(facts), 8)
+    names = {r.symbol_id: r.symbol_key for r in fa.symbols(facts).collect()}
+    assert {(r.request_id, r.source, names[r.symbol_id]) for r in found.collect()} == {(1, 0, "b:g"), (2, 1, "a:f"), (3, 2, "b:g")}
+    assert reached == [3]
