@@ -41,7 +41,8 @@ def definition_lookup(spark, sf):
 
 
 @query("symbol_search", f"""WITH {co.SQL_OUTLINE}, {SQL_NAMED},
-needles AS (SELECT request_id || ':' || candidate AS request_id, project_id, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS needle, current_file FROM asked),
+needles AS (SELECT request_id || ':' || candidate || typed AS request_id, project_id, translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS needle, current_file
+  FROM asked, LATERAL (VALUES ('', name), (':typed', left(name, 1 + request_id % 4))) v(typed, part)),
 found AS (SELECT request_id, symbol_id, name, path, CASE WHEN lower(name) = needle THEN 0 WHEN starts_with(lower(name), needle) THEN 1 ELSE 2 END AS cls,
     row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN lower(name) = needle THEN 0 WHEN starts_with(lower(name), needle) THEN 1 ELSE 2 END,
       coalesce(path <> current_file, true)::INT, length(name), symbol_id) AS rank
@@ -49,9 +50,13 @@ found AS (SELECT request_id, symbol_id, name, path, CASE WHEN lower(name) = need
 SELECT request_id, rank, symbol_id, name, path, CASE WHEN cls = 0 THEN 'exact' ELSE 'fuzzy' END AS match,
   round(CASE WHEN cls = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END - rank * 0.001::DOUBLE, 6) AS score FROM found WHERE rank <= 20""")
 def symbol_search(spark, sf):
-    """Every candidate word of the whole question, against the stored grams of the names."""
+    """Every candidate word of the whole question, whole and typed as far as its first one to four characters."""
     key = F.concat(F.col("request_id").cast("string"), F.lit(":"), F.col("candidate").cast("string"))
-    asked = named_requests(spark, sf).select(key.alias("request_id"), "project_id", "current_file", F.col("name").alias("needle"))
+    begun = F.substring("name", F.lit(1), (1 + F.col("request_id") % 4).cast("int"))
+    forms = F.array(F.struct(F.lit("").alias("typed"), F.col("name").alias("part")), F.struct(F.lit(":typed").alias("typed"), begun.alias("part")))
+    asked = named_requests(spark, sf).select(key.alias("key"), "project_id", "current_file", F.explode(forms).alias("form")).select(
+        F.concat("key", "form.typed").alias("request_id"), "project_id", "current_file", F.col("form.part").alias("needle")
+    )
     symbols, grams = stored.names(spark, sf)
     return edges.search_symbols(asked, symbols, 20, grams).select(
         "request_id", "rank", "symbol_id", "name", "path", "match", F.round("score", 6).alias("score")
