@@ -13,9 +13,10 @@ from codequarry.sources.tables import load, spread
 LINE_STRIDE = 1_000_000
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as indexed files: project, path, content, hash, size."""
-    docs = spread(load(spark, sf, "documents"), "doc_id")
+def files(spark: SparkSession, sf: str, even: bool = True) -> DataFrame:
+    """documents as indexed files: project, path, content, hash, size. even: dealt to every core, for jobs that don't shuffle them anyway."""
+    docs = load(spark, sf, "documents")
+    docs = spread(docs, "doc_id") if even else docs
     return docs.select(
         F.col("source").alias("project_id"),
         F.col("doc_id").alias("file_id"),
@@ -34,9 +35,9 @@ SQL_FILES = """files AS (
   FROM documents)"""
 
 
-def file_lines(spark: SparkSession, sf: str) -> DataFrame:
+def file_lines(spark: SparkSession, sf: str, even: bool = True) -> DataFrame:
     """files plus the array of lines and its length."""
-    with_lines = files(spark, sf).withColumn("lines", tx.lines_of(F.col("content")))
+    with_lines = files(spark, sf, even).withColumn("lines", tx.lines_of(F.col("content")))
     return with_lines.withColumn("line_count", F.size("lines"))
 
 
@@ -146,7 +147,7 @@ calls AS (
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """benchmark items as free-text requests; the document of the same number is open and names the project."""
-    opened = files(spark, sf).select(
+    opened = files(spark, sf, even=False).select(
         F.col("file_id").alias("request_id"), F.col("project_id").alias("open_project"), F.col("path").alias("current_file")
     )
     items = load(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("question"))

@@ -12,14 +12,14 @@ from codequarry.plans import stored
 from codequarry.plans.registry import query
 
 
-def chunk_rows(spark, sf):
-    rows = ck.text_chunks(co.file_lines(spark, sf))
+def chunk_rows(spark, sf, even=True):
+    rows = ck.text_chunks(co.file_lines(spark, sf, even))
     return rows.withColumn("chunk_id", F.col("file_id") * co.LINE_STRIDE + F.col("start_line"))
 
 
 def index(spark, sf):
     """The stored index, built by the first query that asks for it."""
-    return stored.texts(spark, sf, lambda: chunk_rows(spark, sf))
+    return stored.texts(spark, sf, lambda: chunk_rows(spark, sf, even=False))
 
 
 SQL_CHUNKS = f"""{co.SQL_LINED},

@@ -56,12 +56,23 @@ class FactStore:
     def _bucket(self) -> Column:
         return F.pmod(F.crc32("path"), F.lit(self.buckets)).cast("int")
 
-    def _save(self, table: str, rows: DataFrame, mode: str) -> None:
-        laid_out = rows.withColumn("path_bucket", self._bucket()).repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, *self.orders.get(table, []))
+    @property
+    def parts(self) -> int:
+        """Tasks that lay a table out: four a bucket, as the projects share each bucket number's input."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.buckets)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows of files at the task that writes their bucket; what is derived from them there needs no other shuffle."""
+        return rows.withColumn("path_bucket", self._bucket()).repartition(self.parts, *PARTITIONS).drop("path_bucket")
+
+    def _save(self, table: str, rows: DataFrame, mode: str, placed: bool = False) -> None:
+        rows = (rows if placed else self.placed(rows)).withColumn("path_bucket", self._bucket())
+        laid_out = rows.sortWithinPartitions(*PARTITIONS, *self.orders.get(table, []))
         laid_out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.location(table))
 
-    def create(self, table: str, rows: DataFrame) -> None:
-        self._save(table, rows.withColumn("live", F.lit(True)), "errorifexists")
+    def create(self, table: str, rows: DataFrame, placed: bool = False) -> None:
+        """placed: the rows were derived, row by row, from what `placed` gave."""
+        self._save(table, rows.withColumn("live", F.lit(True)), "errorifexists", placed)
 
     def _rows(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.location(table)).withColumn("project_id", F.col("project_id").cast("string"))
@@ -91,10 +102,12 @@ class FactStore:
         )
         self._save(table, cut(kept.unionByName(rows).unionByName(dead)), "overwrite")
 
-    def extend(self, table: str, rows: DataFrame) -> None:
-        """Add rows to a table that belongs to no file, such as a vocabulary."""
+    def extend(self, table: str, rows: DataFrame, placed: bool = False) -> None:
+        """Add rows to a table that belongs to no file, such as a vocabulary. placed: each task sorts the rows it has."""
         order = self.orders.get(table, [])
-        (rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows).write.mode("append").parquet(self.location(table))
+        if order:
+            rows = (rows if placed else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+        rows.write.mode("append").parquet(self.location(table))
 
     def whole(self, table: str) -> DataFrame:
         """A table that belongs to no file."""
