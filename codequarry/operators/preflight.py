@@ -11,6 +11,7 @@ from codequarry.functions import text as tx
 from codequarry.operators import evidence as ev
 from codequarry.operators import fusion, lookup, packing, resolve
 from codequarry.operators.intervals import enclosing
+from codequarry.operators.text_index import TextIndex
 from codequarry.operators.topk import top_k
 from codequarry.options import DEFAULTS
 from codequarry.session import cut
@@ -18,13 +19,17 @@ from codequarry.session import cut
 
 @dataclass(frozen=True)
 class Corpus:
-    """files(project_id, path, language, source_hash, lines, line_count), symbols, calls, chunks and, where known, imports."""
+    """files(project_id, path, language, source_hash, lines, line_count), symbols, calls, chunks and, where known, imports.
+
+    With a stored index, chunks need no text: its places will do.
+    """
 
     files: DataFrame
     symbols: DataFrame
     calls: DataFrame
     chunks: DataFrame
     imports: DataFrame | None = None
+    index: TextIndex | None = None
 
 
 _COLUMNS = ["request_id", "stage", "place", "path", "start_line", "end_line", "relation", "symbol", "score", "resolution", "symbol_id", "resolution_status", "index_hash"]
@@ -113,7 +118,7 @@ def gather(requests: DataFrame, corpus: Corpus, anchors: DataFrame | None = None
     resolved = requests.select("request_id", F.col("current_file").alias("path")).unionByName(exact.select("request_id", "path")).unionByName(
         candidates.select("request_id", "path")
     )
-    retrieved = fusion.hybrid_retrieve(requests, corpus.symbols, corpus.calls, corpus.chunks, RETRIEVED)
+    retrieved = fusion.hybrid_retrieve(requests, corpus.symbols, corpus.calls, corpus.chunks, RETRIEVED, corpus.index)
     stages.append(_rows(ev.restrict_scope(retrieved, resolved), 3, F.col("rank"), F.col("relation"), F.col("score")))
 
     gathered = stages[0]
@@ -125,7 +130,8 @@ def gather(requests: DataFrame, corpus: Corpus, anchors: DataFrame | None = None
     once = cut(ev.prefer_resolved(ordered).join(requests.select("request_id", "project_id"), "request_id"))
     # Spans come from the index: out of bounds or indexed under another hash, they drop out.
     span = ["project_id", *ev.SPAN]
-    texts = once.select(*span).distinct().join(corpus.files.select("project_id", "path", "source_hash", "language", "lines"), ["project_id", "path"]).select(
+    # Written first, the spans have an exact size, so the files' texts need not be shuffled to meet few of them.
+    texts = cut(once.select(*span).distinct()).join(corpus.files.select("project_id", "path", "source_hash", "language", "lines"), ["project_id", "path"]).select(
         *span, "source_hash", "language", tx.span_of(F.col("lines"), F.col("start_line"), F.col("end_line")).alias("content")
     ).filter("content IS NOT NULL")
     whole = once.join(texts, span).filter(F.col("index_hash").isNull() | (F.col("index_hash") == "") | (F.col("index_hash") == F.col("source_hash"))).drop("index_hash")

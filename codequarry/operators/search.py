@@ -24,6 +24,8 @@ IDF_FLOOR = 1e-6
 SCORE_SLACK = 1e-8
 # So many times the chunks that are wanted are asked before the rest of a project.
 FRONT = 3
+# The first chunks of a project that are asked next, where that is more. They fill all but rare literals.
+DEEP = 3000
 # Fixed value: the score literal hits carry.
 LITERAL_SCORE = 1000.0
 
@@ -173,23 +175,28 @@ def indexed_literals(requests: DataFrame, index: TextIndex, limit: int, text: st
     """The same answer from the stored places, runs and grams.
 
     A literal of a few letters lies in most runs and finds its first chunks at once, among the first ones
-    of the project. So these are asked first; only literals that they don't fill meet all runs, through the
-    stored grams.
+    of the project. So these are asked first, then more of them; only literals that they don't fill meet all
+    runs, through the stored grams.
     """
     literals = _literals(requests, text)
     place = [F.col("path"), F.col("start_line")]
-    keys = cut(literals.select("project_id", "literal").distinct())
-    asked = index.places.join(keys.select("project_id").distinct(), "project_id", "left_semi")
-    front = cut(top_k(asked, ["project_id"], place, FRONT * limit, "_n").select("project_id", "path", "chunk_id"))
-    near = cut(index.runs.join(front, ["project_id", "path", "chunk_id"], "left_semi").select("project_id", "chunk_id", "path", "start_line", "run"))
-    first = containing(keys.select("literal").distinct(), near.select("run").distinct(), "literal", "run").join(near, "run").join(keys, ["project_id", "literal"])
-    found = cut(top_k(first.select("project_id", "literal", "chunk_id", "path", "start_line").distinct(), ["project_id", "literal"], place, limit, "_n"))
-    unfilled = cut(keys.join(found.filter(F.col("_n") == limit), ["project_id", "literal"], "left_anti"))
+    unfilled = cut(literals.select("project_id", "literal").distinct())
+    hits = None
+    for width in sorted({FRONT * limit, max(DEEP, FRONT * limit)}):
+        asked = index.places.join(cut(unfilled.select("project_id").distinct()), "project_id", "left_semi")
+        front = cut(top_k(asked, ["project_id"], place, width, "_n").select("project_id", "path", "chunk_id"))
+        near = cut(index.runs.join(front, ["project_id", "path", "chunk_id"], "left_semi").select("project_id", "chunk_id", "path", "start_line", "run"))
+        pairs = cut(containing(unfilled.select("literal").distinct(), near.select("run").distinct(), "literal", "run"))
+        first = pairs.join(near, "run").join(unfilled, ["project_id", "literal"])
+        found = cut(top_k(first.select("project_id", "literal", "chunk_id", "path", "start_line").distinct(), ["project_id", "literal"], place, limit, "_n"))
+        filled = found.filter(F.col("_n") == limit).select("project_id", "literal")
+        full = found.join(filled, ["project_id", "literal"], "left_semi").drop("_n")
+        hits = full if hits is None else hits.unionByName(full)
+        unfilled = cut(unfilled.join(filled, ["project_id", "literal"], "left_anti"))
     pairs = cut(containing_in(unfilled.select("literal").distinct(), index.grams.withColumnRenamed("word", "run"), "literal", "run"))
-    held = index.runs.join(pairs.select("run").distinct(), "run", "left_semi").join(unfilled.select("project_id").distinct(), "project_id", "left_semi")
+    held = index.runs.join(cut(pairs.select("run").distinct()), "run", "left_semi").join(cut(unfilled.select("project_id").distinct()), "project_id", "left_semi")
     rest = pairs.join(_run_heads(held, limit), "run").join(unfilled, ["project_id", "literal"])
-    hits = found.drop("_n").unionByName(rest.select("project_id", "literal", "chunk_id", "path", "start_line")).distinct()
-    return _first_chunks(literals, hits, limit)
+    return _first_chunks(literals, hits.unionByName(rest.select("project_id", "literal", "chunk_id", "path", "start_line").distinct()), limit)
 
 
 def _run_heads(runs: DataFrame, limit: int) -> DataFrame:

@@ -8,15 +8,16 @@ from codequarry.operators import preflight, project_map
 from codequarry.plans import corpora as co
 from codequarry.plans import modules_corpus as mc
 from codequarry.plans.registry import query
-from codequarry.plans.search_queries import chunk_rows
+from codequarry.plans.search_queries import index
 from codequarry.session import cut
 from codequarry.sources.tables import load
 
 
 def _gathered(spark, sf):
-    files = co.file_lines(spark, sf)
+    files = co.file_lines(spark, sf, even=False)
     stored = files.select("project_id", "path", "language", "source_hash", "lines", "line_count")
-    corpus = preflight.Corpus(stored, *co.stored_outline(spark, sf), chunk_rows(spark, sf))
+    stored_index = index(spark, sf)
+    corpus = preflight.Corpus(stored, *co.stored_outline(spark, sf), stored_index.places, index=stored_index)
     return preflight.gather(co.requests(spark, sf), corpus)
 
 
