@@ -137,7 +137,7 @@ def derived(chunked: Callable[[DataFrame], DataFrame]) -> dict[str, Derive]:
 
 def _learn(store: FactStore, words: DataFrame) -> None:
     """Store the grams of distinct words. They are made where they are written, as a word has as many grams as letters, three times."""
-    store.extend("run_grams", grams_of(words.repartition(store.parts, "word")), placed=True)
+    store.extend("run_grams", grams_of(words.repartition(max(store.parts, 16 * store.buckets), "word")), placed=True)
 
 
 def learn_runs(store: FactStore) -> None:
