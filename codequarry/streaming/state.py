@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -258,26 +258,29 @@ class DeltaAssembly(Expiring):
         self.handle = handle
         self.state = handle.getListState("pieces", "scope string, seq int, text string")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        batch = _sorted(rows, ["seq"])
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[Row]:
+        batch = _in_order(rows, ["seq"])
         if self.due(timer_values):
             yield from self._told(key, False)
-        pieces = batch[(batch["type"] == "delta") & batch["text"].notna() & (batch["text"] != "")]
-        if len(pieces):
-            self.state.appendList([tuple(row) for row in pieces[["scope", "seq", "text"]].itertuples(index=False)])
-        if batch["type"].isin(TERMINAL).any():
-            yield from self._told(key, True)
-        else:
-            self.keep_until(batch["arrived"].max())
+        pieces = [(row["scope"], row["seq"], row["text"]) for row in batch if row["type"] == "delta" and row["text"]]
+        if any(row["type"] in TERMINAL for row in batch):
+            yield from self._told(key, True, pieces)
+            return
+        if pieces:
+            self.state.appendList(pieces)
+        self.keep_until(max(row["arrived"] for row in batch))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._told(key, False)
 
-    def _told(self, key, complete: bool) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            held = pd.DataFrame(list(self.state.get()), columns=["scope", "seq", "text"]).sort_values("seq", kind="stable")
-            whole = held.groupby("scope", as_index=False)["text"].agg("".join)
-            yield whole.assign(request_id=key[0], complete=complete)[["request_id", "scope", "text", "complete"]]
+    def _told(self, key, complete: bool, pieces: Iterable[tuple] = ()) -> Iterator[Row]:
+        """One text per scope from what is held and the pieces that have just come."""
+        texts: dict[str, list[str]] = {}
+        for scope, _, text in sorted([*self.state.get(), *pieces], key=lambda piece: (piece[1] is None, piece[1])):
+            if scope is not None:
+                texts.setdefault(scope, []).append(text)
+        for scope in sorted(texts):
+            yield Row(request_id=key[0], scope=scope, text="".join(texts[scope]), complete=complete)
         self.state.clear()
 
 
@@ -287,7 +290,7 @@ def delta_stream(accepted: DataFrame, ttl_minutes: int | None = DEFAULTS.session
     A text comes with the terminal envelope of its request; what expires without one is not `complete`.
     """
     timed, mode = _with_lateness(accepted, "arrived", ttl_minutes, late_minutes)
-    return timed.groupBy("request_id").transformWithStateInPandas(
+    return timed.groupBy("request_id").transformWithState(
         statefulProcessor=DeltaAssembly(ttl_minutes), outputStructType="request_id string, scope string, text string, complete boolean",
         outputMode="Append", timeMode=mode,
     )

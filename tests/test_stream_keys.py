@@ -53,3 +53,17 @@ def test_gate_without_a_job_lets_nothing_through():
     gate.state = Held(None)
     assert list(gate.handleInputRows(("q",), iter([envelope(1, None, 1), envelope(2, "a", 2, at=2)]), None)) == []
     assert gate.state.value == (None, -1, False)
+
+
+def piece(seq, kind, scope, text):
+    return Row(request_id="q", arrived=START, seq=seq, type=kind, scope=scope, text=text)
+
+
+def test_deltas_are_told_once_with_what_came_last():
+    texts = state.DeltaAssembly()
+    texts.state = Held([])
+    rows = [piece(2, "delta", "s", "b"), piece(1, "delta", "s", "a"), piece(3, "delta", "t", ""), piece(4, "delta", None, "x"), piece(5, "status", "s", "no")]
+    assert list(texts.handleInputRows(("q",), iter(rows), None)) == [] and texts.state.calls == 1
+    told = list(texts.handleInputRows(("q",), iter([piece(7, "done", "s", None), piece(6, "delta", "s", "c"), piece(0, "delta", "r", "é")]), None))
+    assert told == [Row(request_id="q", scope="r", text="é", complete=True), Row(request_id="q", scope="s", text="abc", complete=True)]
+    assert texts.state.calls == 3 and texts.state.value == []
