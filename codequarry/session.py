@@ -23,6 +23,8 @@ _ADAPTIVE = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
     builder = (
@@ -85,5 +87,11 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(target)
+    # Nothing reads again what was shuffled for a table that is written, so its files go at once.
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(target)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(target)
