@@ -7,6 +7,8 @@ from files and a lost executor costs one hop at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,12 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, include_seeds: bool =
     return result if include_seeds else result.filter("depth > 0")
 
 
-def nearest(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int) -> DataFrame:
+def nearest(edges: DataFrame | Callable[[int, DataFrame], DataFrame], seeds: DataFrame, depth: int, max_nodes: int) -> DataFrame:
     """First `max_nodes` nodes per request in queue order: depth, parent's place, edge order.
 
-    edges(src, dst, ord), seeds(request_id, node, ord). Only nodes that made the cut are expanded,
-    which is what a queue stopped at `max_nodes` does, so a frontier never exceeds it.
+    edges(src, dst, ord), or a function of the hop and its start nodes that gives at least theirs;
+    seeds(request_id, node, ord). Only nodes that made the cut are expanded, which is what a queue
+    stopped at `max_nodes` does, so a frontier never exceeds it.
     """
     first = seeds.groupBy("request_id", "node").agg(F.min("ord").alias("ord"))
     chosen = cut(
@@ -48,7 +51,8 @@ def nearest(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int) -> D
     )
     frontier = chosen
     for hop in range(1, depth + 1):
-        reached = frontier.select("request_id", F.col("node").alias("src"), "place").join(edges, "src")
+        outgoing = edges(hop, frontier) if callable(edges) else edges
+        reached = frontier.select("request_id", F.col("node").alias("src"), "place").join(outgoing, "src")
         fresh = reached.groupBy("request_id", F.col("dst").alias("node")).agg(
             F.min(F.struct("place", "ord", "dst")).alias("key")
         ).join(chosen.select("request_id", "node"), ["request_id", "node"], "left_anti")

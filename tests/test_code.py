@@ -2,6 +2,7 @@
 
 import ast
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -167,6 +168,76 @@ def test_related_sources_reach_two_hops(spark):
     assert len(short) <= 160 and "—— 定义于" in short
 
 
+TURNS = {
+    **LAYERED, "turns.py": (
+        "from utils.text import clean as tidy\nimport utils.text as ut\nfrom services.api import Service as S\nimport services.api as api\n\n"
+        "def renamed():\n    return tidy(1)\n\ndef by_module():\n    return ut.clean(2)\n\ndef static():\n    return S.handle(None)\n\n"
+        "def only(v):\n    return v.finish(1)\n\ndef qualified():\n    s = api.Service()\n    return s.handle()\n\n"
+        "def aliased():\n    s = S()\n    s.finish(static())\n\nclass Twice:\n    def clean(self):\n        return self.again()\n\n"
+        "    def again(self):\n        return self.clean()\n\n    def ping(self):\n        return qualified(ping())\n"
+    ),
+    "pad.py": "\n".join(f"def pad_{i}(v):\n    return pad_{i + 1}(v.pad())\n" for i in range(300)),
+}
+
+
+def test_related_sources_resolve_only_what_is_asked(spark, monkeypatch):
+    """The same links as by resolving every reference, from the few entries and references that can make them."""
+    files = corpus(spark, TURNS)
+    rows = project_map.extract_entries(files).cache()
+    found = {r.entry_id: r for r in project_map.entries(rows).collect()}
+    told = {k: f"{'类' if r.kind == 'class' else f'类 {r.parent} 的方法' if r.kind == 'method' else '函数'} {r.name}" for k, r in found.items()}
+    links = project_map.resolve_references(rows).collect()
+    firsts = {}
+    for key, r in sorted(found.items(), key=lambda item: item[1].owner):
+        if r.path != "pad.py":
+            firsts.setdefault((r.path, r.name), key)
+    requests = [(i, path, f"{name}()\n") for i, (path, name) in enumerate(firsts)]
+    assert len(requests) == 20
+
+    sizes, whole = [], project_map.resolve_uses
+
+    def counted(*args):
+        entries = next(a for a in args if a is not None and "place" in a.columns)
+        sizes.append((args[0].count(), entries.count()))
+        return whole(*args)
+
+    monkeypatch.setattr(project_map, "resolve_uses", counted)
+    asked = spark.createDataFrame(requests, "request_id long, path string, code string")
+    got = {r.request_id: r.sources for r in project_map.related_sources(asked, rows, files, max_symbols=50, max_chars=100_000).collect()}
+    assert sizes and all(refs < 100 and entries < 100 for refs, entries in sizes)
+    for (number, _, _), start in zip(requests, firsts.values(), strict=True):
+        depth, queue = {start: 0}, [start]
+        for node in queue:
+            for link in sorted((x for x in links if x.caller_id == node and depth[node] < 2), key=lambda x: x.ord):
+                if link.target_id not in depth:
+                    depth[link.target_id] = depth[node] + 1
+                    queue.append(link.target_id)
+        expected = [("直接相关" if not depth[k] else f"第 {depth[k]} 层依赖", told[k], found[k].path) for k in queue]
+        assert re.findall(r"<!-- (.*?) -->\n### (.*?) —— 定义于 (\S+)", got[number]) == expected, requests[number]
+        callers = sorted(x.caller_id for x in links if x.target_id == start)[:12]
+        assert re.findall(r"- 调用方 (.*?)：(\S+) 第", got[number]) == [(told[k], found[k].path) for k in callers], requests[number]
+    assert sum("上游调用方" in text for text in got.values()) > 8
+
+
+def test_first_callers_of_a_much_called_entry(spark):
+    """Cutting each entry to its first callers leaves the first callers of a request as they are."""
+    links = spark.createDataFrame([(f"c{i:03}", dst, 0) for i in range(60) for k, dst in enumerate("abc") if i % (k + 2) == 0], "src string, dst string, ord int")
+    asked = [(1, "a", 0), (1, "b", 1), (2, "c", 0), (2, "a", 2), (3, "b", 0), (4, "z", 0)]
+    seeds = spark.createDataFrame(asked, "request_id long, node string, ord int")
+    pairs = [(r.src, r.dst) for r in links.collect()]
+    expected = {}
+    for request in (1, 2, 3):
+        best = {}
+        for _, node, place in (row for row in asked if row[0] == request):
+            for src in [src for src, dst in pairs if dst == node]:
+                best[src] = min(place, best.get(src, place))
+        expected[request] = sorted(best, key=lambda src: (best[src], src))[:12]
+    got = {}
+    for r in project_map.first_callers(seeds, links).orderBy("request_id", "n").collect():
+        got.setdefault(r.request_id, []).append(r.node)
+    assert got == expected
+
+
 def test_reexports_through_a_ladder_of_diamonds(spark):
     """Each rung has two ways on, so there are 2^20 paths; every (module, name) is visited once."""
     rungs = 20
