@@ -24,6 +24,8 @@ _ADAPTIVE = {
 }
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Folders that a task writes side by side. With more of them the rest is sorted first, as all are without this.
+_WRITERS, _FOLDERS = "spark.sql.maxConcurrentOutputFileWriters", "8"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
@@ -88,10 +90,12 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     # Nothing reads again what was shuffled for a table that is written, so its files go at once.
-    before = spark.conf.get(_CLEANUP, "false")
+    before = {_CLEANUP: spark.conf.get(_CLEANUP, "false"), _WRITERS: spark.conf.get(_WRITERS, "0")}
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_WRITERS, _FOLDERS)
     try:
         writer.parquet(target)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(target)
