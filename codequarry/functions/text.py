@@ -83,12 +83,12 @@ def literal_terms(query: Column, limit: int = DEFAULTS.literal_terms) -> Column:
     return F.slice(F.array_distinct(found), 1, limit)
 
 
-def symbol_candidates(query: Column, limit: int = DEFAULTS.symbol_candidates) -> Column:
-    """Names a query may mean; a bare dotted name puts its last part first."""
+def symbol_candidates(query: Column, limit: int | None = DEFAULTS.symbol_candidates) -> Column:
+    """Names a query may mean, all of them without a limit; a bare dotted name puts its last part first."""
     whole = F.trim(query)
     lead = F.when(whole.rlike(f"^(?:{DOTTED_NAME})$"), F.array(F.element_at(F.split(whole, r"\."), -1)))
-    found = F.concat(F.coalesce(lead, F.array().cast("array<string>")), identifiers(query))
-    return F.slice(F.array_distinct(found), 1, limit)
+    found = F.array_distinct(F.concat(F.coalesce(lead, F.array().cast("array<string>")), identifiers(query)))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def question_identifiers(question: Column, limit: int = DEFAULTS.question_identifiers) -> Column:

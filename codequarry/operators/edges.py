@@ -73,7 +73,8 @@ def search_symbols(requests: DataFrame, symbols: DataFrame, limit: int, grams: D
     elsewhere = F.coalesce(F.col("path") != F.col("current_file"), F.lit(True))
     far = asked.join(heads, ["project_id", "needle"]).filter(elsewhere)
     local = top_k(hit, ["project_id", "path", "low"], by_id, limit, "_n").drop("_n").withColumnRenamed("path", "current_file")
-    near = asked.join(rated, "needle").join(local, ["project_id", "low", "current_file"]).withColumn("path", F.col("current_file"))
+    # A file's names are far fewer than those that hold a needle of one letter.
+    near = asked.join(local, ["project_id", "current_file"]).join(rated, ["needle", "low"]).withColumn("path", F.col("current_file"))
     # Heads of one class may all lie in the current file, so far hits get as many more as that hides.
     both = far.withColumn("_near", F.lit(1)).unionByName(near.withColumn("_near", F.lit(0)))
     order = [F.col("_class"), F.col("_near"), F.length("name"), F.col("symbol_id")]

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as tx
 from codequarry.operators import edges, fusion, lookup, repo_map
 from codequarry.operators import files as fx
+from codequarry.options import DEFAULTS
 from codequarry.plans import corpora as co
 from codequarry.plans import stored
 from codequarry.plans.registry import query
-from codequarry.plans.search_queries import SQL_CANDIDATES, SQL_GRAPH_HEADS
+from codequarry.plans.search_queries import SQL_CANDIDATES, SQL_EVERY_CANDIDATE, SQL_GRAPH_HEADS
 from codequarry.session import cut
 from codequarry.sources.tables import load
 
 
-def named_requests(spark, sf):
-    """Every candidate name of every benchmark item, in the project of the open document."""
+def named_requests(spark, sf, limit=DEFAULTS.symbol_candidates):
+    """The candidate names of every benchmark item, in the project of the open document."""
     return co.requests(spark, sf).select(
-        "request_id", "project_id", "current_file", F.posexplode(tx.symbol_candidates(F.col("question"))).alias("candidate", "name")
+        "request_id", "project_id", "current_file", F.posexplode(tx.symbol_candidates(F.col("question"), limit)).alias("candidate", "name")
     )
 
 
@@ -40,7 +41,7 @@ def definition_lookup(spark, sf):
     )
 
 
-@query("symbol_search", f"""WITH {co.SQL_OUTLINE}, {SQL_NAMED},
+@query("symbol_search", f"""WITH {co.SQL_OUTLINE}, {SQL_NAMED.replace(SQL_CANDIDATES, SQL_EVERY_CANDIDATE)},
 needles AS (SELECT request_id || ':' || candidate || typed AS request_id, project_id, translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS needle, current_file
   FROM asked, LATERAL (VALUES ('', name), (':typed', left(name, 1 + request_id % 4))) v(typed, part)),
 found AS (SELECT request_id, symbol_id, name, path, CASE WHEN lower(name) = needle THEN 0 WHEN starts_with(lower(name), needle) THEN 1 ELSE 2 END AS cls,
@@ -54,7 +55,7 @@ def symbol_search(spark, sf):
     key = F.concat(F.col("request_id").cast("string"), F.lit(":"), F.col("candidate").cast("string"))
     begun = F.substring("name", F.lit(1), (1 + F.col("request_id") % 4).cast("int"))
     forms = F.array(F.struct(F.lit("").alias("typed"), F.col("name").alias("part")), F.struct(F.lit(":typed").alias("typed"), begun.alias("part")))
-    asked = named_requests(spark, sf).select(key.alias("key"), "project_id", "current_file", F.explode(forms).alias("form")).select(
+    asked = named_requests(spark, sf, None).select(key.alias("key"), "project_id", "current_file", F.explode(forms).alias("form")).select(
         F.concat("key", "form.typed").alias("request_id"), "project_id", "current_file", F.col("form.part").alias("needle")
     )
     symbols, grams = stored.names(spark, sf)

@@ -163,6 +163,8 @@ SQL_CANDIDATES = """names AS (SELECT request_id, cand - 1 AS candidate, name FRO
                THEN [string_split(trim(question), '.')[-1]] ELSE [] END,
           regexp_extract_all(question, '[A-Za-z_][\\p{L}\\p{N}_]*')) AS ws FROM requests)) GROUP BY ALL)) WHERE cand <= 12)"""
 
+SQL_EVERY_CANDIDATE = SQL_CANDIDATES.removesuffix(" WHERE cand <= 12)") + ")"
+
 SQL_GRAPH_HEADS = """ref_keys AS (SELECT project_id, call_id, path, start_line, end_line, callee_name, target_name, unnest(list_distinct(
     CASE WHEN target_name IS NULL THEN [lower(callee_name)] ELSE [lower(callee_name), lower(target_name)] END)) AS k
   FROM (SELECT c.*, t.name AS target_name FROM calls c LEFT JOIN symbols t ON t.symbol_id = c.target_symbol_id)),
