@@ -217,15 +217,22 @@ def _first_chunks(literals: DataFrame, hits: DataFrame, limit: int) -> DataFrame
 
 
 def search_text(requests: DataFrame, chunks: DataFrame | TextIndex, limit: int, text: str = "question") -> DataFrame:
-    """BM25 hits, filled up with literal hits not among them: chunk_id, bm25_score, rank. Chunks, or their stored index."""
+    """BM25 hits, filled up with literal hits not among them: chunk_id, bm25_score, rank. Chunks, or their stored index.
+
+    Literal hits come last, so only requests with fewer than `limit` BM25 hits are searched for them.
+    """
     stored = isinstance(chunks, TextIndex)
-    ranked = (indexed_search if stored else bm25_search)(requests, chunks, limit, text).withColumn("_fallback", F.lit(0))
-    literal = (indexed_literals if stored else literal_search)(requests, chunks, limit, text).join(
+    ranked = cut((indexed_search if stored else bm25_search)(requests, chunks, limit, text))
+    full = ranked.filter(F.col("rank") == limit).select("request_id")
+    short = cut(requests.join(full, "request_id", "left_anti"))
+    if short.isEmpty():
+        return ranked
+    literal = (indexed_literals if stored else literal_search)(short, chunks, limit, text).join(
         ranked.select("request_id", "chunk_id"), ["request_id", "chunk_id"], "left_anti"
     ).select(
         "request_id", "chunk_id", F.lit(LITERAL_SCORE).alias("bm25_score"), "rank", F.lit(1).alias("_fallback")
     )
-    both = ranked.unionByName(literal).withColumnRenamed("rank", "_own")
+    both = ranked.withColumn("_fallback", F.lit(0)).unionByName(literal).withColumnRenamed("rank", "_own")
     return top_k(both, ["request_id"], [F.col("_fallback"), F.col("_own")], limit).drop("_own", "_fallback")
 
 

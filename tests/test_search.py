@@ -65,3 +65,18 @@ def test_identifier_at_cursor(spark):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, line string, c int")
     found = {r.i: r.w for r in rows.select("i", tx.identifier_at(F.col("line"), F.col("c")).alias("w")).collect()}
     assert found == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_only_requests_with_too_few_ranked_hits_are_searched_for_literals(spark, chunks, monkeypatch):
+    sought, plain = [], search.literal_search
+
+    def literals(requests, *rest):
+        sought.append({r.request_id for r in requests.collect()})
+        return plain(requests, *rest)
+
+    monkeypatch.setattr(search, "literal_search", literals)
+    asked = spark.createDataFrame([(1, "p", "user"), (2, "p", "ETCH")], "request_id long, project_id string, question string")
+    found = {(r.request_id, r["rank"]): r.chunk_id for r in search.search_text(asked, chunks, 2).collect()}
+    assert sought == [{2}]
+    assert sorted(found) == [(1, 1), (1, 2), (2, 1), (2, 2)] and (found[2, 1], found[2, 2]) == (1, 2)
+    assert search.search_text(asked.filter("request_id = 1"), chunks, 2).count() == 2 and len(sought) == 1
